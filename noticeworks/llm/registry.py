@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from noticeworks.llm import bpe, packing, vectors
+from noticeworks.llm import bpe, near_dups, packing, passages, vectors
 
-MODULES = (packing, vectors, bpe)
+MODULES = (packing, near_dups, vectors, bpe, passages)
 
 QUERIES = {name: query for module in MODULES for name, query in module.QUERIES.items()}
 ORACLE_SQL = {name: sql for module in MODULES for name, sql in module.ORACLE_SQL.items()}
