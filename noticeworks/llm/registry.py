@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from noticeworks.llm import bpe, near_dups, packing, passages, vectors
+from noticeworks.llm import bpe, fingerprints, near_dups, packing, passages, pii, vectors
 
-MODULES = (packing, near_dups, vectors, bpe, passages)
+MODULES = (pii, packing, near_dups, vectors, bpe, fingerprints, passages)
 
 QUERIES = {name: query for module in MODULES for name, query in module.QUERIES.items()}
 ORACLE_SQL = {name: sql for module in MODULES for name, sql in module.ORACLE_SQL.items()}
