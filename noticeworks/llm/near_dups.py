@@ -286,8 +286,9 @@ def near_classes(docs: DataFrame, similarity: float = SIMILARITY, id_col: str =
 def keep_first(docs: DataFrame, similarity: float = SIMILARITY, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of docs whose id is the smallest of its class (and those without an id), all columns as they are."""
     classes = near_classes(docs, similarity, id_col, text_col)
-    drop = classes.filter("doc_id <> class_id").select(F.col("doc_id").alias(id_col))
-    return docs.join(drop, id_col, "left_anti").select(*docs.columns)
+    drop = staged(classes.filter("doc_id <> class_id").select(F.col("doc_id").alias(id_col)), "near-dropped")
+    few = drop.count() <= BROADCAST_IDS
+    return docs.join(F.broadcast(drop) if few else drop, id_col, "left_anti").select(*docs.columns)
 
 
 def op3_near_dups(spark: SparkSession, sf_dir: str) -> DataFrame:
