@@ -1,10 +1,71 @@
-"""Corpus preparation: quality, near duplicates, repeated passages, personal data, packing."""
+"""Corpus preparation in five stages, each one operator of noticeworks.llm.
+
+A stage takes (spark, docs, sf_dir), works on every row that its predecessor kept and returns the columns of
+documents, the last one packed pieces.  Stages read their inputs from Parquet, so none recomputes another.
+"""
 
 from __future__ import annotations
 
-STAGES: list = []
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from noticeworks.llm import near_dups, packing, passages, pii, quality
+from noticeworks.llm.bpe import default_vocabulary
+from noticeworks.llm.common import fresh_path, table
+
+
+def same_columns(out: DataFrame, docs: DataFrame) -> DataFrame:
+    """The columns of docs; n_chars follows the text."""
+    if "n_chars" in docs.columns:
+        out = out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
+    return out.select(*docs.columns)
+
+
+def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drops what the rule ensemble, learned from this corpus' labels, scores below its cut."""
+    rules = quality.fit(docs, table(spark, sf_dir, "labels"))
+    return quality.scored(docs, rules).filter("predicted = 1").select(*docs.columns)
+
+
+def near_dup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keeps the document with the smallest id of each near-duplicate class."""
+    return near_dups.keep_first(docs)
+
+
+def passage_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Cuts bytes of 50-byte strings that an earlier document holds; a character cut in two goes, a null text stays null."""
+    cut = passages.remove_repeats(docs)
+    kept = F.when(F.col("n_removed") == 0, F.col("text")).otherwise(F.replace(F.make_valid_utf8("kept"), F.lit("\ufffd"), F.lit("")))
+    return same_columns(cut.withColumn("text", kept), docs)
+
+
+def pii_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Replaces personal data by pseudonyms."""
+    return same_columns(pii.pseudonymised(docs, pii.DEMO_KEY), docs)
+
+
+def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Packs what is left into windows of token ids."""
+    return packing.pack_documents(docs, default_vocabulary())
+
+
+STAGES = [
+    ("quality", quality_stage),
+    ("near_dups", near_dup_stage),
+    ("passages", passage_stage),
+    ("pii", pii_stage),
+    ("packing", packing_stage),
+]
+
+#: SQL has no BagMinHash, fitted rules or tokenizer; the tests compare the stages with brute force instead.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over documents; between stages the rows lie as Parquet in the shared folder."""
+    docs = table(spark, sf_dir, "documents")
+    for name, stage in STAGES[:-1]:
+        path = fresh_path(spark, f"pipeline-{name}")
+        stage(spark, docs, sf_dir).write.parquet(path)
+        docs = spark.read.parquet(path)
+    return STAGES[-1][1](spark, docs, sf_dir)
