@@ -23,7 +23,7 @@ BUCKET_ROWS, MOST_BUCKETS = 500, 65_536
 
 def sketch(hashes: Column, scale: int = SCALE) -> Column:
     """The kept hashes, sorted."""
-    below = -(1 << 63) + (1 << 64) // scale
+    below = min(-(1 << 63) + (1 << 64) // scale, (1 << 63) - 1)
     kept = F.array_sort(F.array_distinct(F.filter(hashes, lambda h: h < F.lit(below).cast("long"))))
     return F.when((F.size(kept) > 0) | (F.size(hashes) == 0), kept).otherwise(F.array(F.array_min(hashes)))
 
@@ -40,7 +40,7 @@ def with_sketch(df: DataFrame, text: str, name: str, scale: int = SCALE) -> Data
         F.sequence(F.lit(0), F.size(words) - SHINGLE), lambda i: F.xxhash64(*(F.get(F.col(words), i + k) for k in range(SHINGLE)))
     )
     few = F.when(F.size(words) > 0, F.array(F.xxhash64(words))).otherwise(F.array().cast("array<bigint>"))
-    df = df.withColumn(hashes, F.when(F.size(words) > SHINGLE, many).otherwise(few))
+    df = df.withColumn(hashes, F.when(F.size(words) >= SHINGLE, many).otherwise(few))
     return df.withColumn(name, sketch(F.col(hashes), scale)).drop(words, hashes)
 
 

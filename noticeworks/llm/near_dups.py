@@ -9,8 +9,9 @@ until it passes the slowest register of its document.
 
 Equal texts are one node from the start.  Nodes that share a band are tested against leaders of that bucket -
 first its smallest node, then, while the bucket holds more than one component, 1, 2, 4, ... more of its nodes drawn
-by hash, until every node has led.  Nodes already connected are not tested again, so a group of copies costs about
-its size rather than its square, and no pair that could still join two components is left out.
+by hash, until every node has led.  Nodes already connected are not tested again, and a node leaves a bucket once the shingles that it
+shares with any other open node are too few for a link there.  So a group of copies costs about its size rather than
+its square, and no pair that could still join two components is left out.
 """
 
 from __future__ import annotations
@@ -30,6 +31,8 @@ SHINGLE, SIMILARITY = 5, 0.8
 BANDS, ROWS = 24, 5
 #: Words that are hashed at once; words that a worker remembers.
 BATCH_WORDS, CACHED_WORDS = 500_000, 1_000_000
+#: So many times more leaders of a bucket in each turn.
+GROWTH = 8
 #: A list of at most so many ids is broadcast (16 MB); a longer one is shuffled.
 BROADCAST_IDS = 1_000_000
 
@@ -200,19 +203,24 @@ def numbered_shingles(docs: DataFrame) -> DataFrame:
     return docs.mapInArrow(run, "node long, shingles array<int>")
 
 
-def components(edges: DataFrame) -> DataFrame:
-    """node, component (its smallest node) for the nodes of edges (a, b), by minimum labels and pointer jumping."""
-    both = staged(edges.select("a", "b").union(edges.select("b", "a")).filter("a <> b").distinct(), "near-edges")
-    labels = staged(both.groupBy(F.col("a").alias("node")).agg(F.least(F.first("a"), F.min("b")).alias("component")), "near-labels")
+def components(edges: DataFrame, known: DataFrame | None = None) -> DataFrame:
+    """node, component (its smallest node) for the nodes of edges (a, b), by minimum labels and pointer jumping.
+
+    known: labels of a part of these edges, from which to go on.
+    """
+    both = edges.select("a", "b").union(edges.select("b", "a"))
+    labels = both.groupBy(F.col("a").alias("node")).agg(F.least(F.col("node"), F.min("b")).alias("component"))
+    if known is not None:
+        old = known.withColumnRenamed("component", "old")
+        labels = labels.join(old, "node", "left").select("node", F.least("component", "old").alias("component"))
     while True:
         near = both.join(labels, both.b == labels.node).groupBy("a").agg(F.min("component").alias("least"))
-        new = labels.join(near, labels.node == near.a).select("node", F.least("component", "least").alias("component"))
-        new = staged(new, "near-step")
-        up = new.select(F.col("node").alias("component"), F.col("component").alias("above"))
-        new = staged(new.join(up, "component").select("node", F.col("above").alias("component")), "near-labels")
-        moved = new.join(labels.withColumnRenamed("component", "old"), "node").filter("component <> old").limit(1).count()
-        labels = new
-        if not moved:
+        new = labels.join(near, labels.node == near.a).select("node", F.least("component", "least").alias("new"), F.col("component").alias("old"))
+        up = new.select(F.col("node").alias("new"), F.col("new").alias("component"))
+        new = new.join(up, "new").select("node", "component", (F.col("component") != F.col("old")).alias("moved"))
+        new = staged(new, "near-labels", narrow=True)
+        labels = new.select("node", "component")
+        if not new.filter("moved").limit(1).count():
             return labels
 
 
@@ -232,7 +240,7 @@ def near_classes(docs: DataFrame, similarity: float = SIMILARITY, id_col: str =
     sizes = rows.groupBy("bucket").agg(F.count("*").alias("size"), F.min("node").alias("leader")).filter("size > 1")
     buckets = staged(rows.join(sizes, "bucket"), "near-buckets")
 
-    nodes = staged(buckets.select(F.col("node").alias("doc_id")).distinct(), "near-candidates")
+    nodes = staged(buckets.select(F.col("node").alias("doc_id")).distinct(), "near-candidates", narrow=True)
     few = nodes.count() <= BROADCAST_IDS
     chosen = texts.join(F.broadcast(nodes) if few else nodes, "doc_id", "left_semi")
     sets = staged(numbered_shingles(chosen), "near-shingles")
@@ -250,33 +258,48 @@ def near_classes(docs: DataFrame, similarity: float = SIMILARITY, id_col: str =
     alike = "least(n, m) >= {0} * greatest(n, m) - 1e-9".format(similarity)  # else the overlap is too small anyway
     heads = first.select(F.col("node").alias("leader"), F.col("n").alias("m"))
     pairs = buckets.filter("node <> leader").select("leader", "node", "n").distinct().join(heads, "leader").filter(alike)
-    pairs = staged(pairs.select(F.col("leader").alias("a"), F.col("node").alias("b")), "near-pairs")
-    tested, edges, led = pairs, staged(linked(pairs), "near-links"), 1
+    pairs = staged(pairs.select(F.col("leader").alias("a"), F.col("node").alias("b")), "near-pairs", narrow=True)
+    tested, edges, led = pairs, staged(linked(pairs), "near-links", narrow=True), 1
     labels = components(edges)
-    open_buckets = buckets.filter("size > 2")
-    while True:
-        named = open_buckets.join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
-        split = named.groupBy("bucket").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low < high")
+    share = similarity / (1 + similarity)  # of n + m that the overlap must reach
+
+    def still_split(rows: DataFrame) -> DataFrame:
+        """Rows of buckets with nodes of two components, without nodes that are too lonely to link to any node there."""
+        low = rows.groupBy("bucket").agg(F.min("n").alias("low"))
+        near = F.greatest(F.col("low"), F.lit(similarity) * F.col("n"))
+        rows = rows.join(low, "bucket").filter(F.col("own") >= share * (F.col("n") + near) - 1e-9).drop("low")
+        parts = rows.groupBy("bucket").agg(F.min("component").alias("least"), F.max("component").alias("most")).filter("least != most")
+        return rows.join(parts.select("bucket"), "bucket", "left_semi")
+
+    def with_components(rows: DataFrame) -> DataFrame:
+        return rows.join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
+
+    rest = still_split(with_components(buckets.filter("size > 2").withColumn("own", F.col("n"))))
+    rest = staged(rest.select("bucket", "node", "n", "size", "leader", "component"), "near-open", narrow=True)
+    # shingles that no other node of an open bucket has can be in no overlap
+    lone = sets.join(rest.select("node").distinct(), "node", "left_semi").select("node", F.explode("shingles").alias("shingle"))
+    lone = lone.groupBy("shingle").agg(F.count("*").alias("copies"), F.min("node").alias("node")).filter("copies = 1")
+    lone = lone.groupBy("node").agg(F.count("*").alias("lone"))
+    rest = rest.join(lone, "node", "left").withColumn("own", F.col("n") - F.coalesce("lone", F.lit(0)))
+    rest = staged(still_split(rest).drop("lone"), "near-open", narrow=True)
+    while rest.limit(1).count():
         turn = F.pmod(F.xxhash64("bucket", "node"), F.col("size"))
-        named = staged(
-            named.join(split, "bucket").select("bucket", "node", "n", "size", "leader", "component", turn.alias("turn")), "near-open"
-        )
-        lead = named.filter((F.col("turn") < 2 * led) & ((F.col("turn") >= led) | F.lit(led == 1)) & (F.col("node") != F.col("leader")))
-        lead = lead.select("bucket", F.col("node").alias("head"), F.col("n").alias("m"), F.col("component").alias("other"))
+        lead = rest.filter((turn < GROWTH * led) & ((turn >= led) | F.lit(led == 1)) & (F.col("node") != F.col("leader")))
+        lead = lead.select("bucket", F.col("node").alias("head"), F.col("n").alias("m"), F.col("own").alias("others"), F.col("component").alias("other"))
         new = (
-            named.join(lead, "bucket").filter("component <> other").filter(alike)
+            rest.join(lead, "bucket")
+            .filter("component != other").filter(alike)
+            .filter(F.least("own", "others") >= share * (F.col("n") + F.col("m")) - 1e-9)
             .select(F.least("node", "head").alias("a"), F.greatest("node", "head").alias("b")).distinct()
             .join(tested, ["a", "b"], "left_anti")
         )
-        new = staged(new, "near-pairs")
+        new = staged(new, "near-pairs", narrow=True)
         if new.limit(1).count():
             tested = tested.union(new)
-            edges = edges.union(staged(linked(new), "near-links"))
-            labels = components(edges)
-        led *= 2
-        open_buckets = named.filter(F.col("size") > led).select("node", "n", "bucket", "size", "leader")
-        if not open_buckets.limit(1).count():
-            break
+            edges = edges.union(staged(linked(new), "near-links", narrow=True))
+            labels = components(edges, labels)
+        led *= GROWTH
+        rest = staged(still_split(with_components(rest.filter(F.col("size") > led).drop("component"))), "near-open", narrow=True)
     named = first.join(labels, "node", "left").select("content", F.coalesce("component", "node").alias("class_id"))
     out = signed.join(named, "content").groupBy("doc_id").agg(F.min("class_id").alias("class_id"))
     none = texts.filter("doc_id IS NULL").select("doc_id", F.lit(None).cast("long").alias("class_id"))
