@@ -31,8 +31,8 @@ SHINGLE, SIMILARITY = 5, 0.8
 BANDS, ROWS = 24, 5
 #: Words that are hashed at once; words that a worker remembers.
 BATCH_WORDS, CACHED_WORDS = 500_000, 1_000_000
-#: So many times more leaders of a bucket in each turn.
-GROWTH = 8
+#: Turns led by the nodes that share most; then so many times more leaders of a bucket in each turn.
+CENTRES, GROWTH = 2, 8
 #: A list of at most so many ids is broadcast (16 MB); a longer one is shuffled.
 BROADCAST_IDS = 1_000_000
 
@@ -282,10 +282,19 @@ def near_classes(docs: DataFrame, similarity: float = SIMILARITY, id_col: str =
     lone = lone.groupBy("node").agg(F.count("*").alias("lone"))
     rest = rest.join(lone, "node", "left").withColumn("own", F.col("n") - F.coalesce("lone", F.lit(0)))
     rest = staged(still_split(rest).drop("lone"), "near-open", narrow=True)
+    rest = rest.withColumn("led", F.col("node") == F.col("leader"))
+    turns = 0
     while rest.limit(1).count():
-        turn = F.pmod(F.xxhash64("bucket", "node"), F.col("size"))
-        lead = rest.filter((turn < GROWTH * led) & ((turn >= led) | F.lit(led == 1)) & (F.col("node") != F.col("leader")))
-        lead = lead.select("bucket", F.col("node").alias("head"), F.col("n").alias("m"), F.col("own").alias("others"), F.col("component").alias("other"))
+        turns += 1
+        if turns <= CENTRES:  # the node that shares most of itself with others is likely what the others were made from
+            best = F.max_by("node", F.struct(F.col("own") / F.col("n"), -F.col("node")))
+            heads = rest.filter("NOT led").groupBy("bucket").agg(best.alias("head"))
+            rest = rest.join(heads, "bucket", "left").withColumn("leads", F.coalesce(F.col("node") == F.col("head"), F.lit(False))).drop("head")
+        else:
+            turn = F.pmod(F.xxhash64("bucket", "node"), F.col("size"))
+            rest = rest.withColumn("leads", (turn < GROWTH * led) & ((turn >= led) | F.lit(led == 1)) & ~F.col("led"))
+        rest = staged(rest, "near-open", narrow=True)
+        lead = rest.filter("leads").select("bucket", F.col("node").alias("head"), F.col("n").alias("m"), F.col("own").alias("others"), F.col("component").alias("other"))
         new = (
             rest.join(lead, "bucket")
             .filter("component != other").filter(alike)
@@ -298,8 +307,11 @@ def near_classes(docs: DataFrame, similarity: float = SIMILARITY, id_col: str =
             tested = tested.union(new)
             edges = edges.union(staged(linked(new), "near-links", narrow=True))
             labels = components(edges, labels)
-        led *= GROWTH
-        rest = staged(still_split(with_components(rest.filter(F.col("size") > led).drop("component"))), "near-open", narrow=True)
+        if turns > CENTRES:
+            led *= GROWTH
+        rest = rest.withColumn("led", F.col("led") | F.col("leads")).drop("leads", "component")
+        rest = still_split(with_components(rest.filter((F.col("size") > led) | F.lit(turns <= CENTRES))))
+        rest = staged(rest, "near-open", narrow=True)
     named = first.join(labels, "node", "left").select("content", F.coalesce("component", "node").alias("class_id"))
     out = signed.join(named, "content").groupBy("doc_id").agg(F.min("class_id").alias("class_id"))
     none = texts.filter("doc_id IS NULL").select("doc_id", F.lit(None).cast("long").alias("class_id"))
