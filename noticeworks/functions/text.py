@@ -27,11 +27,9 @@ def squeeze(text: Column) -> Column:
 
 
 def word_pattern(phrases: list[str]) -> str:
-    """One regular expression for whole phrases; a trailing * stands for any ending, blanks for any white space."""
-    parts = []
-    for p in phrases:
-        stem, star = (p[:-1], r"\w*") if p.endswith("*") else (p, "")
-        parts.append(r"\s+".join(_escape(w) for w in stem.split()) + star)
+    """One regular expression for whole phrases; a * after a word stands for any ending, blanks for any white space."""
+    word = lambda w: _escape(w[:-1]) + r"\w*" if w.endswith("*") else _escape(w)
+    parts = [r"\s+".join(word(w) for w in p.split()) for p in phrases]
     return r"(?<!\w)(?:" + "|".join(parts) + r")(?!\w)"
 
 

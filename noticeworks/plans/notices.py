@@ -140,7 +140,7 @@ def duplicate_page(t) -> DataFrame:
 
 @query()
 def page_links(t) -> DataFrame:
-    return page_source.links(t("pages"))
+    return page_source.links(t("pages"), least=2, chrome=True)
 
 
 @query()
@@ -157,7 +157,7 @@ def titles(documents_: DataFrame) -> DataFrame:
     )
 
 
-@query(r"""WITH w AS (SELECT item_id, list_sort(list_distinct(list_filter(regexp_extract_all(lower(text), '[a-z0-9]+'), lambda x: length(x) >= 2))) AS words FROM benchmark),
+@query(r"""WITH w AS (SELECT item_id, list_sort(list_distinct(list_filter(regexp_extract_all(translate(lower(text), 'àáâãäåèéêëìíîïòóôõöùúûüýÿñçšžčćďěňřťůąęńśźżőű', 'aaaaaaeeeeiiiiooooouuuuyyncszccdenrtuaenszzou'), '[a-z0-9]+'), lambda x: length(x) >= 2))) AS words FROM benchmark),
     p AS (SELECT a.item_id AS a, b.item_id AS b, len(list_intersect(a.words, b.words)) AS common, len(a.words) AS na, len(b.words) AS nb FROM w a JOIN w b ON a.item_id < b.item_id)
     SELECT a, b, round(CASE WHEN na > 0 AND nb > 0 THEN greatest(common / (na + nb - common), CASE WHEN least(na, nb) >= 4 THEN 0.9 * common / least(na, nb) ELSE 0 END) ELSE 0 END, 6) AS score FROM p
     WHERE na > 0 AND nb > 0 AND greatest(common / (na + nb - common), CASE WHEN least(na, nb) >= 4 THEN 0.9 * common / least(na, nb) ELSE 0 END) >= 0.15""")

@@ -11,8 +11,6 @@ from noticeworks.functions.text import contains_all_words, percent
 from noticeworks.operators import documents, health, history, lifecycle
 from noticeworks.plans.base import query
 
-TODAY = F.lit("2001-08-02").cast("date")
-
 
 def conjunction(df: DataFrame, predicates: list) -> DataFrame:
     """Filters by those predicates that are set; None stands for a parameter that was not given."""

@@ -6,14 +6,18 @@ a source's frequency follows from its number.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from noticeworks.functions.text import iso_week, percent
 from noticeworks.operators import health, history
 from noticeworks.plans.base import query
 
-NOW = F.lit("2024-01-31 00:00:00").cast("timestamp")
+
+def now() -> Column:
+    return F.lit("2024-01-31 00:00:00").cast("timestamp")
+
+
 FREQUENCIES = ["daily", "thrice_weekly", "weekly", "biweekly", "monthly"]
 
 CHECKS_SQL = """
@@ -65,14 +69,14 @@ LIGHT_SQL = f"""
 @query(f"{LIGHT_SQL} SELECT * FROM light")
 def source_health(t) -> DataFrame:
     log = checks(t("events"))
-    return health.traffic_light(sources(log), log, NOW)
+    return health.traffic_light(sources(log), log, now())
 
 
 @query(f"""{LIGHT_SQL} SELECT c.colour, CAST(count(l.source_id) AS BIGINT) AS n
     FROM (VALUES ('red'), ('yellow'), ('green'), ('paused')) c(colour) LEFT JOIN light l USING (colour) GROUP BY 1""")
 def health_summary(t) -> DataFrame:
     log = checks(t("events"))
-    lights = health.traffic_light(sources(log), log, NOW)
+    lights = health.traffic_light(sources(log), log, now())
     return health.zero_filled(lights.groupBy("colour").agg(F.count("*").alias("n")), "colour", ["red", "yellow", "green", "paused"])
 
 
@@ -80,7 +84,7 @@ def health_summary(t) -> DataFrame:
     HAVING date_diff('second', max(started_at), TIMESTAMP '2024-01-31') >= 86400 * CASE frequency WHEN 'daily' THEN 1 WHEN 'thrice_weekly' THEN 2.33 WHEN 'weekly' THEN 7 WHEN 'biweekly' THEN 14 ELSE 30 END""")
 def due_sources(t) -> DataFrame:
     log = checks(t("events"))
-    return health.due(sources(log), log, NOW).select("source_id", "frequency", "last_check")
+    return health.due(sources(log), log, now()).select("source_id", "frequency", "last_check")
 
 
 @query("""SELECT user_id, event_id, ts, event_type FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS rn FROM events) WHERE rn = 1""")
@@ -105,7 +109,7 @@ def structure_changed(t) -> DataFrame:
     FROM events e LEFT JOIN good USING (user_id) WHERE event_type = 'error' AND (last_ok IS NULL OR ts > last_ok) GROUP BY 1""")
 def lockout(t) -> DataFrame:
     log = t("events").filter("event_type IN ('error', 'signup')").select("user_id", "ts", (F.col("event_type") == "signup").alias("ok"))
-    return health.lockout(log, NOW, 24 * 60)
+    return health.lockout(log, now(), 24 * 60)
 
 
 @query("""SELECT strftime(ts, '%G-W%V') AS week, CAST(count(*) AS BIGINT) AS n, CAST(count(DISTINCT user_id) AS BIGINT) AS sources
@@ -210,7 +214,7 @@ def run_ledger(t) -> DataFrame:
         F.col("user_id").alias("job"), F.col("event_id").alias("run_id"), F.col("ts").alias("started_at"),
         F.when(F.col("event_type") != "view", F.timestamp_seconds(F.unix_timestamp("ts") + F.floor("value"))).alias("ended_at"), (F.col("event_type") != "error").alias("ok"),
     )
-    return health.run_ledger(runs, NOW).select("job", "run_id", "status")
+    return health.run_ledger(runs, now()).select("job", "run_id", "status")
 
 
 @query("""SELECT user_id, CAST(count(*) AS BIGINT) AS n, CAST(sum(CASE WHEN event_type = 'error' THEN 1 ELSE 0 END) AS BIGINT) AS errors, max(ts) AS last_ts FROM events GROUP BY 1

@@ -18,12 +18,13 @@ LEAST_TITLE = 18
 
 
 class Page(HTMLParser):
-    def __init__(self) -> None:
+    def __init__(self, hidden: set[str] = HIDDEN) -> None:
         super().__init__(convert_charrefs=True)
+        self.kinds = hidden
         self.hidden, self.text, self.links, self.open = 0, [], [], None
 
     def handle_starttag(self, tag, attrs):
-        if tag in HIDDEN:
+        if tag in self.kinds:
             self.hidden += 1
         if tag in BREAKS:
             self.text.append("\n")
@@ -32,7 +33,7 @@ class Page(HTMLParser):
             self.open = [a.get("href") or "", a.get("title") or "", []]
 
     def handle_endtag(self, tag):
-        if tag in HIDDEN and self.hidden:
+        if tag in self.kinds and self.hidden:
             self.hidden -= 1
         if tag in BREAKS:
             self.text.append("\n")
@@ -48,8 +49,8 @@ class Page(HTMLParser):
                 self.open[2].append(data)
 
 
-def parsed(html: str | None) -> Page:
-    page = Page()
+def parsed(html: str | None, hidden: set[str] = HIDDEN) -> Page:
+    page = Page(hidden)
     page.feed(html or "")
     page.close()
     return page
@@ -60,10 +61,13 @@ def page_text(html: str | None) -> str | None:
     return "\n".join(line for line in lines if line) or None
 
 
-def page_links(url: str | None, html: str | None, least: int = LEAST_TITLE) -> list[tuple[str, str]]:
-    """(address, title) of candidate links: no anchors, titles long enough, each address once, files of this site only."""
+def page_links(url: str | None, html: str | None, least: int = LEAST_TITLE, chrome: bool = False) -> list[tuple[str, str]]:
+    """(address, title) of candidate links: no anchors, titles long enough, each address once, files of this site only.
+
+    chrome: links of menus, headers and footers too.
+    """
     seen, out = set(), []
-    for href, title in parsed(html).links:
+    for href, title in parsed(html, {"script", "style", "noscript", "template"} if chrome else HIDDEN).links:
         if not href or href.startswith(("#", "mailto:", "tel:", "javascript:")) or len(title) < least:
             continue
         try:
@@ -79,12 +83,12 @@ def page_links(url: str | None, html: str | None, least: int = LEAST_TITLE) -> l
     return out
 
 
-def links(pages: DataFrame, least: int = LEAST_TITLE) -> DataFrame:
+def links(pages: DataFrame, least: int = LEAST_TITLE, chrome: bool = False) -> DataFrame:
     """page_id, url, title of the links of each page (page_id, url, html)."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            rows = [(i, u, t) for i, url, html in zip(b.page_id, b.url, b.html, strict=True) for u, t in page_links(url, html, least)]
+            rows = [(i, u, t) for i, url, html in zip(b.page_id, b.url, b.html, strict=True) for u, t in page_links(url, html, least, chrome)]
             yield pd.DataFrame(rows, columns=["page_id", "url", "title"])
 
     return pages.select("page_id", "url", "html").mapInPandas(run, "page_id long, url string, title string")
