@@ -64,15 +64,22 @@ def components(edges: DataFrame, turns: int = 50) -> DataFrame:
 def link_groups(rows: DataFrame) -> DataFrame:
     """id, call (smallest announcement id of the call), how (code, url, title, new), doubt (a call it may belong to).
 
-    rows: id, source, issuer, territory, url_key, code, words, years, seen (order of arrival).
+    rows: id, source, issuer, territory, url_key, code, words, years, seen (order of arrival).  Equal titles are one
+    title, so copies cost nothing in the comparison; each title carries those that are alike into the ordered pass.
     """
     bad = ambiguous_urls(rows).select("source", "url_key", F.lit(True).alias("ambiguous"))
     rows = rows.join(bad, ["source", "url_key"], "left").withColumn("url", F.when(F.col("ambiguous").isNull(), F.col("url_key"))).drop("ambiguous")
+    sets = rows.groupBy("words", "years", "territory").agg(F.min("id").alias("title"))
+    rows = rows.join(sets, ["words", "years", "territory"]).checkpoint()
+    pairs = title_pairs(sets.withColumnRenamed("title", "id")).checkpoint()
     first = lambda key: rows.filter(F.col(key).isNotNull()).groupBy(key).agg(F.min("id").alias("a"))
     stars = [rows.join(first(k), k).select("a", F.col("id").alias("b")) for k in ("code", "url")]
-    edges = stars[0].union(stars[1]).union(title_pairs(rows).select("a", "b"))
-    grouped = rows.join(components(edges), rows.id == F.col("node"), "left").withColumn("component", F.coalesce("component", "id"))
-    columns = ["component", "id", "issuer", "territory", "url", "code", "words", "years", "seen"]
+    same = rows.filter(F.size("words") > 0).select(F.col("title").alias("a"), F.col("id").alias("b"))
+    edges = stars[0].union(stars[1]).union(same).union(pairs.select("a", "b"))
+    both = pairs.select("a", "b", "score").union(pairs.select("b", "a", "score"))
+    alike = both.groupBy(F.col("a").alias("title")).agg(F.collect_list(F.struct(F.col("b").alias("title"), "score")).alias("alike"))
+    grouped = rows.join(alike, "title", "left").join(components(edges), rows.id == F.col("node"), "left").withColumn("component", F.coalesce("component", "id"))
+    columns = ["component", "id", "issuer", "url", "code", "words", "years", "seen", "title", "alike"]
     return grouped.select(*columns).groupBy("component").applyInPandas(_ordered_pass, LINK_SCHEMA)
 
 
@@ -80,7 +87,7 @@ def _ordered_pass(group: pd.DataFrame) -> pd.DataFrame:
     calls: list[dict] = []
     by_code: dict[str, int] = {}
     by_url: dict[str, int] = {}
-    by_word: dict[str, set[int]] = defaultdict(set)
+    by_title: dict[int, list[int]] = defaultdict(list)
     out = []
     for r in group.sort_values(["seen", "id"]).itertuples(index=False):
         words, years = frozenset(r.words), frozenset(r.years)
@@ -93,22 +100,17 @@ def _ordered_pass(group: pd.DataFrame) -> pd.DataFrame:
                 doubt = at
             else:
                 found, how = at, "url"
-        if found is None and doubt is None:
-            best, score = None, 0.0
-            for at in sorted({c for w in words for c in by_word[w]}):
-                c = calls[at]
-                fits = (not years or not c["years"] or years <= c["years"] or c["years"] <= years) and (r.territory == c["territory"] or "ALL" in (r.territory, c["territory"]))
-                if fits and (s := _alike(words, c["words"])) > score:
-                    best, score = at, s
-            if best is not None and score >= SAME and r.issuer == calls[best]["issuer"] and years == calls[best]["years"]:
-                found, how = best, "title"
-            elif best is not None and score >= DOUBT:
-                doubt = best
+        if found is None and doubt is None and words:
+            near = [(1.0, r.title), *((x["score"], x["title"]) for x in (r.alike if r.alike is not None else ()))]
+            score, at = max(((s, -by_title[t][0]) for s, t in near if by_title[t]), default=(0.0, 0))
+            if score >= SAME and r.issuer == calls[-at]["issuer"] and years == calls[-at]["years"]:
+                found, how = -at, "title"
+            elif score >= DOUBT:
+                doubt = -at
         if found is None:
             found = len(calls)
-            calls.append({"words": words, "years": years, "issuer": r.issuer, "territory": r.territory, "ids": []})
-            for w in words:
-                by_word[w].add(found)
+            calls.append({"words": words, "years": years, "issuer": r.issuer, "ids": []})
+            by_title[r.title].append(found)
         calls[found]["ids"].append(r.id)
         if r.code is not None:
             by_code.setdefault(r.code, found)
