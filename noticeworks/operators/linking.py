@@ -67,6 +67,7 @@ def link_groups(rows: DataFrame) -> DataFrame:
     rows: id, source, issuer, territory, url_key, code, words, years, seen (order of arrival).  Equal titles are one
     title, so copies cost nothing in the comparison; each title carries those that are alike into the ordered pass.
     """
+    rows = rows.select("id", "source", "issuer", "territory", "url_key", "code", "words", "years", "seen")
     bad = ambiguous_urls(rows).select("source", "url_key", F.lit(True).alias("ambiguous"))
     rows = rows.join(bad, ["source", "url_key"], "left").withColumn("url", F.when(F.col("ambiguous").isNull(), F.col("url_key"))).drop("ambiguous")
     sets = rows.groupBy("words", "years", "territory").agg(F.min("id").alias("title"))
@@ -78,9 +79,12 @@ def link_groups(rows: DataFrame) -> DataFrame:
     edges = stars[0].union(stars[1]).union(same).union(pairs.select("a", "b"))
     both = pairs.select("a", "b", "score").union(pairs.select("b", "a", "score"))
     alike = both.groupBy(F.col("a").alias("title")).agg(F.collect_list(F.struct(F.col("b").alias("title"), "score")).alias("alike"))
-    grouped = rows.join(alike, "title", "left").join(components(edges), rows.id == F.col("node"), "left").withColumn("component", F.coalesce("component", "id"))
+    labels = components(edges)
     columns = ["component", "id", "issuer", "url", "code", "words", "years", "seen", "title", "alike"]
-    return grouped.select(*columns).groupBy("component").applyInPandas(_ordered_pass, LINK_SCHEMA)
+    grouped = rows.join(labels, rows.id == F.col("node")).join(alike, "title", "left").select(*columns)
+    linked = grouped.groupBy("component").applyInPandas(_ordered_pass, LINK_SCHEMA)
+    alone = rows.join(labels, rows.id == F.col("node"), "left_anti")
+    return linked.unionByName(alone.select("id", F.col("id").alias("call"), F.lit("new").alias("how"), F.lit(None).cast("long").alias("doubt")))
 
 
 def _ordered_pass(group: pd.DataFrame) -> pd.DataFrame:
