@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from noticeworks.functions.text import editions_compatible, jaccard, similarity
+from noticeworks.operators.lineage import cut_lineage
 
 DOUBT, SAME, UNLIKE = 0.6, 0.9, 0.2
 LINK_SCHEMA = "id long, call long, how string, doubt long"
@@ -48,13 +49,13 @@ def title_pairs(rows: DataFrame, least: float = DOUBT) -> DataFrame:
 
 def components(edges: DataFrame, turns: int = 50) -> DataFrame:
     """node, component: minimum label over edges (a, b), with pointer jumping; lineage is cut by checkpoints."""
-    both = edges.select("a", "b").union(edges.select("b", "a")).filter("a != b").distinct().checkpoint()
+    both = cut_lineage(edges.select("a", "b").union(edges.select("b", "a")).filter("a != b").distinct())
     labels = both.groupBy(F.col("a").alias("node")).agg(F.least(F.col("node"), F.min("b")).alias("component"))
     for _ in range(turns):
         near = both.join(labels, both.b == labels.node).groupBy("a").agg(F.min("component").alias("m"))
         step = labels.join(near, labels.node == near.a).select("node", F.least("component", "m").alias("c"), F.col("component").alias("old"))
         up = step.select(F.col("node").alias("c"), F.col("c").alias("component"))
-        step = step.join(up, "c").select("node", "component", "old").checkpoint()
+        step = cut_lineage(step.join(up, "c").select("node", "component", "old"))
         labels = step.select("node", "component")
         if not step.filter("component != old").limit(1).count():
             return labels
@@ -71,8 +72,8 @@ def link_groups(rows: DataFrame) -> DataFrame:
     bad = ambiguous_urls(rows).select("source", "url_key", F.lit(True).alias("ambiguous"))
     rows = rows.join(bad, ["source", "url_key"], "left").withColumn("url", F.when(F.col("ambiguous").isNull(), F.col("url_key"))).drop("ambiguous")
     sets = rows.groupBy("words", "years", "territory").agg(F.min("id").alias("title"))
-    rows = rows.join(sets, ["words", "years", "territory"]).checkpoint()
-    pairs = title_pairs(sets.withColumnRenamed("title", "id")).checkpoint()
+    rows = cut_lineage(rows.join(sets, ["words", "years", "territory"]))
+    pairs = cut_lineage(title_pairs(sets.withColumnRenamed("title", "id")))
     first = lambda key: rows.filter(F.col(key).isNotNull()).groupBy(key).agg(F.min("id").alias("a"))
     stars = [rows.join(first(k), k).select("a", F.col("id").alias("b")) for k in ("code", "url")]
     same = rows.filter(F.size("words") > 0).select(F.col("title").alias("a"), F.col("id").alias("b"))
