@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -21,7 +22,7 @@ def shared_dir(spark: SparkSession) -> str:
     if not folder:
         folder = f"file://{tempfile.mkdtemp(prefix='noticeworks-')}"
         spark.sparkContext.setCheckpointDir(folder)
-    return folder.rstrip("/")
+    return re.sub(r"^file:/(?!/)", "file:///", folder).rstrip("/")
 
 
 def fresh_path(spark: SparkSession, name: str) -> str:
