@@ -245,21 +245,20 @@ def near_classes(docs: DataFrame, similarity: float = SIMILARITY, id_col: str =
     chosen = texts.join(F.broadcast(nodes) if few else nodes, "doc_id", "left_semi")
     sets = staged(numbered_shingles(chosen), "near-shingles")
 
-    def linked(pairs: DataFrame) -> DataFrame:
+    def scored(pairs: DataFrame) -> DataFrame:
+        """a, b, both (common shingles), hit (similar enough)."""
         a = sets.select(F.col("node").alias("a"), F.col("shingles").alias("of_a"))
         b = sets.select(F.col("node").alias("b"), F.col("shingles").alias("of_b"))
-        both = F.size(F.array_intersect("of_a", "of_b"))
-        return (
-            pairs.join(b, "b").join(a, "a").withColumn("both", both)
-            .filter(F.col("both") >= F.lit(similarity) * (F.size("of_a") + F.size("of_b") - F.col("both")) - 1e-9)
-            .select("a", "b")
-        )
+        rows = pairs.join(b, "b").join(a, "a").withColumn("both", F.size(F.array_intersect("of_a", "of_b")))
+        hit = F.col("both") >= F.lit(similarity) * (F.size("of_a") + F.size("of_b") - F.col("both")) - 1e-9
+        return staged(rows.select("a", "b", "both", hit.alias("hit")), "near-links", narrow=True)
 
     alike = "least(n, m) >= {0} * greatest(n, m) - 1e-9".format(similarity)  # else the overlap is too small anyway
     heads = first.select(F.col("node").alias("leader"), F.col("n").alias("m"))
     pairs = buckets.filter("node <> leader").select("leader", "node", "n").distinct().join(heads, "leader").filter(alike)
     pairs = staged(pairs.select(F.col("leader").alias("a"), F.col("node").alias("b")), "near-pairs", narrow=True)
-    tested, edges, led = pairs, staged(linked(pairs), "near-links", narrow=True), 1
+    with_leader = scored(pairs)
+    tested, edges, led = pairs, with_leader.filter("hit").select("a", "b"), 1
     labels = components(edges)
     share = similarity / (1 + similarity)  # of n + m that the overlap must reach
 
@@ -281,7 +280,13 @@ def near_classes(docs: DataFrame, similarity: float = SIMILARITY, id_col: str =
     lone = lone.groupBy("shingle").agg(F.count("*").alias("copies"), F.min("node").alias("node")).filter("copies = 1")
     lone = lone.groupBy("node").agg(F.count("*").alias("lone"))
     rest = rest.join(lone, "node", "left").withColumn("own", F.col("n") - F.coalesce("lone", F.lit(0)))
-    rest = staged(still_split(rest).drop("lone"), "near-open", narrow=True)
+    # two nodes have in common what both share with the leader of the bucket, and else only what they share with others
+    overlap = with_leader.groupBy(F.col("a").alias("leader"), F.col("b").alias("node")).agg(F.max("both").alias("both"))
+    rest = still_split(rest).drop("lone").join(overlap, ["leader", "node"], "left")
+    first_node = F.col("node") == F.col("leader")
+    rest = rest.withColumn("inside", F.when(first_node, F.col("n")).otherwise(F.coalesce("both", "own")))
+    beyond = F.greatest(F.lit(0), F.col("own") - F.coalesce("both", F.lit(0)))
+    rest = staged(rest.withColumn("outside", F.when(first_node, F.lit(0)).otherwise(beyond)).drop("both"), "near-open", narrow=True)
     rest = rest.withColumn("led", F.col("node") == F.col("leader"))
     turns = 0
     while rest.limit(1).count():
@@ -294,18 +299,19 @@ def near_classes(docs: DataFrame, similarity: float = SIMILARITY, id_col: str =
             turn = F.pmod(F.xxhash64("bucket", "node"), F.col("size"))
             rest = rest.withColumn("leads", (turn < GROWTH * led) & ((turn >= led) | F.lit(led == 1)) & ~F.col("led"))
         rest = staged(rest, "near-open", narrow=True)
-        lead = rest.filter("leads").select("bucket", F.col("node").alias("head"), F.col("n").alias("m"), F.col("own").alias("others"), F.col("component").alias("other"))
+        lead = rest.filter("leads").select("bucket", F.col("node").alias("head"), F.col("n").alias("m"), F.col("own").alias("others"), F.col("component").alias("other"), F.col("inside").alias("inside_2"), F.col("outside").alias("outside_2"))
+        most = F.least(F.least("own", "others"), F.least("inside", "inside_2") + F.least("outside", "outside_2"))
         new = (
             rest.join(lead, "bucket")
             .filter("component != other").filter(alike)
-            .filter(F.least("own", "others") >= share * (F.col("n") + F.col("m")) - 1e-9)
+            .filter(most >= share * (F.col("n") + F.col("m")) - 1e-9)
             .select(F.least("node", "head").alias("a"), F.greatest("node", "head").alias("b")).distinct()
             .join(tested, ["a", "b"], "left_anti")
         )
         new = staged(new, "near-pairs", narrow=True)
         if new.limit(1).count():
             tested = tested.union(new)
-            edges = edges.union(staged(linked(new), "near-links", narrow=True))
+            edges = edges.union(scored(new).filter("hit").select("a", "b"))
             labels = components(edges, labels)
         if turns > CENTRES:
             led *= GROWTH
