@@ -9,9 +9,10 @@ until it passes the slowest register of its document.
 
 Equal texts are one node from the start.  Nodes that share a band are tested against leaders of that bucket -
 first its smallest node, then, while the bucket holds more than one component, 1, 2, 4, ... more of its nodes drawn
-by hash, until every node has led.  Nodes already connected are not tested again, and a node leaves a bucket once the shingles that it
-shares with any other open node are too few for a link there.  So a group of copies costs about its size rather than
-its square, and no pair that could still join two components is left out.
+by hash, until every node has led or few lie outside the largest component there, which then lead at once.  Nodes
+already connected are not tested again, and a node leaves a bucket once the shingles that it shares with any other
+open node are too few for a link there.  So a group of copies costs about its size rather than its square, and no pair
+that could still join two components is left out.
 """
 
 from __future__ import annotations
@@ -263,12 +264,16 @@ def near_classes(docs: DataFrame, similarity: float = SIMILARITY, id_col: str =
     share = similarity / (1 + similarity)  # of n + m that the overlap must reach
 
     def still_split(rows: DataFrame) -> DataFrame:
-        """Rows of buckets with nodes of two components, without nodes that are too lonely to link to any node there."""
-        low = rows.groupBy("bucket").agg(F.min("n").alias("low"))
+        """Rows of buckets with nodes of two components, without nodes that are too lonely to link to any node there.
+
+        main: the largest component of the bucket; outside_main: how many nodes at most are in others.
+        """
+        parts = rows.groupBy("bucket", "component").agg(F.count("*").alias("k"), F.min("n").alias("low"))
+        main = F.max_by("component", F.struct(F.col("k"), -F.col("component"))).alias("main")
+        parts = parts.groupBy("bucket").agg(F.min("low").alias("low"), main, (F.sum("k") - F.max("k")).alias("outside_main"))
         near = F.greatest(F.col("low"), F.lit(similarity) * F.col("n"))
-        rows = rows.join(low, "bucket").filter(F.col("own") >= share * (F.col("n") + near) - 1e-9).drop("low")
-        parts = rows.groupBy("bucket").agg(F.min("component").alias("least"), F.max("component").alias("most")).filter("least != most")
-        return rows.join(parts.select("bucket"), "bucket", "left_semi")
+        rows = rows.drop("main", "outside_main").join(parts.filter("outside_main > 0"), "bucket")
+        return rows.filter(F.col("own") >= share * (F.col("n") + near) - 1e-9).drop("low")
 
     def with_components(rows: DataFrame) -> DataFrame:
         return rows.join(labels, "node", "left").withColumn("component", F.coalesce("component", "node"))
@@ -283,6 +288,8 @@ def near_classes(docs: DataFrame, similarity: float = SIMILARITY, id_col: str =
     # two nodes have in common what both share with the leader of the bucket, and else only what they share with others
     overlap = with_leader.groupBy(F.col("a").alias("leader"), F.col("b").alias("node")).agg(F.max("both").alias("both"))
     rest = still_split(rest).drop("lone").join(overlap, ["leader", "node"], "left")
+    # of the buckets that two nodes share, the smallest one tests them, once leaders are many
+    rest = rest.join(rest.groupBy("node").agg(F.collect_list("bucket").alias("among")), "node")
     first_node = F.col("node") == F.col("leader")
     rest = rest.withColumn("inside", F.when(first_node, F.col("n")).otherwise(F.coalesce("both", "own")))
     beyond = F.greatest(F.lit(0), F.col("own") - F.coalesce("both", F.lit(0)))
@@ -297,13 +304,16 @@ def near_classes(docs: DataFrame, similarity: float = SIMILARITY, id_col: str =
             rest = rest.join(heads, "bucket", "left").withColumn("leads", F.coalesce(F.col("node") == F.col("head"), F.lit(False))).drop("head")
         else:
             turn = F.pmod(F.xxhash64("bucket", "node"), F.col("size"))
-            rest = rest.withColumn("leads", (turn < GROWTH * led) & ((turn >= led) | F.lit(led == 1)) & ~F.col("led"))
+            last = (F.col("outside_main") <= GROWTH * led) & F.lit(led > 1)
+            drawn = (turn < GROWTH * led) & ((turn >= led) | F.lit(led == 1))
+            rest = rest.withColumn("leads", F.when(last, F.col("component") != F.col("main")).otherwise(drawn) & ~F.col("led")).withColumn("last", last)
         rest = staged(rest, "near-open", narrow=True)
-        lead = rest.filter("leads").select("bucket", F.col("node").alias("head"), F.col("n").alias("m"), F.col("own").alias("others"), F.col("component").alias("other"), F.col("inside").alias("inside_2"), F.col("outside").alias("outside_2"))
+        lead = rest.filter("leads").select("bucket", F.col("node").alias("head"), F.col("n").alias("m"), F.col("own").alias("others"), F.col("component").alias("other"), F.col("inside").alias("inside_2"), F.col("outside").alias("outside_2"), F.col("among").alias("among_2"))
         most = F.least(F.least("own", "others"), F.least("inside", "inside_2") + F.least("outside", "outside_2"))
+        owned = F.col("bucket") == F.array_min(F.array_intersect("among", "among_2"))
         new = (
             rest.join(lead, "bucket")
-            .filter("component != other").filter(alike)
+            .filter("component != other").filter(alike).filter(owned | F.lit(turns <= CENTRES))
             .filter(most >= share * (F.col("n") + F.col("m")) - 1e-9)
             .select(F.least("node", "head").alias("a"), F.greatest("node", "head").alias("b")).distinct()
             .join(tested, ["a", "b"], "left_anti")
@@ -315,6 +325,7 @@ def near_classes(docs: DataFrame, similarity: float = SIMILARITY, id_col: str =
             labels = components(edges, labels)
         if turns > CENTRES:
             led *= GROWTH
+            rest = rest.filter("NOT last").drop("last")
         rest = rest.withColumn("led", F.col("led") | F.col("leads")).drop("leads", "component")
         rest = still_split(with_components(rest.filter((F.col("size") > led) | F.lit(turns <= CENTRES))))
         rest = staged(rest, "near-open", narrow=True)
