@@ -38,7 +38,7 @@ def month_to_date_cost(t) -> DataFrame:
 @query("""SELECT event_type, CAST(count(*) AS BIGINT) AS n, round(count(*) * CASE event_type WHEN 'click' THEN 0.017 WHEN 'view' THEN 0.0046 WHEN 'error' THEN 0.0097 ELSE 0.1 END, 6) AS estimate FROM events GROUP BY 1""")
 def in_flight_cost(t) -> DataFrame:
     n = t("events").groupBy("event_type").agg(F.count("*").alias("n"))
-    return n.withColumn("estimate", F.round(notices.in_flight(F.col("n"), F.col("event_type"), {"click": 0.017, "view": 0.0046, "error": 0.0097}), 6))
+    return n.withColumn("estimate", notices.in_flight(F.col("n"), F.col("event_type"), {"click": "0.017", "view": "0.0046", "error": "0.0097"}))
 
 
 @query("""SELECT n_name, CAST(count(c_custkey) AS BIGINT) AS customers, CAST(count(c_custkey) FILTER (WHERE c_acctbal < 0) AS BIGINT) AS negative, round(100.0 * count(c_custkey) FILTER (WHERE c_acctbal < 0) / greatest(count(c_custkey), 1), 1) AS share
