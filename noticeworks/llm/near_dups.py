@@ -280,6 +280,8 @@ def near_classes(docs: DataFrame, similarity: float = SIMILARITY, id_col: str =
 
     rest = still_split(with_components(buckets.filter("size > 2").withColumn("own", F.col("n"))))
     rest = staged(rest.select("bucket", "node", "n", "size", "leader", "component"), "near-open", narrow=True)
+    # of the open buckets that two nodes share, the smallest one tests them, once leaders are many
+    among = rest.groupBy("node").agg(F.collect_list("bucket").alias("among"))
     # shingles that no other node of an open bucket has can be in no overlap
     lone = sets.join(rest.select("node").distinct(), "node", "left_semi").select("node", F.explode("shingles").alias("shingle"))
     lone = lone.groupBy("shingle").agg(F.count("*").alias("copies"), F.min("node").alias("node")).filter("copies = 1")
@@ -288,8 +290,7 @@ def near_classes(docs: DataFrame, similarity: float = SIMILARITY, id_col: str =
     # two nodes have in common what both share with the leader of the bucket, and else only what they share with others
     overlap = with_leader.groupBy(F.col("a").alias("leader"), F.col("b").alias("node")).agg(F.max("both").alias("both"))
     rest = still_split(rest).drop("lone").join(overlap, ["leader", "node"], "left")
-    # of the buckets that two nodes share, the smallest one tests them, once leaders are many
-    rest = rest.join(rest.groupBy("node").agg(F.collect_list("bucket").alias("among")), "node")
+    rest = rest.join(among, "node")
     first_node = F.col("node") == F.col("leader")
     rest = rest.withColumn("inside", F.when(first_node, F.col("n")).otherwise(F.coalesce("both", "own")))
     beyond = F.greatest(F.lit(0), F.col("own") - F.coalesce("both", F.lit(0)))
