@@ -57,7 +57,7 @@ STAGES = [
     ("packing", packing_stage),
 ]
 
-#: SQL has no BagMinHash, fitted rules or tokenizer; the tests compare the stages with brute force instead.
+#: SQL has no BagMinHash, fitted rules or tokenizer; tests compare near duplicates and the operators with brute force instead.
 ORACLE_SQL = None
 
 
