@@ -8,7 +8,8 @@ v = 31); here the cover is chosen by content - in each window the position of th
 the same property with 2 / (length - gram + 2) of them (7 %).
 
 1. Documents are gathered, as they lie, into blocks of a few MB (written once, compressed).
-2. Each block sends the distinct hashes of its sampled grams to buckets; a bucket tells which occur in two blocks.
+2. Each block sends the distinct hashes of its sampled grams to buckets; a bucket tells which occur in two blocks, and
+   which are *hot*, that is, sampled at very many places.
 3. Each block sends the suffixes sampled at such grams, with what stands ``length - gram`` bytes before them, once
    for each distinct context with its smallest document.  One suffix bucket at a time is sorted: forward contexts
    and backward contexts give ranks with common-prefix lengths, and a window that starts d bytes before a sampled
@@ -16,8 +17,11 @@ the same property with 2 / (length - gram + 2) of them (7 %).
    The smallest document of each name decides.
 4. The verdicts go back to the blocks, where documents lose the covered bytes.
 
-A block sends a context once however often it holds it, so a passage in a third of all documents weighs in a bucket
-no more than the number of blocks.  Nothing is capped or sampled away.
+A block sends a context once however often it holds it.  Contexts within a common passage are equal everywhere, but
+those at its first and last samples also hold what stands around it, another text in each document, under one gram.
+Hot grams therefore send no contexts but their windows, each once a block with its smallest document, dealt by their
+own text: what differs is spread over all buckets, and what is equal weighs in a bucket no more than the number of
+blocks.  Nothing is capped or sampled away.
 """
 
 from __future__ import annotations
@@ -40,6 +44,9 @@ LENGTH = 50
 BLOCK_BYTES = 2 << 20
 STRETCH = 1 << 20
 BUCKET_BYTES = 64 << 20
+#: Places at which a gram is sampled before its windows are dealt one by one.  A block tells how often it holds a gram
+#: only from MANY on, so at most MANY times as many places can meet.
+HOT, MANY = 16_384, 8
 RESULT = "n_bytes long, n_removed long, n_spans long, kept binary"
 
 
@@ -196,6 +203,41 @@ class Classes:
         self.later = ids > ids[self.head][self.of] if len(pick) else np.zeros(0, bool)
 
 
+class Windows:
+    """Equal windows of the picked positions; the smallest document of each, first place first, stands for it."""
+
+    def __init__(self, block: Block, sample: Sample, pick: np.ndarray, length: int):
+        count = sample.count[pick]
+        self.owner = np.repeat(np.arange(len(pick)), count)
+        start = sample.first[pick][self.owner] + np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
+        self.depth = sample.anchor[pick][self.owner] - start
+        rows = np.lib.stride_tricks.sliding_window_view(block.bytes, length)[start] if len(start) else np.zeros((0, length), np.uint8)
+        ids = block.ids[sample.doc[pick]][self.owner]
+        smallest, self.of = smallest_of_equal(rows, ids, start)
+        self.later = ids > ids[smallest][self.of]
+        self.start, self.ids, self.rows = start[smallest], ids[smallest], rows[smallest]
+
+
+def smallest_of_equal(rows: np.ndarray, *keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of each class of equal rows the place of the one with the smallest keys; and the class of each row."""
+    words = big_words(rows)
+    order = np.lexsort((*keys[::-1], *words.T[::-1]))
+    new = np.ones(len(order), bool)
+    new[1:] = (words[order[1:]] != words[order[:-1]]).any(1)
+    of = np.empty(len(order), np.int64)
+    of[order] = np.cumsum(new) - 1
+    return order[new], of
+
+
+def text_hashes(rows: np.ndarray) -> np.ndarray:
+    """A 64-bit hash of each row of bytes."""
+    out = np.zeros(len(rows), np.uint64)
+    for word in big_words(rows).T:
+        out = (out ^ word) * SPREAD
+        out ^= out >> np.uint64(29)
+    return out
+
+
 def big_words(rows: np.ndarray) -> np.ndarray:
     """Rows of bytes as rows of 64-bit words that sort like the bytes."""
     pad = -rows.shape[1] % 8
@@ -256,7 +298,7 @@ def verdicts(rows: np.ndarray, ids: np.ndarray, length: int) -> np.ndarray:
 # --- the job --------------------------------------------------------------------------------------------------
 
 
-def remove_repeats(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id", text_col: str = "text", block_bytes: int = BLOCK_BYTES) -> DataFrame:
+def remove_repeats(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id", text_col: str = "text", block_bytes: int = BLOCK_BYTES, hot: int = HOT) -> DataFrame:
     """All columns of docs, and n_bytes, n_removed, n_spans (maximal removed runs), kept (the remaining bytes).
 
     A null text counts as empty and keeps nothing; a null id counts as larger than any other; documents of one id
@@ -276,13 +318,15 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id"
     def send_hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for number, raw in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                hashes = np.unique(Sample(Block(raw.as_py()), length).hash)
+                hashes, count = np.unique(Sample(Block(raw.as_py()), length).hash, return_counts=True)
                 order, edges = by_bucket(hashes, buckets)
                 six = hashes[order].view(np.uint8).reshape(-1, 8)[:, :6]
                 full = np.flatnonzero(np.diff(edges))
+                count = count[order]
+                many = [often(count[edges[b] : edges[b + 1]]) for b in full]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(full, pa.int32()), pa.array([number] * len(full), pa.int64()), pa.array([six[edges[b] : edges[b + 1]].tobytes() for b in full], pa.binary())],
-                    names=["bucket", "block", "hashes"],
+                    [pa.array(full, pa.int32()), pa.array([number] * len(full), pa.int64()), pa.array([six[edges[b] : edges[b + 1]].tobytes() for b in full], pa.binary()), pa.array(many, pa.binary())],
+                    names=["bucket", "block", "hashes", "many"],
                 )
 
     def find_repeated(group: pa.Table) -> pa.Table:
@@ -292,21 +336,39 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id"
         wide[:, :6] = np.frombuffer(b"".join(raw), np.uint8).reshape(-1, 6)
         _, back, count = np.unique(wide.view(np.uint64).ravel(), return_inverse=True, return_counts=True)
         parts = np.split(count[back] > 1, np.cumsum(sizes)[:-1])
+        weight = np.ones(len(back), np.int64)
+        for at, many in zip(np.cumsum(sizes) - sizes, group.column("many").to_pylist(), strict=True):
+            place, n = np.frombuffer(many, np.int64).reshape(2, -1)
+            weight[at + place] = n
+        warm = np.split((np.bincount(back, weight) > hot)[back], np.cumsum(sizes)[:-1])
         return pa.table(
-            {"block": group.column("block"), "bucket": group.column("bucket"), "bits": pa.array([np.packbits(p).tobytes() for p in parts], pa.binary())},
-            schema=pa.schema([("block", pa.int64()), ("bucket", pa.int32()), ("bits", pa.binary())]),
+            {
+                "block": group.column("block"), "bucket": group.column("bucket"), "bits": pa.array([np.packbits(p).tobytes() for p in parts], pa.binary()),
+                "hot": pa.array([np.packbits(p).tobytes() if p.any() else b"" for p in warm], pa.binary()),
+            },
+            schema=pa.schema([("block", pa.int64()), ("bucket", pa.int32()), ("bits", pa.binary()), ("hot", pa.binary())]),
         )
 
     def send_contexts(left: pa.Table, right: pa.Table) -> pa.Table:
-        out: dict[str, list] = {"bucket": [], "block": [], "n": [], "contexts": []}
+        out: dict[str, list] = {"bucket": [], "block": [], "n": [], "windows": [], "contexts": []}
+
+        def send(number: int, hashes: np.ndarray, windows: bool, *columns: np.ndarray) -> None:
+            order, edges = by_bucket(hashes, buckets)
+            for b in np.flatnonzero(np.diff(edges)).tolist():
+                part = order[edges[b] : edges[b + 1]]
+                for name, value in zip(out, (b, number, len(part), windows, blob(*(c[part] for c in columns))), strict=True):
+                    out[name].append(value)
+
         for number, raw in zip(left.column("block").to_pylist(), left.column("data"), strict=True):
             block = Block(raw.as_py())
             sample = Sample(block, length)
             hashes, back = np.unique(sample.hash, return_inverse=True)
             order, edges = by_bucket(hashes, buckets)
-            repeated = np.zeros(len(hashes), bool)
-            for b, bits in zip(right.column("bucket").to_pylist(), right.column("bits").to_pylist(), strict=True):
+            repeated, warm = np.zeros(len(hashes), bool), np.zeros(len(hashes), bool)
+            for b, bits, more in zip(*(right.column(c).to_pylist() for c in ("bucket", "bits", "hot")), strict=True):
                 part = order[edges[b] : edges[b + 1]]
+                if more:
+                    warm[part] = np.unpackbits(np.frombuffer(more, np.uint8), count=len(part)).astype(bool)
                 repeated[part] = np.unpackbits(np.frombuffer(bits, np.uint8), count=len(part)).astype(bool)
             if len(hashes):  # or in two documents of this block
                 low, high = np.full(len(hashes), len(block.ids)), np.full(len(hashes), -1)
@@ -315,29 +377,33 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id"
                 repeated |= low < high
             pick = np.flatnonzero(repeated[back]) if len(hashes) else np.zeros(0, np.int64)
             classes = Classes(block, sample, pick, length)
-            head = classes.head
-            order, edges = by_bucket(sample.hash[pick[head]], buckets)
-            head = head[order]
-            for b in np.flatnonzero(np.diff(edges)).tolist():
-                part = head[edges[b] : edges[b + 1]]
-                out["bucket"].append(b)
-                out["block"].append(number)
-                out["n"].append(len(part))
-                out["contexts"].append(blob(sample.first[pick[part]], classes.ids[part], classes.rows[part]))
-        return pa.table(out, schema=pa.schema([("bucket", pa.int32()), ("block", pa.int64()), ("n", pa.int64()), ("contexts", pa.binary())]))
+            apart = warm[back[pick[classes.head]]] if len(pick) else np.zeros(0, bool)
+            head = classes.head[~apart]
+            send(number, sample.hash[pick[head]], False, sample.first[pick[head]], classes.ids[head], classes.rows[head])
+            if apart.any():
+                windows = Windows(block, sample, pick[classes.head[apart]], length)
+                send(number, text_hashes(windows.rows), True, windows.start, windows.ids, windows.rows)
+        return pa.table(out, schema=pa.schema([("bucket", pa.int32()), ("block", pa.int64()), ("n", pa.int64()), ("windows", pa.bool_()), ("contexts", pa.binary())]))
 
     def judge(group: pa.Table) -> pa.Table:
-        sizes = group.column("n").to_pylist()
+        done = [judged_kind(group.filter(pc.equal(group.column("windows"), kind)), kind) for kind in (False, True)]
+        return pa.concat_tables(done)
+
+    def judged_kind(group: pa.Table, windows: bool) -> pa.Table:
+        sizes, wide = group.column("n").to_pylist(), length if windows else width
         firsts, ids, rows_ = [], [], []
         for n, raw in zip(sizes, group.column("contexts").to_pylist(), strict=True):
-            flat = bytes_of(raw, n * (16 + width))
+            flat = bytes_of(raw, n * (16 + wide))
             firsts.append(np.frombuffer(flat, np.int64, n))
             ids.append(np.frombuffer(flat, np.int64, n, 8 * n))
-            rows_.append(np.frombuffer(flat, np.uint8, n * width, 16 * n).reshape(n, width))
-        masks = np.split(verdicts(np.concatenate(rows_), np.concatenate(ids), length), np.cumsum(sizes)[:-1])
+            rows_.append(np.frombuffer(flat, np.uint8, n * wide, 16 * n).reshape(n, wide))
+        out: list[np.ndarray] = []
+        if sizes:
+            judge_rows = later_windows if windows else lambda r, i: verdicts(r, i, length)
+            out = np.split(judge_rows(np.concatenate(rows_), np.concatenate(ids)), np.cumsum(sizes)[:-1])
         return pa.table(
-            {"block": group.column("block"), "n": group.column("n"), "verdicts": pa.array([blob(f, m) for f, m in zip(firsts, masks, strict=True)], pa.binary())},
-            schema=pa.schema([("block", pa.int64()), ("n", pa.int64()), ("verdicts", pa.binary())]),
+            {"block": group.column("block"), "n": group.column("n"), "windows": group.column("windows"), "verdicts": pa.array([blob(f, m) for f, m in zip(firsts, out, strict=True)], pa.binary())},
+            schema=pa.schema([("block", pa.int64()), ("n", pa.int64()), ("windows", pa.bool_()), ("verdicts", pa.binary())]),
         )
 
     schema = T.StructType([f for f in rows.schema.fields] + T._parse_datatype_string(RESULT).fields)
@@ -369,35 +435,61 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id"
         return pa.concat_tables(parts)
 
     bits = (
-        blocks.select("block", "data").mapInArrow(send_hashes, "bucket int, block long, hashes binary")
-        .groupBy("bucket").applyInArrow(find_repeated, "block long, bucket int, bits binary")
+        blocks.select("block", "data").mapInArrow(send_hashes, "bucket int, block long, hashes binary, many binary")
+        .groupBy("bucket").applyInArrow(find_repeated, "block long, bucket int, bits binary, hot binary")
     )
     data = blocks.select("block", "data")
     judged = (
         data.groupBy("block").cogroup(bits.groupBy("block"))
-        .applyInArrow(send_contexts, "bucket int, block long, n long, contexts binary")
-        .groupBy("bucket").applyInArrow(judge, "block long, n long, verdicts binary")
+        .applyInArrow(send_contexts, "bucket int, block long, n long, windows boolean, contexts binary")
+        .groupBy("bucket").applyInArrow(judge, "block long, n long, windows boolean, verdicts binary")
     )
     return data.groupBy("block").cogroup(judged.groupBy("block")).applyInArrow(cut, schema)
 
 
+def often(count: np.ndarray) -> bytes:
+    """Where a block holds a gram MANY times or more, and how often."""
+    at = np.flatnonzero(count >= MANY)
+    return np.concatenate([at, count[at]]).astype(np.int64).tobytes()
+
+
+def later_windows(rows: np.ndarray, ids: np.ndarray) -> np.ndarray:
+    """For each window 1 if an equal one is in a smaller document, else 0."""
+    smallest, of = smallest_of_equal(rows, ids)
+    return (ids > ids[smallest][of]).astype(np.uint8)
+
+
 def covered(block: Block, verdict_rows: pa.Table, length: int, mask_words: int) -> np.ndarray:
     """The bytes of a block that go."""
     steps = np.zeros(len(block.bytes) + 1, np.int64)
     sample = Sample(block, length)
     firsts, masks = [np.zeros(0, np.int64)], [np.zeros((0, mask_words), np.uint64)]
-    for n, raw in zip(verdict_rows.column("n").to_pylist(), verdict_rows.column("verdicts").to_pylist(), strict=True):
-        flat = bytes_of(raw, n * 8 * (1 + mask_words))
-        firsts.append(np.frombuffer(flat, np.int64, n))
-        masks.append(np.frombuffer(flat, np.uint64, n * mask_words, 8 * n).reshape(n, mask_words))
-    first, mask = np.concatenate(firsts), np.concatenate(masks)
-    if not len(first):
+    starts, flags = [np.zeros(0, np.int64)], [np.zeros(0, np.uint8)]
+    for n, windows, raw in zip(*(verdict_rows.column(c).to_pylist() for c in ("n", "windows", "verdicts")), strict=True):
+        flat = bytes_of(raw, n * (9 if windows else 8 * (1 + mask_words)))
+        (starts if windows else firsts).append(np.frombuffer(flat, np.int64, n))
+        if windows:
+            flags.append(np.frombuffer(flat, np.uint8, n, 8 * n))
+        else:
+            masks.append(np.frombuffer(flat, np.uint64, n * mask_words, 8 * n).reshape(n, mask_words))
+    first, mask, start, flag = (np.concatenate(x) for x in (firsts, masks, starts, flags))
+    if not len(first) and not len(start):
         return np.zeros(len(block.bytes), bool)
     heads = np.searchsorted(sample.first, first)  # first windows are in order
-    pick = np.flatnonzero(np.isin(sample.hash, np.unique(sample.hash[heads])))
+    apart = np.unique(sample.hash[np.searchsorted(sample.first, start, "right") - 1])
+    pick = np.flatnonzero(np.isin(sample.hash, np.concatenate([sample.hash[heads], apart])))
     classes = Classes(block, sample, pick, length)
     of_class = np.zeros((len(classes.head), mask_words), np.uint64)
     of_class[classes.of[np.searchsorted(pick, heads)]] = mask
+    if len(start):  # the same windows as were sent, and their verdicts in the form of the others
+        at = np.flatnonzero(np.isin(sample.hash[pick[classes.head]], apart))
+        sent = Windows(block, sample, pick[classes.head[at]], length)
+        verdict = np.zeros(len(sent.start), bool)
+        order = np.argsort(sent.start)
+        verdict[order[np.searchsorted(sent.start, start, sorter=order)]] = flag.astype(bool)
+        late = sent.later | verdict[sent.of]
+        depth = sent.depth[late].astype(np.uint64)
+        np.bitwise_or.at(of_class, (at[sent.owner[late]], depth // np.uint64(64)), np.uint64(1) << (depth % np.uint64(64)))
     where, count, anchor = sample.first[pick], sample.count[pick], sample.anchor[pick]
     late = classes.later
     np.add.at(steps, where[late], 1)
