@@ -3,7 +3,8 @@
 Numbers that pass their check (Luhn, mod 97, octets, calendar, ...) are permuted within their own format by a keyed
 Feistel network: a card number becomes another valid card number with the same spacing, a date another date.  One
 key gives one permutation, so equal values stay equal across documents and different ones different.  Mail addresses
-and secrets, which have no number format, become keyed digests of the same kind.  What fails its check is left alone.
+and secrets, which have no number format, become keyed digests of the same kind.  What fails its check is left alone, unless
+a word like "password" stands before it: then it is a secret, whatever it looks like.
 """
 
 from __future__ import annotations
@@ -20,11 +21,28 @@ ROUNDS = 10
 DEMO_KEY = "demonstration-key"
 
 OCTET = r"(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)"
+SECRET_WORD = r"(?i:token|secret|passwd|password|api_key|apikey)\s{0,2}[=:]\s{0,2}[\"']?"
+#: Length of an IBAN by country (fixed values); a longer run of groups is an IBAN and something else.
+IBAN_LENGTHS = {
+    15: "NO", 16: "BE", 18: "DK FI FK FO GL NL SD", 19: "MK SI", 20: "AT BA EE KZ LT LU MN XK", 21: "CH HR LI LV", 22: "BG BH CR DE GB GE IE ME RS VA",
+    23: "AE GI IL IQ OM SO TL", 24: "AD CZ ES MD PK RO SA SE SK TN VG", 25: "LY PT ST", 26: "IS TR", 27: "BI DJ FR GR IT MC MR SM", 28: "AL AZ BY CY DO GT HU LB NI PL SV",
+    29: "BR EG PS QA UA", 30: "JO KW MU YE", 31: "MT SC", 32: "LC", 33: "RU",
+}
+
+
+def iban_pattern() -> str:
+    known = "|".join(IBAN_LENGTHS.values()).replace(" ", "|")
+    groups = lambda n: rf"(?: ?[A-Z0-9]{{4}}){{{n // 4}}}" + (rf" ?[A-Z0-9]{{{n % 4}}}" if n % 4 else "")
+    parts = [rf"(?:{countries.replace(' ', '|')})\d{{2}}{groups(n - 4)}" for n, countries in IBAN_LENGTHS.items()]
+    other = rf"(?!{known})[A-Z]{{2}}\d{{2}}(?: ?[A-Z0-9]{{4}}){{2,7}}(?: ?[A-Z0-9]{{1,3}})?"
+    return rf"(?<![A-Za-z0-9])(?=[A-Z]{{2}}\d{{2}})(?:{'|'.join([*parts, other])})(?![A-Za-z0-9])"
+
+
 PATTERNS = {
     "mail": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}+@(?:[A-Za-z0-9-]{1,63}\.){1,8}[A-Za-z]{2,24}",
     "cloud_key": r"(?<![A-Za-z0-9])(?:AKIA|ASIA)[A-Z0-9]{16}(?![A-Za-z0-9])",
     "secret": r"(?i:(?<=(?:token|secret|passwd|password|api_key|apikey)\s{0,2}[=:]\s{0,2}[\"']?))[A-Za-z0-9+/_-]{12,128}(?![A-Za-z0-9+/_-])",
-    "iban": r"(?<![A-Za-z0-9])[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])",
+    "iban": iban_pattern(),
     "ip": rf"(?<!\d)(?<!\d\.)(?:{OCTET}\.){{3}}{OCTET}(?!\.?\d)",
     "date": r"(?<![\d./-])(?:\d{4}-\d{2}-\d{2}|\d{2}[./]\d{2}[./]\d{4})(?![./-]?\d)",
     "social": r"(?<![\d-])\d{3}-\d{2}-\d{4}(?!-?\d)",
@@ -259,14 +277,19 @@ def pseudonymised(docs: DataFrame, key: str, text_col: str = "text", count_col:
     text = F.col(text_col)
     possible = text.rlike("[0-9@]|(?i:token|secret|passw|api_?key)")
     work = docs.withColumn("__found", F.when(possible, F.regexp_extract_all(text, F.lit(ANY), F.lit(0))))
-    work = work.withColumn("__new", F.when(F.size("__found") > 0, F.transform("__found", lambda m: pseudonym(key, m))))
-    gaps = F.split(text, ANY, -1)
+    work = work.withColumn("__gaps", F.when(F.size("__found") > 0, F.split(text, ANY, -1)))
+    found, gaps = F.col("__found"), F.col("__gaps")
+    # what stands before each match, back to the match before
+    before = F.transform(found, lambda m, i: F.concat(F.when(i > 0, F.get(found, i - 1)).otherwise(""), F.get(gaps, i)))
+    work = work.withColumn("__secret", F.when(F.size("__found") > 0, F.transform(before, lambda b: b.rlike(f"{SECRET_WORD}$"))))
+    new = F.zip_with("__found", "__secret", lambda m, s: named(pseudonym(key, m), lambda n: F.when(s & (n == m), secret(key, m)).otherwise(n)))
+    work = work.withColumn("__new", F.when(F.size("__found") > 0, new))
     joined = F.concat(F.array_join(F.zip_with(F.slice(gaps, 1, F.size("__new")), "__new", lambda g, n: F.concat(g, n)), ""), F.element_at(gaps, -1))
     changed = F.size(F.filter(F.zip_with("__found", "__new", lambda a, b: a != b), lambda x: x))
     out = work.withColumn(text_col, F.when(F.col("__new").isNotNull(), joined).otherwise(text))
     if count_col:
         out = out.withColumn(count_col, F.when(F.col("__new").isNotNull(), changed).otherwise(F.lit(0)))
-    return out.drop("__found", "__new")
+    return out.drop("__found", "__gaps", "__secret", "__new")
 
 
 def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
