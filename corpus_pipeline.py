@@ -34,8 +34,8 @@ def near_dup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 def passage_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Cuts bytes of 50-byte strings that an earlier document holds; a character cut in two goes, a null text stays null."""
-    cut = passages.remove_repeats(docs)
-    kept = F.when(F.col("n_removed") == 0, F.col("text")).otherwise(F.replace(F.make_valid_utf8("kept"), F.lit("\ufffd"), F.lit("")))
+    cut = passages.remove_repeats(docs, whole_characters=True)
+    kept = F.when(F.col("n_removed") == 0, F.col("text")).otherwise(F.col("kept").cast("string"))
     return same_columns(cut.withColumn("text", kept), docs)
 
 

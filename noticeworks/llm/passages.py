@@ -298,12 +298,12 @@ def verdicts(rows: np.ndarray, ids: np.ndarray, length: int) -> np.ndarray:
 # --- the job --------------------------------------------------------------------------------------------------
 
 
-def remove_repeats(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id", text_col: str = "text", block_bytes: int = BLOCK_BYTES, hot: int = HOT) -> DataFrame:
+def remove_repeats(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id", text_col: str = "text", block_bytes: int = BLOCK_BYTES, hot: int = HOT, whole_characters: bool = False) -> DataFrame:
     """All columns of docs, and n_bytes, n_removed, n_spans (maximal removed runs), kept (the remaining bytes).
 
     A null text counts as empty and keeps nothing; a null id counts as larger than any other; documents of one id
     do not affect one another; texts shorter than ``length`` bytes lose nothing.  Columns of docs that are named
-    like a result give way to it.  An empty table gives an empty result.
+    like a result give way to it.  whole_characters: a UTF-8 character that loses a byte goes whole.  An empty table gives an empty result.
     """
     spark = docs.sparkSession
     names = {part.split()[0].lower() for part in RESULT.split(", ")}
@@ -414,6 +414,10 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id"
         for raw in left.column("data"):
             block = Block(raw.as_py())
             gone = covered(block, right, length, mask_words)
+            if whole_characters and gone.any():
+                begins_one = (block.bytes & 0xC0) != 0x80
+                begins_one[block.at[:-1][block.at[:-1] < len(gone)]] = True
+                gone = np.logical_or.reduceat(gone, np.flatnonzero(begins_one))[np.cumsum(begins_one) - 1]
             edge = np.flatnonzero(np.diff(np.r_[False, gone].view(np.int8)) == 1)  # where removed runs begin
             begins = np.r_[0, np.cumsum(gone, dtype=np.int64)][block.at]
             inside = gone[np.clip(block.at[:-1], 0, max(0, len(gone) - 1))] & (block.at[1:] > block.at[:-1]) if len(gone) else np.zeros(len(block.ids), bool)

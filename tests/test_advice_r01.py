@@ -7,6 +7,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 
+import corpus_pipeline
 from noticeworks import catalogue
 from noticeworks.llm import passages, pii
 
@@ -59,3 +60,23 @@ def test_pii_secrets_of_other_shapes_and_ibans_before_words(spark):
     assert number != "ES9121000418450200051332" and int("".join(str(int(c, 36)) for c in number[4:] + number[:4])) % 97 == 1
     assert out[2][1] == 2 and "5000 0000" not in out[2][0] and "4111 1111 1111 1111" not in out[2][0]
     assert "12345678901234" not in out[3][0] and "abcdefghijkl" not in out[3][0]
+
+
+def test_passage_stage_keeps_replacement_characters_of_the_source(spark):
+    same = prose(97, 12)
+    texts = ["日" + same + "本", "a\ufffdb 日" + same + "本 c\ufffd", "é\ufffd" + same + "\ufffe ü", "x\u6588" + same + "\u65e5y"]
+    first, out = {}, {}
+    for i, raw in enumerate(t.encode() for t in texts):
+        gone = set()
+        for k in range(len(raw) - 49):
+            if first.setdefault(raw[k : k + 50], i) < i:
+                gone |= set(range(k, k + 50))
+        at, kept = 0, ""
+        for c in texts[i]:
+            n = len(c.encode())
+            kept += "" if gone & set(range(at, at + n)) else c
+            at += n
+        out[i] = kept
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: r.text for r in corpus_pipeline.passage_stage(spark, docs, "").collect()}
+    assert got == out and got[1] == "a\ufffdb  c\ufffd"
