@@ -68,7 +68,9 @@ def link_groups(rows: DataFrame) -> DataFrame:
     rows: id, source, issuer, territory, url_key, code, words, years, seen (order of arrival).  Equal titles are one
     title, so copies cost nothing in the comparison; each title carries those that are alike into the ordered pass.
     """
-    rows = rows.select("id", "source", "issuer", "territory", "url_key", "code", "words", "years", "seen")
+    none = F.array().cast("array<string>")
+    words, years, territory = F.coalesce("words", none).alias("words"), F.coalesce("years", none).alias("years"), F.coalesce("territory", F.lit("")).alias("territory")
+    rows = rows.select("id", "source", "issuer", territory, "url_key", "code", words, years, "seen")
     bad = ambiguous_urls(rows).select("source", "url_key", F.lit(True).alias("ambiguous"))
     rows = rows.join(bad, ["source", "url_key"], "left").withColumn("url", F.when(F.col("ambiguous").isNull(), F.col("url_key"))).drop("ambiguous")
     sets = rows.groupBy("words", "years", "territory").agg(F.min("id").alias("title"))

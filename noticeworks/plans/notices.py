@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from noticeworks.functions import notices as nx
 from noticeworks.functions import text as tx
 from noticeworks.operators import documents, history, linking, matching
 from noticeworks.plans.base import query
@@ -159,7 +160,7 @@ def titles(documents_: DataFrame) -> DataFrame:
     title = F.array_join(F.slice(F.split(F.substring("text", 1, 400), r"\s+"), 1, 14), " ")
     return documents_.select(
         F.col("doc_id").alias("id"), "source", F.col("source").alias("issuer"), F.upper("lang").alias("territory"), title.alias("title"), tx.words(title).alias("words"),
-        tx.years(title).alias("years"), F.lit(None).cast("string").alias("code"), F.lit(None).cast("string").alias("url_key"), F.col("doc_id").alias("seen"),
+        tx.years(title).alias("years"), nx.official_code(F.lit(None).cast("string"), F.lit(None).cast("string"), F.col("text")).alias("code"), F.lit(None).cast("string").alias("url_key"), F.col("doc_id").alias("seen"),
     )
 
 
@@ -179,6 +180,24 @@ def link_groups(t) -> DataFrame:
     return linking.link_groups(titles(t("documents")))
 
 
+def page_titles(pages: DataFrame) -> DataFrame:
+    """Pages as announcements: address, whole title, and a code from address or anywhere in the page."""
+    html = F.col("html")
+    title = F.regexp_replace(F.regexp_extract(html, r"(?is)<title[^>]*>(.*?)</title>", 1), r"&#?\w+;", " ")
+    host = F.regexp_extract("url", r"^https?://([^/?#]*)", 1)
+    lang = F.nullif(F.upper(F.regexp_extract(html, r"(?is)<html[^>]*\slang=[\"']?([a-z]+)", 1)), F.lit(""))
+    return pages.select(
+        F.col("page_id").alias("id"), host.alias("source"), host.alias("issuer"), F.coalesce(lang, F.lit("ALL")).alias("territory"), title.alias("title"), tx.words(title).alias("words"),
+        tx.years(title).alias("years"), nx.official_code(F.lit(None).cast("string"), F.col("url"), html).alias("code"), tx.url_key(F.col("url")).alias("url_key"), F.col("page_id").alias("seen"),
+    )
+
+
+@query()
+def link_pages(t) -> DataFrame:
+    """Linking by all three rules: code, address, title."""
+    return linking.link_groups(page_titles(t("pages")))
+
+
 # --- matching: customers as profiles, the parts of fifty sizes as calls ---------------------------------------------
 
 

@@ -10,9 +10,11 @@ import pytest
 import corpus_pipeline
 from noticeworks import catalogue
 from noticeworks.llm import passages, pii
+from noticeworks.plans import notices
 
 from .llm.conftest import corpus, prose
 from .llm.test_duplicates import brute_removed
+from .test_operators import one_pass
 
 
 def test_fold_texts_whole_and_in_every_language(spark, tmp_path):
@@ -80,3 +82,19 @@ def test_passage_stage_keeps_replacement_characters_of_the_source(spark):
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     got = {r.doc_id: r.text for r in corpus_pipeline.passage_stage(spark, docs, "").collect()}
     assert got == out and got[1] == "a\ufffdb  c\ufffd"
+
+
+def test_link_pages_by_all_three_rules(spark, tmp_path):
+    page = lambda title, body="": f'<html lang="it"><head><title>{title}</title></head><body>{"x " * 300}{body}</body></html>'
+    long = " ".join(f"parola{i}" for i in range(20))
+    pages = [
+        (1, "http://a.it/1", page("Voucher digitali imprese", "RLA12026001234")), (2, "http://b.it/2", page("Altro testo nuovo", "codice RLA12026001234.")),
+        (3, "http://a.it/3", page("Contributi energia pulita 2026")), (4, "http://a.it/4?x=1", page("Contributi energia pulita 2026")),
+        (5, "http://www.c.it/5", page("Fiere estere")), (6, "http://c.it/5/?utm_source=q", page("Fiere estere bando")),
+        (7, "http://d.it/7", page(f"{long} agricoltura pesca caccia bosco mare monte lago fiume")), (8, "http://d.it/8", page(f"{long} turismo scuola ponte strada casa nave treno volo")), (9, "http://e.it", None),
+    ]
+    spark.createDataFrame(pages, "page_id long, url string, html string").write.parquet(f"{tmp_path}/pages.parquet")
+    rows = notices.page_titles(spark.read.parquet(f"{tmp_path}/pages.parquet")).collect()
+    got = {r.id: (r.call, r.how, r.doubt) for r in catalogue.QUERIES["link_pages"](spark, str(tmp_path)).collect()}
+    assert got == one_pass([(r.id, r.source, r.issuer, r.territory, r.url_key, r.code, r.words or [], r.years or [], r.seen) for r in rows])
+    assert got[2][:2] == (1, "code") and got[4][:2] == (3, "title") and got[6][:2] == (5, "url") and got[8] == (8, "new", 7)
