@@ -21,6 +21,12 @@ def fold(text: Column) -> Column:
     return F.translate(lower, MARKED, PLAIN)
 
 
+def commune_key(name: Column) -> Column:
+    """A commune's name for comparison: folded, without what it is called besides, one blank between words."""
+    bare = F.regexp_replace(fold(name), r"^\s*(comune|citta|citta metropolitana)\s+di\s+", "")
+    return F.trim(F.regexp_replace(bare, "[^a-z0-9]+", " "))
+
+
 def squeeze(text: Column) -> Column:
     """Runs of white space become one blank; ends trimmed."""
     return F.trim(F.regexp_replace(text, r"\s+", " "))
@@ -97,9 +103,13 @@ def url_key(url: Column) -> Column:
     return F.when(u.rlike(r"^https?://"), F.concat(host, path, tail))
 
 
+# Addresses of services, and those among them that are acts after all.
+SERVICE, ACT = r"(?i)(\.json|\.xml|\.csv|/api/|/feed/?$|/rss)", r"(?i)/bancadati/(atti|burt)/"
+
+
 def is_service_url(key: Column) -> Column:
     """Data files, feeds and programming interfaces rather than a notice's page."""
-    return key.rlike(r"(?i)(\.json|\.xml|\.csv|/api/|/feed/?$|/rss)") & ~key.rlike(r"(?i)/bancadati/(atti|burt)/")
+    return key.rlike(SERVICE) & ~key.rlike(ACT)
 
 
 def fingerprint(title: Column, summary: Column) -> Column:

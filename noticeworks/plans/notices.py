@@ -240,8 +240,8 @@ def profiles(customer: DataFrame) -> DataFrame:
     )
 
 
-def matched(t) -> DataFrame:
-    return matching.match(calls(t("part")), profiles(t("customer")), F.lit("2001-08-02").cast("date"), PROFILE)
+def matched(t, keep_excluded: bool = True) -> DataFrame:
+    return matching.match(calls(t("part")), profiles(t("customer")), F.lit("2001-08-02").cast("date"), PROFILE, keep_excluded=keep_excluded)
 
 
 MATCH_SQL = r"""
@@ -293,7 +293,7 @@ def match_profiles(t) -> DataFrame:
 @query(MATCH_SQL + """ SELECT code, call_id, CAST(rn AS INTEGER) AS place FROM (SELECT *, row_number() OVER (PARTITION BY code ORDER BY CASE level WHEN 'compatible' THEN 0 WHEN 'to_verify' THEN 1 ELSE 2 END,
     coalesce(out_of_zone, false), CASE WHEN level = 'to_verify' THEN heavy_doubts ELSE 0 END, CASE WHEN level = 'to_verify' THEN len(doubts) ELSE 0 END, interests DESC, deadline, call_id) AS rn FROM m WHERE level <> 'excluded') WHERE rn <= 5""")
 def catalogue_sorted(t) -> DataFrame:
-    rows = matched(t).filter(F.col("level") != "excluded")
+    rows = matched(t, keep_excluded=False)
     return history.latest_per_key(rows, ["code"], matching.relevance("call_id"), 5).select("code", "call_id", F.col("rn").cast("int").alias("place"))
 
 
@@ -301,7 +301,7 @@ def catalogue_sorted(t) -> DataFrame:
     SELECT code, CAST(count(*) AS BIGINT) AS n, CAST(count(*) FILTER (WHERE level = 'compatible') AS BIGINT) AS compatible, max(benefit) AS best, arg_max(call_id, (benefit, -call_id)) AS best_call FROM b GROUP BY 1""")
 def campaign_top(t) -> DataFrame:
     size, _ = matching.size_class()
-    rows = matched(t).filter(F.col("level") != "excluded").withColumn("cls", size)
+    rows = matched(t, keep_excluded=False).withColumn("cls", size)
     benefit = matching.capped_benefit(F.col("amount"), F.col("cls"), {"micro": 1000.0, "small": 1200.0, "medium": 1500.0, "large": 2000.0})
     return rows.withColumn("benefit", benefit).groupBy("code").agg(
         F.count("*").alias("n"), F.count_if(F.col("level") == "compatible").alias("compatible"), F.max("benefit").alias("best"), F.max_by("call_id", F.struct("benefit", -F.col("call_id"))).alias("best_call")
