@@ -5,11 +5,15 @@ Feistel network: a card number becomes another valid card number with the same s
 key gives one permutation, so equal values stay equal across documents and different ones different.  Mail addresses
 and secrets, which have no number format, become keyed digests of the same kind.  What fails its check is left alone, unless
 a word like "password" stands before it: then it is a secret, whatever it looks like.
+
+The key is never part of a plan: it comes from a table of one row, read by a scalar subquery, so that neither explain
+nor the UI nor event logs show it.
 """
 
 from __future__ import annotations
 
 import math
+import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -17,11 +21,13 @@ from pyspark.sql import functions as F
 from noticeworks.llm.common import table
 
 ROUNDS = 10
+#: What stands behind a word like "password" is a secret from so many characters on; there is no upper bound.
+LEAST_SECRET = 8
 #: For the query on test tables; a real run passes its own secret.
 DEMO_KEY = "demonstration-key"
 
 OCTET = r"(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)"
-SECRET_WORD = r"(?i:token|secret|passwd|password|api_key|apikey)\s{0,2}[=:]\s{0,2}[\"']?"
+SECRET_WORD = r"(?i:token|secret|passwd|password|api_key|apikey)\s*+[=:]\s*+[\"']?"
 #: Length of an IBAN by country (fixed values); a longer run of groups is an IBAN and something else.
 IBAN_LENGTHS = {
     15: "NO", 16: "BE", 18: "DK FI FK FO GL NL SD", 19: "MK SI", 20: "AT BA EE KZ LT LU MN XK", 21: "CH HR LI LV", 22: "BG BH CR DE GB GE IE ME RS VA",
@@ -39,9 +45,9 @@ def iban_pattern() -> str:
 
 
 PATTERNS = {
-    "mail": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}+@(?:[A-Za-z0-9-]{1,63}\.){1,8}[A-Za-z]{2,24}",
+    "mail": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.(?=[A-Za-z0-9-])[A-Za-z0-9-]++)++(?<=[A-Za-z]{2})",
     "cloud_key": r"(?<![A-Za-z0-9])(?:AKIA|ASIA)[A-Z0-9]{16}(?![A-Za-z0-9])",
-    "secret": r"(?i:(?<=(?:token|secret|passwd|password|api_key|apikey)\s{0,2}[=:]\s{0,2}[\"']?))[A-Za-z0-9+/_-]{12,128}(?![A-Za-z0-9+/_-])",
+    "secret": rf"{SECRET_WORD}(?:(?!{SECRET_WORD})[A-Za-z0-9+/_-]){{{LEAST_SECRET},}}+",
     "iban": iban_pattern(),
     "ip": rf"(?<!\d)(?<!\d\.)(?:{OCTET}\.){{3}}{OCTET}(?!\.?\d)",
     "date": r"(?<![\d./-])(?:\d{4}-\d{2}-\d{2}|\d{2}[./]\d{2}[./]\d{4})(?![./-]?\d)",
@@ -52,13 +58,20 @@ PATTERNS = {
 ANY = "|".join(f"(?:{p})" for p in PATTERNS.values())
 
 
-def digest(key: str, *parts: Column) -> Column:
+Key = str | Column
+
+
+def as_column(key: Key) -> Column:
+    return F.lit(key) if isinstance(key, str) else key
+
+
+def digest(key: Key, *parts: Column) -> Column:
     """Keyed SHA-256 in two passes, hexadecimal."""
-    inner = F.sha2(F.concat(F.lit(f"{key}\x01"), F.concat_ws("\x1f", *parts)), 256)
-    return F.sha2(F.concat(F.lit(f"{key}\x02"), inner), 256)
+    inner = F.sha2(F.concat(as_column(key), F.lit("\x01"), F.concat_ws("\x1f", *parts)), 256)
+    return F.sha2(F.concat(as_column(key), F.lit("\x02"), inner), 256)
 
 
-def draw(key: str, tweak: str, turn: Column, half: Column, size: Column) -> Column:
+def draw(key: Key, tweak: str, turn: Column, half: Column, size: Column) -> Column:
     """A keyed number below size (< 10**18)."""
     wide = F.conv(F.substring(digest(key, F.lit(tweak), turn.cast("string"), half.cast("string")), 1, 15), 16, 10)
     return F.pmod(wide.cast("long"), size)
@@ -68,7 +81,7 @@ def power(n: Column) -> Column:
     return F.rpad(F.lit("1"), n + 1, "0").cast("long")
 
 
-def permuted_digits(key: str, tweak: str, digits: Column) -> Column:
+def permuted_digits(key: Key, tweak: str, digits: Column) -> Column:
     """A keyed permutation of all strings of so many digits (2 to 36): unbalanced Feistel, ten rounds.
 
     digits must be a plain attribute or lambda variable, as it is used often.
@@ -90,29 +103,29 @@ def permuted_digits(key: str, tweak: str, digits: Column) -> Column:
     )
 
 
-def permuted_index(key: str, tweak: str, index: Column, size: int) -> Column:
-    """A keyed permutation of 0 .. size - 1: Feistel on the next square, walked until it falls inside."""
-    side = math.isqrt(size - 1) + 1
+def divisor(size: int) -> int:
+    """The largest divisor up to the square root."""
+    return next(d for d in range(math.isqrt(size), 0, -1) if size % d == 0)
 
-    def turn(s: Column, i: Column) -> Column:
-        moved = F.pmod(s["a"] + draw(key, tweak, i, s["b"], F.lit(side)), F.lit(side))
-        return F.struct(s["b"].alias("a"), moved.alias("b"))
 
-    def once(x: Column) -> Column:
-        state = F.struct(F.floor(x / side).cast("long").alias("a"), F.pmod(x, F.lit(side)).cast("long").alias("b"))
-        return F.aggregate(F.sequence(F.lit(0), F.lit(ROUNDS - 1)), state, turn, lambda s: s["a"] * side + s["b"])
+def permuted_index(key: Key, tweak: str, index: Column, size: int) -> Column:
+    """A keyed permutation of 0 .. size - 1: Feistel on a rectangle of exactly that size, so that nothing falls outside.
 
-    # the square is hardly larger than the range: 12 steps all fall outside with probability below 1e-24
-    walk = F.aggregate(
-        F.sequence(F.lit(1), F.lit(12)), F.struct(index.cast("long").alias("x"), F.lit(False).alias("done")),
-        lambda s, _: F.when(s["done"], s).otherwise(_landed(once(s["x"]), size)),
-    )
-    return F.when(walk["done"], walk["x"]).otherwise(index)
+    The two halves are numbers below rows and columns, rows * columns = size, and are moved in turn.
+    """
+    rows = divisor(size)
+    if rows == 1:
+        raise ValueError("a prime number of values has no rectangle")
+    sides = (rows, size // rows)
 
+    def turn(s: Column, i: Column) -> Column:
+        even = i % 2 == 0
+        side = F.when(even, sides[0]).otherwise(sides[1])
+        moved = F.pmod(s["a"] + draw(key, tweak, i, s["b"], side), side)
+        return F.struct(s["b"].alias("a"), moved.alias("b"))
 
-def _landed(x: Column, size: int) -> Column:
-    # a one-element list names the value, so that it is computed once
-    return F.get(F.transform(F.array(x), lambda y: F.struct(y.alias("x"), (y < size).alias("done"))), F.lit(0))
+    state = F.struct(F.floor(index / sides[1]).cast("long").alias("a"), F.pmod(index.cast("long"), F.lit(sides[1])).alias("b"))
+    return F.aggregate(F.sequence(F.lit(0), F.lit(ROUNDS - 1)), state, turn, lambda s: s["a"] * sides[1] + s["b"])
 
 
 def named(value: Column, use) -> Column:
@@ -156,23 +169,26 @@ def only_digits(text: Column) -> Column:
     return F.regexp_replace(text, r"[^0-9]", "")
 
 
+#: Days that are permuted, from 1900-01-01 to 2099-12-31.
+DAYS = 73_049
+
 # --- one function for each kind: what was found -> its pseudonym, or the same again if it fails its check ---------
 
 
-def mail(key: str, m: Column) -> Column:
+def mail(key: Key, m: Column) -> Column:
     return named(digest(key, F.lit("mail"), F.lower(m)), lambda h: F.concat(F.lit("u"), F.substring(h, 1, 12), F.lit("@"), F.substring(h, 13, 8), F.lit(".invalid")))
 
 
-def cloud_key(key: str, m: Column) -> Column:
+def cloud_key(key: Key, m: Column) -> Column:
     return F.concat(F.substring(m, 1, 4), F.upper(F.substring(digest(key, F.lit("cloud"), m), 1, 16)))
 
 
-def secret(key: str, m: Column) -> Column:
-    long = F.concat(digest(key, F.lit("secret"), m), digest(key, F.lit("more"), m))
-    return F.substring(long, F.lit(1), F.length(m))
+def secret(key: Key, m: Column) -> Column:
+    blocks = F.sequence(F.lit(0), F.floor((F.length(m) - 1) / 64).cast("int"))
+    return F.substring(F.array_join(F.transform(blocks, lambda i: digest(key, F.concat(F.lit("secret"), i.cast("string")), m)), ""), F.lit(1), F.length(m))
 
 
-def iban(key: str, m: Column) -> Column:
+def iban(key: Key, m: Column) -> Column:
     def checked(plain: Column) -> Column:
         body = F.substring(plain, F.lit(5), F.length(plain))
         new_body = named(only_digits(body), lambda d: F.when(F.length(d) >= 2, relaid(body, permuted_digits(key, "iban", d))).otherwise(body))
@@ -186,7 +202,7 @@ def iban(key: str, m: Column) -> Column:
     return F.coalesce(spaced, m)
 
 
-def ip(key: str, m: Column) -> Column:
+def ip(key: Key, m: Column) -> Column:
     part = F.split(m, r"\.")
     index = F.aggregate(part, F.lit(0).cast("long"), lambda s, x: s * 256 + x.cast("long"))
     return named(
@@ -195,14 +211,14 @@ def ip(key: str, m: Column) -> Column:
     )
 
 
-def date(key: str, m: Column) -> Column:
+def date(key: Key, m: Column) -> Column:
     iso = F.substring(m, 5, 1) == "-"
     parts = F.split(m, r"[./-]")
     first, second, third = (F.get(parts, F.lit(i)).cast("int") for i in range(3))
     year, a, b = F.when(iso, first).otherwise(third), second, F.when(iso, third).otherwise(first)
     day_first = F.try_to_date(F.concat_ws("-", F.lpad(year.cast("string"), 4, "0"), F.lpad(a.cast("string"), 2, "0"), F.lpad(b.cast("string"), 2, "0")), "yyyy-MM-dd")
     month_first = F.try_to_date(F.concat_ws("-", F.lpad(year.cast("string"), 4, "0"), F.lpad(b.cast("string"), 2, "0"), F.lpad(a.cast("string"), 2, "0")), "yyyy-MM-dd")
-    start, days = "1900-01-01", 73_049  # to 2099-12-31
+    start, days = "1900-01-01", DAYS
 
     def moved(found: Column) -> Column:
         index = F.datediff(found, F.lit(start).cast("date"))
@@ -220,7 +236,7 @@ def date(key: str, m: Column) -> Column:
     )
 
 
-def social(key: str, m: Column) -> Column:
+def social(key: Key, m: Column) -> Column:
     area, group, serial = (F.substring(m, a, n).cast("long") for a, n in ((1, 3), (5, 2), (8, 4)))
     good = area.between(1, 899) & (area != 666) & (group > 0) & (serial > 0)
     index = ((area - F.when(area > 666, 2).otherwise(1)) * 99 + group - 1) * 9999 + serial - 1
@@ -234,7 +250,7 @@ def social(key: str, m: Column) -> Column:
     return F.when(good, named(permuted_index(key, "social", index, 898 * 99 * 9999), written)).otherwise(m)
 
 
-def phone(key: str, m: Column) -> Column:
+def phone(key: Key, m: Column) -> Column:
     """The country code stays; 7 to 15 digits follow or it is no phone number."""
     code = F.regexp_extract(m, r"^\+\d{1,3}(?=[ .(-])|^", 0)
     rest = F.substring(m, F.length(code) + 1, F.length(m))
@@ -244,7 +260,7 @@ def phone(key: str, m: Column) -> Column:
     )
 
 
-def card(key: str, m: Column) -> Column:
+def card(key: Key, m: Column) -> Column:
     """The first digit, which tells the scheme, stays; the last is the new check digit."""
 
     def checked(d: Column) -> Column:
@@ -258,38 +274,55 @@ def card(key: str, m: Column) -> Column:
 KINDS = {"mail": mail, "cloud_key": cloud_key, "iban": iban, "ip": ip, "date": date, "social": social, "phone": phone, "card": card}
 
 
-def pseudonym(key: str, m: Column) -> Column:
-    """What stands for a match; a match is told by its own form, and what has none is a secret."""
-    bare = {name: p for name, p in PATTERNS.items() if name in KINDS}
+def pseudonym(key: Key, m: Column) -> Column:
+    """What stands for a value told by its own form; a value of no kind is given back as it is."""
     out = None
-    for name, pattern in bare.items():
-        test, value = m.rlike(rf"^(?:{pattern})$"), KINDS[name](key, m)
+    for name, kind in KINDS.items():
+        test, value = m.rlike(rf"^(?:{PATTERNS[name]})$"), kind(key, m)
         out = F.when(test, value) if out is None else out.when(test, value)
-    return out.otherwise(secret(key, m))
+    return out.otherwise(m)
+
+
+def replaced(key: Key, m: Column) -> Column:
+    """What stands for a match.  Behind a word like "password" everything is a secret: its kind's pseudonym, else a digest."""
+    word = F.regexp_extract(m, rf"^{SECRET_WORD}", 0)
+
+    def of_value(w: Column, v: Column) -> Column:
+        return named(pseudonym(key, v), lambda n: F.concat(w, F.when((w != "") & (n == v), secret(key, v)).otherwise(n)))
+
+    return named(word, lambda w: named(F.substring(m, F.length(w) + 1, F.length(m)), lambda v: of_value(w, v)))
+
+
+def key_table(spark: SparkSession, key: str) -> DataFrame:
+    """A key as a table of one row; in production it is read from where keys are kept."""
+    return spark.createDataFrame([(key,)], "key string")
 
 
-def pseudonymised(docs: DataFrame, key: str, text_col: str = "text", count_col: str | None = None) -> DataFrame:
+def pseudonymised(docs: DataFrame, key: str | DataFrame, text_col: str = "text", count_col: str | None = None) -> DataFrame:
     """docs with personal data in text_col replaced; all other columns, and texts without any, as they are.
 
-    A null text stays null (count 0), an empty one empty.  Repeated rows get the same pseudonyms.  Very long texts
-    cost time in proportion.  count_col, if given, is added (or replaced): how many values were changed.
+    key: a table of one row and one column, or a string.  A null text stays null (count 0), an empty one empty; an empty
+    table gives an empty one.  Repeated rows get the same pseudonyms.  Very long texts cost time in proportion.
+    count_col, if given, is added (or replaced): how many values were changed.
     """
+    keys = key_table(docs.sparkSession, key) if isinstance(key, str) else key
+    held = f"_pii_{uuid.uuid4().hex}"  # one column that no caller has, for what is under way
     text = F.col(text_col)
     possible = text.rlike("[0-9@]|(?i:token|secret|passw|api_?key)")
-    work = docs.withColumn("__found", F.when(possible, F.regexp_extract_all(text, F.lit(ANY), F.lit(0))))
-    work = work.withColumn("__gaps", F.when(F.size("__found") > 0, F.split(text, ANY, -1)))
-    found, gaps = F.col("__found"), F.col("__gaps")
-    # what stands before each match, back to the match before
-    before = F.transform(found, lambda m, i: F.concat(F.when(i > 0, F.get(found, i - 1)).otherwise(""), F.get(gaps, i)))
-    work = work.withColumn("__secret", F.when(F.size("__found") > 0, F.transform(before, lambda b: b.rlike(f"{SECRET_WORD}$"))))
-    new = F.zip_with("__found", "__secret", lambda m, s: named(pseudonym(key, m), lambda n: F.when(s & (n == m), secret(key, m)).otherwise(n)))
-    work = work.withColumn("__new", F.when(F.size("__found") > 0, new))
-    joined = F.concat(F.array_join(F.zip_with(F.slice(gaps, 1, F.size("__new")), "__new", lambda g, n: F.concat(g, n)), ""), F.element_at(gaps, -1))
-    changed = F.size(F.filter(F.zip_with("__found", "__new", lambda a, b: a != b), lambda x: x))
-    out = work.withColumn(text_col, F.when(F.col("__new").isNotNull(), joined).otherwise(text))
+    work = docs.withColumn(held, F.struct(F.when(possible, F.regexp_extract_all(text, F.lit(ANY), F.lit(0))).alias("found")))
+    found = F.col(f"{held}.found")
+    some = F.size(found) > 0
+    work = work.withColumn(held, F.struct(found.alias("found"), F.when(some, F.split(text, ANY, -1)).alias("gaps"), keys.select(keys.columns[0]).scalar().alias("key")))
+    secret_key = F.col(f"{held}.key")
+    new = F.when(some, F.transform(found, lambda m: replaced(secret_key, m)))
+    work = work.withColumn(held, F.struct(found.alias("found"), F.col(f"{held}.gaps").alias("gaps"), new.alias("new")))
+    gaps, new = F.col(f"{held}.gaps"), F.col(f"{held}.new")
+    joined = F.concat(F.array_join(F.zip_with(F.slice(gaps, 1, F.size(new)), new, lambda g, n: F.concat(g, n)), ""), F.element_at(gaps, -1))
+    changed = F.size(F.filter(F.zip_with(found, new, lambda a, b: a != b), lambda x: x))
+    out = work.withColumn(text_col, F.when(new.isNotNull(), joined).otherwise(text))
     if count_col:
-        out = out.withColumn(count_col, F.when(F.col("__new").isNotNull(), changed).otherwise(F.lit(0)))
-    return out.drop("__found", "__gaps", "__secret", "__new")
+        out = out.withColumn(count_col, F.when(new.isNotNull(), changed).otherwise(F.lit(0)))
+    return out.drop(held)
 
 
 def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
