@@ -11,6 +11,7 @@ stream through ``mapInArrow``: no shuffle, and a lost task only reads its split
 
 from __future__ import annotations
 
+import array
 import functools
 import hashlib
 import json
@@ -27,6 +28,9 @@ from noticeworks.llm.common import table
 #: Words that a worker remembers before it starts afresh (about 150 bytes each).
 CACHED_WORDS = 1_000_000
 
+#: Bytes of a long word whose matches are listed at once (about 130 bytes each).
+CHUNK = 1 << 16
+
 #: Latin letters without a gap, for the fast pre-tokenizer.
 LATIN = "A-Za-zÀ-ÖØ-öø-ɏ"
 #: Texts made of these characters only: here re and the tokenizer's own classes agree.
@@ -74,6 +78,7 @@ class Encoder(dict):
             if len(token) == 1 or i in self.rank:
                 self.automaton.add_word(token, (i, len(token)))
         self.automaton.make_automaton()
+        self.longest = max(len(t) for t in vocab)
         # offset table: all tokens' bytes in one buffer
         of_letter = {letter: b for b, letter in self.as_letters.items()}
         by_id = {i: bytes(of_letter[c] for c in t) for t, i in vocab.items() if t not in self.special}
@@ -108,8 +113,46 @@ class Encoder(dict):
         self.compatible[left, right] = ok
         return ok
 
+    def matches(self, text: str, chunk: int) -> list[list[tuple[int, int]]]:
+        """The (token, length) pairs that start at each place of one chunk of text, shorter ones first."""
+        low, high = chunk * CHUNK, min(len(text), (chunk + 1) * CHUNK)
+        starts: list[list[tuple[int, int]]] = [[] for _ in range(high - low)]
+        # a match that starts in the chunk ends less than the longest token behind it
+        for end, found in self.automaton.iter(text, low, min(len(text), high + self.longest)):
+            at = end - found[1] + 1 - low
+            if at < len(starts):
+                starts[at].append(found)
+        return starts
+
+    def encode_long_word(self, word: str) -> list[int]:
+        """encode_word for a piece of any length: the automaton runs chunk by chunk, and only few chunks are held."""
+        text = "".join(map(self.letters.__getitem__, word.encode("utf-8", "replace")))
+        chunk_of = functools.lru_cache(maxsize=4)(lambda chunk: self.matches(text, chunk))
+        compatible, failed = self.compatible, set()
+        ids, sizes, at, below = array.array("I"), array.array("H"), 0, 1 << 30
+        while at < len(text):
+            for i, n in reversed(chunk_of(at // CHUNK)[at % CHUNK]):
+                if n < below and at + n not in failed:
+                    if not ids:
+                        break
+                    ok = compatible.get((ids[-1], i))
+                    if self.fits(ids[-1], i) if ok is None else ok:
+                        break
+            else:  # back to the token before, and from there to a shorter one
+                failed.add(at)
+                ids.pop()
+                below = sizes.pop()
+                at -= below
+                continue
+            ids.append(i)
+            sizes.append(n)
+            at, below = at + n, 1 << 30
+        return ids.tolist()
+
     def encode_word(self, word: str) -> list[int]:
         """The ids of one pre-tokenizer piece."""
+        if len(word) > CHUNK:
+            return self.encode_long_word(word)
         text = "".join(map(self.letters.__getitem__, word.encode("utf-8", "replace")))
         size, at, out = len(text), 0, []
         starts: list[list[tuple[int, int]]] = [[] for _ in range(size)]
@@ -195,7 +238,8 @@ def encode_decode(docs: DataFrame, vocabulary: str, id_col: str = "doc_id", text
     """Encodes every whole text, decodes it again and returns counts and digests of both.
 
     A null text counts as empty (0 tokens, digests of no bytes); a null id stays null; repeated rows are answered
-    once each; the vocabulary's own special strings become their ids, as the tokenizers library has it.
+    once each; the vocabulary's own special strings become their ids, as the tokenizers library has it.  An empty
+    table gives no rows; a text of one word of any length costs time and memory in proportion.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

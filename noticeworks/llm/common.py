@@ -16,10 +16,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """The folder in spark.checkpoint.dir, which driver and executors share.
 
-    Only where it is unset (tests, a laptop) a temporary folder takes its place.
+    Only where it is unset and all runs on one machine (tests, a laptop) a temporary folder takes its place.
     """
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
         folder = f"file://{tempfile.mkdtemp(prefix='noticeworks-')}"
         spark.sparkContext.setCheckpointDir(folder)
     return re.sub(r"^file:/(?!/)", "file:///", folder).rstrip("/")
@@ -41,5 +43,18 @@ def staged(df: DataFrame, name: str, narrow: bool = False) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+class Growing:
+    """A table in the shared folder that rows are added to: one scan, however often it has grown."""
+
+    def __init__(self, spark: SparkSession, name: str, schema: str):
+        self.spark, self.schema, self.path = spark, schema, fresh_path(spark, name)
+
+    def add(self, df: DataFrame) -> None:
+        df.coalesce(max(4, shuffle_partitions(self.spark) // 8)).write.mode("append").parquet(self.path)
+
+    def rows(self) -> DataFrame:
+        return self.spark.read.schema(self.schema).parquet(self.path)
+
+
 def shuffle_partitions(spark: SparkSession) -> int:
     return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))

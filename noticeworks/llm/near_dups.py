@@ -21,11 +21,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from noticeworks.llm.common import staged, table
+from noticeworks.llm.common import Growing, staged, table
 
 SHINGLE, SIMILARITY = 5, 0.8
 #: A pair of similarity 0.8 shares no band with probability (1 - 0.8**5)**24 = 7e-5.
@@ -34,6 +33,8 @@ BANDS, ROWS = 24, 5
 BATCH_WORDS, CACHED_WORDS = 500_000, 1_000_000
 #: Turns led by the nodes that share most; then so many times more leaders of a bucket in each turn.
 CENTRES, GROWTH = 2, 8
+#: Rows of one bucket or pairs of one node that one task takes; the other side is repeated for each such part.
+PART_ROWS = 256
 #: A list of at most so many ids is broadcast (16 MB); a longer one is shuffled.
 BROADCAST_IDS = 1_000_000
 
@@ -50,6 +51,8 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 class Words(dict):
     def __missing__(self, word: str) -> int:
+        import xxhash
+
         if len(self) >= CACHED_WORDS:
             self.clear()
         self[word] = out = xxhash.xxh3_64_intdigest(word)
@@ -61,6 +64,8 @@ WORDS = Words()
 
 def shingles(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     """(document, shingle hash) of every shingle, with repeats."""
+    import xxhash
+
     docs, hashes = [], []
     words = [np.fromiter(map(WORDS.__getitem__, w), np.uint64, len(w)) for w in (t.lower().split() for t in texts)]
     long = [i for i, w in enumerate(words) if len(w) > SHINGLE]
@@ -164,6 +169,8 @@ def signatures(docs: DataFrame, bands: int = BANDS, rows: int = ROWS) -> DataFra
     """doc_id, content (equal for equal word sequences), n shingles, bands (null without shingles)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import xxhash
+
         for ids, texts in portions(batches):
             doc, hashes = shingles(texts)
             n = np.bincount(doc, minlength=len(texts))
@@ -239,18 +246,27 @@ def near_classes(docs: DataFrame, similarity: float = SIMILARITY, id_col: str =
     )
     rows = first.filter("bands IS NOT NULL").select("node", "n", F.explode("bands").alias("bucket"))
     sizes = rows.groupBy("bucket").agg(F.count("*").alias("size"), F.min("node").alias("leader")).filter("size > 1")
-    buckets = staged(rows.join(sizes, "bucket"), "near-buckets")
+    sizes = staged(sizes, "near-sizes", narrow=True)
+    buckets = staged(rows.join(F.broadcast(sizes) if sizes.count() <= BROADCAST_IDS else sizes, "bucket"), "near-buckets")
 
     nodes = staged(buckets.select(F.col("node").alias("doc_id")).distinct(), "near-candidates", narrow=True)
     few = nodes.count() <= BROADCAST_IDS
     chosen = texts.join(F.broadcast(nodes) if few else nodes, "doc_id", "left_semi")
     sets = staged(numbered_shingles(chosen), "near-shingles")
 
+    def with_shingles(pairs: DataFrame, side: str, other: str) -> DataFrame:
+        """pairs and of_<side>; a node of very many pairs meets them in parts of PART_ROWS."""
+        hot = pairs.groupBy(side).agg(F.ceil(F.count("*") / PART_ROWS).cast("int").alias("parts")).filter("parts > 1")
+        hot = staged(hot, "near-hot", narrow=True)
+        hot = F.broadcast(hot) if hot.count() <= BROADCAST_IDS else hot
+        rows = pairs.join(hot, side, "left").withColumn("part", F.pmod(F.xxhash64(other), F.coalesce("parts", F.lit(1))).cast("int")).drop("parts")
+        of = sets.select(F.col("node").alias(side), F.col("shingles").alias(f"of_{side}")).join(hot, side, "left")
+        of = of.withColumn("part", F.explode(F.sequence(F.lit(0), F.coalesce("parts", F.lit(1)) - 1))).drop("parts")
+        return rows.join(of, [side, "part"]).drop("part")
+
     def scored(pairs: DataFrame) -> DataFrame:
         """a, b, both (common shingles), hit (similar enough)."""
-        a = sets.select(F.col("node").alias("a"), F.col("shingles").alias("of_a"))
-        b = sets.select(F.col("node").alias("b"), F.col("shingles").alias("of_b"))
-        rows = pairs.join(b, "b").join(a, "a").withColumn("both", F.size(F.array_intersect("of_a", "of_b")))
+        rows = with_shingles(with_shingles(pairs, "b", "a"), "a", "b").withColumn("both", F.size(F.array_intersect("of_a", "of_b")))
         hit = F.col("both") >= F.lit(similarity) * (F.size("of_a") + F.size("of_b") - F.col("both")) - 1e-9
         return staged(rows.select("a", "b", "both", hit.alias("hit")), "near-links", narrow=True)
 
@@ -259,8 +275,11 @@ def near_classes(docs: DataFrame, similarity: float = SIMILARITY, id_col: str =
     pairs = buckets.filter("node <> leader").select("leader", "node", "n").distinct().join(heads, "leader").filter(alike)
     pairs = staged(pairs.select(F.col("leader").alias("a"), F.col("node").alias("b")), "near-pairs", narrow=True)
     with_leader = scored(pairs)
-    tested, edges, led = pairs, with_leader.filter("hit").select("a", "b"), 1
-    labels = components(edges)
+    spark, led = docs.sparkSession, 1
+    tested, edges = Growing(spark, "near-tested", "a long, b long"), Growing(spark, "near-edges", "a long, b long")
+    tested.add(pairs)
+    edges.add(with_leader.filter("hit").select("a", "b"))
+    labels = components(edges.rows())
     share = similarity / (1 + similarity)  # of n + m that the overlap must reach
 
     def still_split(rows: DataFrame) -> DataFrame:
@@ -309,21 +328,24 @@ def near_classes(docs: DataFrame, similarity: float = SIMILARITY, id_col: str =
             drawn = (turn < GROWTH * led) & ((turn >= led) | F.lit(led == 1))
             rest = rest.withColumn("leads", F.when(last, F.col("component") != F.col("main")).otherwise(drawn) & ~F.col("led")).withColumn("last", last)
         rest = staged(rest, "near-open", narrow=True)
-        lead = rest.filter("leads").select("bucket", F.col("node").alias("head"), F.col("n").alias("m"), F.col("own").alias("others"), F.col("component").alias("other"), F.col("inside").alias("inside_2"), F.col("outside").alias("outside_2"), F.col("among").alias("among_2"))
+        lead = rest.filter("leads").select("bucket", F.ceil(F.col("size") / PART_ROWS).cast("int").alias("parts"), F.col("node").alias("head"), F.col("n").alias("m"), F.col("own").alias("others"), F.col("component").alias("other"), F.col("inside").alias("inside_2"), F.col("outside").alias("outside_2"), F.col("among").alias("among_2"))
         most = F.least(F.least("own", "others"), F.least("inside", "inside_2") + F.least("outside", "outside_2"))
         owned = F.col("bucket") == F.array_min(F.array_intersect("among", "among_2"))
+        # a bucket's rows meet its leaders in parts
+        parts = F.ceil(F.col("size") / PART_ROWS).cast("int")
+        lead = lead.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).drop("parts")
         new = (
-            rest.join(lead, "bucket")
+            rest.withColumn("part", F.pmod(F.xxhash64("node"), parts).cast("int")).join(lead, ["bucket", "part"])
             .filter("component != other").filter(alike).filter(owned | F.lit(turns <= CENTRES))
             .filter(most >= share * (F.col("n") + F.col("m")) - 1e-9)
             .select(F.least("node", "head").alias("a"), F.greatest("node", "head").alias("b")).distinct()
-            .join(tested, ["a", "b"], "left_anti")
+            .join(tested.rows(), ["a", "b"], "left_anti")
         )
         new = staged(new, "near-pairs", narrow=True)
         if new.limit(1).count():
-            tested = tested.union(new)
-            edges = edges.union(scored(new).filter("hit").select("a", "b"))
-            labels = components(edges, labels)
+            tested.add(new)
+            edges.add(scored(new).filter("hit").select("a", "b"))
+            labels = components(edges.rows(), labels)
         if turns > CENTRES:
             led *= GROWTH
             rest = rest.filter("NOT last").drop("last")

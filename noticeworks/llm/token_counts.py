@@ -1,20 +1,22 @@
 """Operator 9: token totals by source, language and tokenizer version, kept up by signed deltas.
 
-A batch of changes is reduced to one signed row a group and written beside the others; a commit row, written last,
-makes it count.  A batch whose id is committed already is left out, and of two attempts at one batch only one ever
-counts, so a batch can be sent again after any failure.  Totals are the sum of committed deltas: an insert adds, a
-delete subtracts, a revision does both.  Sums are combined before the shuffle, so a source with a third of all rows
-is one row a task.
+A batch of changes is reduced to one signed row a group; a commit row, written last, makes it count.  A batch whose id
+is committed already is left out, and of two attempts at one batch only one ever counts, so a batch can be sent again
+after any failure.  Totals are the last compaction's totals and the deltas committed since: an insert adds, a delete
+subtracts, a revision does both.  Changes that name their documents are also held against a ledger of signed counts a
+document: a delete or revision of a document, or of a count, that is not there is refused and reported, with all changes of that
+document in the batch.  Sums are combined before the shuffle, so a source with a third of all rows is one row a task.
 """
 
 from __future__ import annotations
 
 import uuid
 from collections.abc import Iterator
+from functools import reduce
 
 import pyarrow as pa
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from noticeworks.llm.bpe import default_vocabulary
@@ -22,7 +24,16 @@ from noticeworks.llm.common import fresh_path, staged, table
 from noticeworks.llm.packing import encoder
 
 GROUP = ["source", "lang", "version"]
-DELTAS = "source string, lang string, version string, n_docs long, n_tokens long, batch string, attempt string"
+ENTRY = ["doc_id", *GROUP, "n_tokens"]
+DELTAS = "source string, lang string, version string, n_docs long, n_tokens long, attempt string"
+LEDGER = "doc_id long, source string, lang string, version string, n_tokens long, sign long, attempt string"
+COMMITS = "batch string, attempt string, compaction long"
+FOLDED = "batch string, attempt string"
+
+
+def same(left: DataFrame, right: DataFrame, names: list[str]) -> Column:
+    """Equality of columns, null being equal to null."""
+    return reduce(lambda a, b: a & b, (left[n].eqNullSafe(right[n]) for n in names))
 
 
 class Rollup:
@@ -31,57 +42,116 @@ class Rollup:
     def __init__(self, spark: SparkSession, folder: str):
         self.spark, self.folder = spark, folder
 
-    def commits(self) -> DataFrame:
-        """One attempt for each committed batch."""
+    def read(self, name: str, schema: str) -> DataFrame:
         try:
-            rows = self.spark.read.schema("batch string, attempt string").parquet(f"{self.folder}/commits")
+            return self.spark.read.schema(schema).parquet(f"{self.folder}/{name}")
         except AnalysisException as e:
             if e.getCondition() != "PATH_NOT_FOUND":
                 raise
-            rows = self.spark.createDataFrame([], "batch string, attempt string")
-        return rows.groupBy("batch").agg(F.min("attempt").alias("attempt"))
+            return self.spark.createDataFrame([], schema)
+
+    def commits(self) -> DataFrame:
+        """One attempt for each committed batch; compaction: the number of one, else null."""
+        return self.read("commits", COMMITS).groupBy("batch").agg(F.min("attempt").alias("attempt"), F.max("compaction").alias("compaction"))
+
+    def live(self) -> DataFrame:
+        """The attempts that count: the last compaction, and batches that it did not fold in."""
+        done = self.commits()
+        last = done.agg(F.max_by("attempt", "compaction").alias("attempt"), F.max("compaction").alias("n")).first()
+        if last.n is None:
+            return done.select("attempt")
+        folded = self.read("folded", FOLDED).filter(F.col("attempt") == last.attempt).select("batch")
+        rest = done.filter("compaction IS NULL").join(folded, "batch", "left_anti").select("attempt")
+        return rest.union(self.spark.createDataFrame([(last.attempt,)], "attempt string"))
+
+    def counting(self, name: str, schema: str) -> DataFrame:
+        return self.read(name, schema).join(self.live(), "attempt").drop("attempt")
+
+    def commit(self, batch: str, attempt: str, compaction: int | None = None) -> bool:
+        """Whether it is this attempt that counts."""
+        self.spark.createDataFrame([(batch, attempt, compaction)], COMMITS).coalesce(1).write.mode("append").parquet(f"{self.folder}/commits")
+        return self.commits().filter(F.col("batch") == batch).first().attempt == attempt
+
+    def write(self, df: DataFrame, name: str, attempt: str) -> None:
+        df.write.parquet(f"{self.folder}/{name}/attempt={attempt}")
 
     def apply(self, batch: str, changes: DataFrame) -> bool:
-        """Commits changes (sign, source, lang, version, n_tokens) under a batch id; False if it had been committed.
+        """Commits changes (sign, source, lang, version, n_tokens, perhaps doc_id) under a batch id; False if it had been committed.
 
-        sign is +1 or -1; rows with a null sign or count change nothing; null sources, languages and versions are
-        groups of their own.
+        sign is +1 or -1; rows with a null sign or count change nothing; null sources, languages and versions are groups
+        of their own; repeated rows count each.  Rows with a doc_id are held against the ledger, rows without are not.
         """
-        if self.commits().filter(F.col("batch") == batch).count():
+        if self.commits().filter(F.col("batch") == batch).limit(1).count():
             return False
         attempt = uuid.uuid4().hex
-        sums = changes.filter("sign IS NOT NULL AND n_tokens IS NOT NULL").groupBy(*GROUP).agg(
-            F.sum(F.col("sign").cast("long")).alias("n_docs"), F.sum(F.col("sign").cast("long") * F.col("n_tokens")).alias("n_tokens")
-        )
-        sums = sums.withColumns({"batch": F.lit(batch), "attempt": F.lit(attempt)})
-        sums.write.mode("append").parquet(f"{self.folder}/deltas")
-        self.spark.createDataFrame([(batch, attempt)], "batch string, attempt string").coalesce(1).write.mode("append").parquet(f"{self.folder}/commits")
-        return True
+        known = "doc_id" in changes.columns
+        rows = changes.filter("sign IS NOT NULL AND n_tokens IS NOT NULL")
+        rows = rows.select((F.col("doc_id") if known else F.lit(None)).cast("long").alias("doc_id"), *GROUP, F.col("n_tokens").cast("long"), F.col("sign").cast("long").alias("sign"))
+        if known:
+            rows = staged(rows.groupBy(*ENTRY).agg(F.sum("sign").alias("sign")).filter("sign <> 0"), "token-changes", narrow=True)
+            rows = self.accepted(rows, attempt)
+            self.write(rows.filter("doc_id IS NOT NULL").select(*ENTRY, "sign"), "ledger", attempt)
+        sums = rows.groupBy(*GROUP).agg(F.sum("sign").alias("n_docs"), F.sum(F.col("sign") * F.col("n_tokens")).alias("n_tokens"))
+        self.write(sums, "deltas", attempt)
+        return self.commit(batch, attempt)
+
+    def accepted(self, rows: DataFrame, attempt: str) -> DataFrame:
+        """Net changes without those of documents of which more would go than is there; these are written as refused."""
+        minus = rows.filter("doc_id IS NOT NULL AND sign < 0")
+        if not minus.limit(1).count():
+            return rows
+        ledger = self.counting("ledger", LEDGER)
+        have = ledger.join(minus, same(ledger, minus, ENTRY), "left_semi").groupBy(*ENTRY).agg(F.sum("sign").alias("have"))
+        short = minus.join(have, same(minus, have, ENTRY), "left").filter(F.coalesce("have", F.lit(0)) + F.col("sign") < 0)
+        short = staged(short.select(minus["doc_id"], minus["version"]).distinct(), "token-refused", narrow=True)
+        on = same(rows, short, ["doc_id", "version"])
+        self.write(rows.join(short, on, "left_semi").select(*ENTRY, "sign"), "refused", attempt)
+        return rows.join(short, on, "left_anti")
+
+    def refused(self) -> DataFrame:
+        """doc_id, source, lang, version, n_tokens, sign of the net changes that did not fit what was there."""
+        return self.read("refused", LEDGER).join(self.commits().select("attempt"), "attempt").drop("attempt")
+
+    def documents(self) -> DataFrame:
+        """The ledger: how many documents of each id have which count."""
+        return self.counting("ledger", LEDGER).groupBy(*ENTRY).agg(F.sum("sign").alias("sign")).filter("sign <> 0")
 
     def totals(self) -> DataFrame:
         """source, lang, version, n_docs, n_tokens; groups whose documents are all deleted are left out."""
-        deltas = self.spark.read.schema(DELTAS).parquet(f"{self.folder}/deltas").join(self.commits(), ["batch", "attempt"])
-        return deltas.groupBy(*GROUP).agg(F.sum("n_docs").alias("n_docs"), F.sum("n_tokens").alias("n_tokens")).filter("n_docs <> 0 OR n_tokens <> 0")
+        sums = self.counting("deltas", DELTAS).groupBy(*GROUP).agg(F.sum("n_docs").alias("n_docs"), F.sum("n_tokens").alias("n_tokens"))
+        return sums.filter("n_docs <> 0 OR n_tokens <> 0")
+
+    def compact(self) -> bool:
+        """Folds all committed deltas into one attempt, from which later totals go on; batches stay committed."""
+        done = self.commits()
+        number = (done.agg(F.max("compaction")).first()[0] or 0) + 1
+        attempt = uuid.uuid4().hex
+        folded = staged(done.filter("compaction IS NULL").select("batch"), "token-folded", narrow=True)
+        self.write(self.totals(), "deltas", attempt)
+        self.write(self.documents(), "ledger", attempt)
+        self.write(folded, "folded", attempt)
+        return self.commit(f"compaction-{number:08d}", attempt, number)
 
 
 def counted(docs: DataFrame, vocabulary: str, text_col: str = "text") -> DataFrame:
-    """docs' source and lang, and the number of ids of each whole text (null: 0)."""
+    """doc_id, source, lang, and the number of ids of each whole text (null: 0), however long; repeated rows each."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(vocabulary)
         for batch in batches:
-            n = [len(enc.encode_bytes(t.as_py() or "")) // 4 for t in batch.column(2)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(n, pa.int64())], names=["source", "lang", "n_tokens"])
+            n = [len(enc.encode_bytes(t.as_py() or "")) // 4 for t in batch.column(3)]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(n, pa.int64())], names=["doc_id", "source", "lang", "n_tokens"])
 
-    return docs.select("source", "lang", F.col(text_col).alias("text")).mapInArrow(run, "source string, lang string, n_tokens long")
+    picked = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "source", "lang", F.col(text_col).alias("text"))
+    return picked.mapInArrow(run, "doc_id long, source string, lang string, n_tokens long")
 
 
 def signed(rows: DataFrame, sign: int, version: str, n_tokens=None) -> DataFrame:
-    return rows.select(F.lit(sign).alias("sign"), "source", "lang", F.lit(version).alias("version"), (F.col("n_tokens") if n_tokens is None else n_tokens).alias("n_tokens"))
+    return rows.select(F.lit(sign).alias("sign"), "doc_id", "source", "lang", F.lit(version).alias("version"), (F.col("n_tokens") if n_tokens is None else n_tokens).alias("n_tokens"))
 
 
 def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All documents under two versions of a tokenizer, then revisions and deletes; one batch is sent twice.
+    """All documents under two versions of a tokenizer, then, after a compaction, revisions and deletes; one batch is sent twice.
 
     Version 1 counts a text's ids, version 2 an end id besides.  A revision gives texts of over 1024 ids an end id for
     each further window in version 2; a delete takes texts without any id out of version 1.
@@ -92,6 +162,7 @@ def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     rollup.apply("insert-1", signed(rows, 1, "1"))
     rollup.apply("insert-2", signed(rows, 1, "2", n + 1))
     rollup.apply("insert-1", signed(rows, 1, "1"))
+    rollup.compact()
     long = rows.filter(n > 1024)
     rollup.apply("revise-2", signed(long, -1, "2", n + 1).unionByName(signed(long, 1, "2", n + F.ceil(n / 1024))))
     rollup.apply("delete-1", signed(rows.filter(n == 0), -1, "1"))
