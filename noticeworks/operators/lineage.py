@@ -11,5 +11,7 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     """df from a checkpoint in spark.checkpoint.dir; only where that is unset, in a temporary folder (a laptop, tests)."""
     context = df.sparkSession.sparkContext
     if not context.getCheckpointDir():
+        if not context.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
         context.setCheckpointDir(tempfile.mkdtemp(prefix="noticeworks-"))
     return df.checkpoint()
