@@ -90,11 +90,9 @@ def ordered_bounds(ids: DataFrame) -> DataFrame:
     Stored, so that a task that runs again deals by the same bounds; at most MOST_BUCKETS numbers.
     """
     count = max(1, min(MOST_BUCKETS, math.ceil(ids.count() / BUCKET_ROWS)))
-    if count == 1:
-        bounds = ids.sparkSession.range(1).select(F.array().cast("array<bigint>").alias("bounds"))
-    else:
-        cuts = F.array(*[F.lit(i / count) for i in range(1, count)]) if count <= 64 else F.transform(F.sequence(F.lit(1), F.lit(count - 1)), lambda i: i / count)
-        bounds = ids.agg(F.array_sort(F.array_distinct(F.percentile_approx("doc_id", cuts, F.lit(4 * count)))).alias("bounds"))
+    cuts = [i / count for i in range(1, count)]
+    numbers = sorted({int(x) for x in ids.approxQuantile("doc_id", cuts, 1 / (4 * count))}) if cuts else []
+    bounds = ids.sparkSession.createDataFrame([(numbers,)], "bounds array<bigint>")
     step = F.greatest(F.lit(1), F.ceil(F.sqrt(F.size("bounds"))).cast("int"))
     starts = F.filter(F.sequence(F.lit(0), F.greatest(F.lit(0), F.size("bounds") - 1)), lambda i: (i % F.col("step") == 0) & (i < F.size("bounds")))
     bounds = bounds.withColumn("step", step).withColumn("lists", F.transform(starts, lambda i: F.slice("bounds", i + 1, F.col("step"))))
