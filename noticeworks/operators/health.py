@@ -35,11 +35,13 @@ def traffic_light(sources: DataFrame, checks: DataFrame, now: Column) -> DataFra
 
     sources: source_id, frequency, status, paused; checks: source_id, check_id, started_at, outcome, items, news.
     """
-    facts = checks.groupBy("source_id").agg(
-        F.max(F.when(F.col("news") > 0, F.col("started_at"))).alias("last_news"),
-        F.max_by("items", F.struct("started_at", "check_id")).alias("last_items"),
+    # one aggregate a source, combined before the shuffle; the last outcomes are the largest of a bounded window
+    ranked = latest_per_key(checks.select("source_id", "check_id", "started_at", "outcome", "items"), ["source_id"], [F.col("started_at").desc(), F.col("check_id").desc()], RECENT)
+    recent = ranked.groupBy("source_id").agg(
+        F.transform(F.array_sort(F.collect_list(F.struct("rn", "outcome"))), lambda x: x["outcome"]).alias("outcomes"), F.max(F.when(F.col("rn") == 1, F.col("items"))).alias("last_items")
     )
-    df = sources.join(facts, "source_id", "left").join(recent_outcomes(checks), "source_id", "left")
+    news = checks.filter("news > 0").groupBy("source_id").agg(F.max("started_at").alias("last_news"))
+    df = sources.join(recent, "source_id", "left").join(news, "source_id", "left")
     last = F.get("outcomes", F.lit(0))
     df = df.withColumns({
         "errors": leading_run(F.col("outcomes"), "error"),
@@ -109,3 +111,40 @@ def run_ledger(runs: DataFrame, now: Column, limit_hours: int = 3) -> DataFrame:
         .when(~F.coalesce(F.col("ok"), F.lit(False)), "failed").otherwise("done")
     )
     return last.withColumns({"status": status, "seconds": (F.unix_timestamp(F.coalesce("ended_at", now)) - F.unix_timestamp("started_at"))})
+
+
+def due_backlog(sources: DataFrame, checks: DataFrame, now: Column) -> DataFrame:
+    """Sources whose full reading is due: never read well, or not for their interval, and not tried within a day.
+
+    checks: those of full readings, with outcome.
+    """
+    last = checks.groupBy("source_id").agg(F.max("started_at").alias("last_try"), F.max(F.when(F.col("outcome") == "ok", F.col("started_at"))).alias("last_success"))
+    df = sources.join(last, "source_id", "left")
+    age = lambda c: F.unix_timestamp(now) - F.unix_timestamp(c)
+    due_again = F.col("last_success").isNull() | (age("last_success") >= interval_days(F.coalesce("frequency", F.lit("monthly"))) * 86400 - 3600)
+    return df.filter(F.col("last_try").isNull() | (due_again & (age("last_try") >= 23 * 3600)))
+
+
+def first_read_suppressed(rows: DataFrame, source: str, read_at: str) -> DataFrame:
+    """Adds from_backlog: rows of the first reading of their source, which are no news."""
+    first = rows.groupBy(source).agg(F.min(read_at).alias("__first"))
+    return rows.join(first, source).withColumn("from_backlog", F.col(read_at) == F.col("__first")).drop("__first")
+
+
+def work_queue(rows: DataFrame, checked: str, tie: str, now: Column, cool_days: int, limit: int) -> DataFrame:
+    """The rows never checked, then those checked longest ago, that have cooled down: at most ``limit``, which is the feature."""
+    cold = F.col(checked).isNull() | (F.col(checked) < now - F.make_dt_interval(F.lit(cool_days)))
+    return rows.filter(cold).orderBy(F.col(checked).asc_nulls_first(), tie).limit(limit)
+
+
+def job_status(runs: DataFrame, jobs: DataFrame, now: Column, limit_hours: int = 3) -> DataFrame:
+    """job and status of every job: never, running, interrupted, late (over half a period, half an hour at least), else failed or done.
+
+    jobs: job, every_seconds.
+    """
+    last = run_ledger(runs, now, limit_hours).select("job", F.col("status").alias("last_status"), "started_at")
+    rows = jobs.join(last, "job", "left")
+    slack = F.greatest(F.lit(1800), F.col("every_seconds") / 2)
+    late = F.unix_timestamp(now) > F.unix_timestamp("started_at") + F.col("every_seconds") + slack
+    status = F.when(F.col("last_status").isNull(), "never").when(F.col("last_status").isin("running", "interrupted"), F.col("last_status")).when(late, "late").otherwise(F.col("last_status"))
+    return rows.select("job", status.alias("status"))

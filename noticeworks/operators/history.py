@@ -22,13 +22,17 @@ def newest(df: DataFrame, keys: list[str], by: list[str]) -> DataFrame:
 def first_after(refs: DataFrame, versions: DataFrame, key: str, ref_time: str, time: str, tie: str) -> DataFrame:
     """As-of join: with each reference row the first version of its key later than its time, or nulls.
 
-    Versions are reduced to one row a reference before anything else joins; references keep their columns.
+    Both lie in one stream a key, newest first, and each reference takes the version just before it there: a sort and
+    no product of references and versions.  Repeated references are answered each.
     """
-    v = versions.select(F.col(key).alias("__key"), F.struct(*versions.columns).alias("version"))
-    later = refs.join(v, (F.col(key) == F.col("__key")) & (F.col(f"version.{time}") > F.col(ref_time)), "left")
-    return later.groupBy(*refs.columns).agg(
-        F.min_by("version", F.struct(F.col(f"version.{time}"), F.col(f"version.{tie}"))).alias("version")
-    )
+    none = lambda df: F.lit(None).cast(df.select(F.struct(*df.columns).alias("x")).schema["x"].dataType)
+    r = refs.select(F.col(key).alias("__key"), F.col(ref_time).alias("__time"), F.lit(1).alias("__kind"), F.lit(None).cast(versions.schema[tie].dataType).alias("__tie"), F.struct(*refs.columns).alias("ref"), none(versions).alias("version"))
+    v = versions.select(F.col(key).alias("__key"), F.col(time).alias("__time"), F.lit(2).alias("__kind"), F.col(tie).alias("__tie"), none(refs).alias("ref"), F.struct(*versions.columns).alias("version"))
+    # at one time a reference stands before the versions of that time, which are no later than it
+    order = Window.partitionBy("__key").orderBy(F.col("__time").desc(), "__kind", F.col("__tie").desc()).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    found = r.unionByName(v.filter(F.col(f"version.{time}").isNotNull())).withColumn("version", F.last("version", ignorenulls=True).over(order)).filter("__kind = 1")
+    usable = F.col("__key").isNotNull() & F.col("__time").isNotNull()
+    return found.select("ref.*", F.when(usable, F.col("version")).alias("version"))
 
 
 def upsert(old: DataFrame, new: DataFrame, keys: list[str], compare: str, keep_if_null: tuple[str, ...] = ()) -> DataFrame:
@@ -82,3 +86,29 @@ def incremented(counters: DataFrame, changes: DataFrame, keys: list[str], value:
 def without_orphans(parents: DataFrame, children: DataFrame, key: str, parent_key: str) -> DataFrame:
     """Parents that some child still refers to."""
     return parents.join(children.select(F.col(parent_key).alias(key)).distinct(), key, "left_semi")
+
+
+def replaced_keeping(old: DataFrame, new: DataFrame, key: str, kept: list[str]) -> DataFrame:
+    """new over old by key, the columns in kept staying as they were; rows that only old has stay."""
+    o, n = old.select(key, F.struct(*old.columns).alias("o")), new.select(key, F.struct(*new.columns).alias("n"))
+    both = o.join(n, key, "full")
+    column = lambda c: F.when(F.col("n").isNull() | (F.col("o").isNotNull() & F.lit(c in kept)), F.col(f"o.{c}")).otherwise(F.col(f"n.{c}"))
+    return both.select(key, *[column(c).alias(c) for c in old.columns if c != key])
+
+
+def overridden(decisions: DataFrame, corrections: DataFrame, key: str, person: str) -> DataFrame:
+    """decisions (outcome, decided_by, proposed) with a person's corrections (outcome); proposed keeps the first automatic outcome."""
+    c = corrections.select(key, F.col("outcome").alias("__new"))
+    rows = decisions.join(c, key, "full")
+    hit, automatic = F.col("__new").isNotNull(), F.col("decided_by") != person
+    return rows.select(
+        key, F.coalesce("__new", "outcome").alias("outcome"), F.when(hit, person).otherwise(F.col("decided_by")).alias("decided_by"),
+        F.when(hit & automatic, F.col("outcome")).otherwise(F.col("proposed")).alias("proposed"),
+    )
+
+
+def merged_json(a: Column, b: Column) -> Column:
+    """Two JSON objects as one, b's fields winning; values keep their kind."""
+    of = lambda c: F.coalesce(F.from_json(c, "map<string,variant>"), F.create_map().cast("map<string,variant>"))
+    theirs = of(b)
+    return F.to_json(F.map_concat(F.map_filter(of(a), lambda k, v: ~F.map_contains_key(theirs, k)), theirs))

@@ -286,3 +286,112 @@ def test_streams(spark, tmp_path):
     q = visits.applied_once(stream.union(stream).withColumnRenamed("check_id", "event_id")).writeStream.foreachBatch(visits.counter_writer(f"{tmp_path}/out"))
     q.option("checkpointLocation", f"{tmp_path}/once").trigger(availableNow=True).start().awaitTermination()
     assert spark.read.parquet(f"{tmp_path}/out").count() == 12
+
+
+def test_situations_all_named(spark):
+    from noticeworks import catalogue
+
+    rows = catalogue.QUERIES["situation_counts"](spark, "/root/testdata/sf0.01").collect()
+    assert len({r.situation for r in rows}) == 10 and len({r.phase for r in rows}) == 33
+
+
+def test_equal_profiles_are_equal_in_every_column(spark):
+    """Each profile column null or empty in turn, and values that trade places: the same verdicts as pair by pair."""
+    base = profile(size=None, balance=3e6, requirements={"female": True, "young": False}, p_topics=["green"], p_spend=["machines"])
+    variants = [base, dict(base)]
+    for name, value in base.items():
+        variants += [{**base, name: None if name != "to_be_formed" else False}, *([{**base, name: []}] if isinstance(value, list) else [])]
+    variants += [{**base, "turnover": 6e6, "balance": None}, {**base, "turnover": None, "balance": 6e6}, {**base, "p_regions": ["X"], "p_provinces": []}, {**base, "p_regions": [], "p_provinces": ["X"]}]
+    variants += [{**base, "requirements": {"young": False, "female": True}}, {**base, "requirements": {}}, {**base, "p_topics": ["machines"], "p_spend": ["green"]}]
+    constraints = {k: "constrained" for k in ("territory", "subjects", "forms", "sizes", "codes", "age", "requirements", "staff", "turnover")}
+    wanted = [
+        call(call_id=1, constraints=constraints, regions=["X", "LOM"], subjects=["company"], forms_in=["srl"], sizes=["micro"], codes_in=["25"], age_max=200, required=["female", "young"], bonus=["female"], staff_min=1, turnover_min=2e6, topics=["green"]),
+        call(call_id=2, constraints={"sizes": "constrained", "territory": "constrained"}, sizes=["small"], provinces=["X"]), call(call_id=3, state="closed"),
+        call(call_id=4, constraints={"territory": "constrained"}, provinces=["BG"], province_regions=["LOM"]), call(call_id=5, constraints={"territory": "constrained"}, regions=["LAZ"], seat_rule="to_open"),
+        call(call_id=6, constraints={"territory": "constrained"}),
+    ]
+    calls = spark.createDataFrame([tuple(c.values()) for c in wanted], CALL)
+    columns = list(base)
+    people = spark.createDataFrame([(i, *v.values()) for i, v in enumerate(variants)], "code int, " + PROFILE)
+    seen = ["code", "call_id", "level", "exclusions", "doubts", "favours", "interests", "out_of_zone", "heavy_doubts"]
+    one_by_one = [tuple(map(str, r)) for r in matching.evaluate(people.crossJoin(calls), F.lit(DAY)).select(*seen).collect()]
+    got = matching.match(calls, people, F.lit(DAY), columns).select(*seen)
+    assert sorted(tuple(map(str, r)) for r in got.collect()) == sorted(one_by_one)
+    kept = matching.match(calls, people, F.lit(DAY), columns, keep_excluded=False).select(*seen)
+    assert sorted(tuple(map(str, r)) for r in kept.collect()) == sorted(r for r in one_by_one if r[2] != "excluded")
+
+
+SITES = "p_sites array<struct<kind:string,region:string,province:string,commune:string>>"
+
+
+@pytest.mark.parametrize("over, sites, want", [
+    ({"regions": ["LOM"]}, [("both", "LOM", None, None)], ("compatible", [])),
+    ({"communes": ["Comune di Forlì"], "source_regions": ["EMR"]}, [(None, None, "FC", "Forli'")], ("compatible", [])),
+    ({"communes": ["Bari"], "source_regions": ["PUG"]}, [(None, "PUG", None, None)], ("to_verify", ["province of the site missing"])),
+    ({"communes": ["Bari"], "source_regions": ["PUG"]}, [(None, "LOM", None, None)], ("excluded", ["no site in territory"])),
+    ({"regions": ["LOM"], "communes": ["Como"]}, [(None, None, "MI", "Milano")], ("to_verify", ["province of the site missing"])),
+    ({"regions": ["LOM"], "provinces": ["bg"]}, [(None, "LOM", None, None)], ("to_verify", ["province of the site missing"])),
+    ({"regions": ["LOM"], "seat_rule": "operative"}, [("legal", "LOM", None, None)], ("to_verify", ["legal seat may not be operative"])),
+    ({"regions": ["LOM"], "seat_rule": "legal"}, [("operative", "LOM", None, None)], ("excluded", ["no site in territory"])),
+    ({"regions": ["LAZ"], "seat_rule": "to_open"}, [("both", "LOM", None, None)], ("to_verify", ["a site must be opened"])),
+    ({"territory_text": "Tutto il territorio nazionale"}, [("both", "LOM", None, None)], ("compatible", [])),
+    ({"territory_text": "zone alpine"}, [("both", "LOM", None, None)], ("to_verify", ["territory in words"])),
+    ({}, [], ("to_verify", ["no site"])),
+    ({"state_": "unconstrained", "levels": ["region"], "source_regions": ["VEN"]}, [("both", "LOM", None, None)], ("to_verify", ["the project belongs elsewhere"])),
+    ({"state_": "unknown", "levels": ["region"], "source_regions": ["VEN"]}, [("both", "LOM", None, None)], ("to_verify", ["territory unknown, call of another region"])),
+    ({"state_": "unknown", "levels": ["eu"], "territory_text": "Stati membri"}, [("both", "LOM", None, None)], ("compatible", [])),
+])
+def test_territory_by_sites(spark, over, sites, want):
+    over = dict(over)
+    extra = {k: over.pop(k, None) for k in ("communes", "source_regions", "territory_text")}
+    c = call(constraints={"territory": over.pop("state_", "constrained")}, **over)
+    calls = spark.createDataFrame([(*c.values(), *extra.values())], CALL + ", communes array<string>, source_regions array<string>, territory_text string")
+    people = spark.createDataFrame([(*profile().values(), sites)], PROFILE + ", " + SITES)
+    r = matching.evaluate(calls.crossJoin(people), F.lit(DAY), provinces={"MI": "LOM", "BG": "LOM", "FC": "EMR", "BA": "PUG", "CO": "LOM"}).first()
+    assert (r.level, r.exclusions + r.doubts) == want
+    assert r.out_of_zone == (r.doubts[:1] in (["a site must be opened"], ["the project belongs elsewhere"], ["territory unknown, call of another region"]))
+
+
+@pytest.mark.parametrize("extra, subject, social, want", [
+    ({"for_whom": "associazioni e scuole", "subjects": ["other"]}, "company", None, ("excluded", ["not for companies"])),
+    ({"for_whom": "imprese e associazioni", "subjects": ["other"]}, "company", None, ("to_verify", ["other subjects admitted"])),
+    ({"for_whom": None, "title": "Bando per il terzo settore", "subjects": []}, "company", None, ("excluded", ["companies not shown to be admitted"])),
+    ({"for_whom": "enti; le imprese solo per iniziative senza scopo di lucro", "subjects": ["third_sector", "company"]}, "company", None, ("excluded", ["companies in special cases only"])),
+    ({"for_whom": "cooperative sociali", "subjects": ["third_sector", "company"]}, "company", None, ("to_verify", ["social enterprise or not"])),
+    ({"for_whom": "cooperative sociali", "subjects": ["third_sector", "company"]}, "company", False, ("excluded", ["social enterprises only"])),
+    ({"for_whom": "cooperative sociali", "subjects": ["third_sector", "company"]}, "company", True, ("compatible", [])),
+])
+def test_beneficiaries_in_words(spark, extra, subject, social, want):
+    c = call(constraints={"subjects": "constrained"}, subjects=extra["subjects"])
+    words = (extra.get("for_whom"), extra.get("title"), None, None, ["de_minimis"], "sportello", 2)
+    calls = spark.createDataFrame([(*c.values(), *words)], CALL + ", for_whom string, title string, for_companies string, codes_version string, regimes array<string>, selection string, lines int")
+    people = spark.createDataFrame([tuple(profile(subject=subject, requirements={} if social is None else {"social_enterprise": social}).values())], PROFILE)
+    r = matching.evaluate(calls.crossJoin(people), F.lit(DAY)).first()
+    assert (r.level, r.exclusions + r.doubts) == want
+    assert r.advice == ["de minimis aid of three years", "apply early: sportello", "2 lines: choose one"]
+
+
+def test_first_after_with_repeated_references(spark):
+    t = lambda n: dt.datetime(2026, 1, 1, n)
+    refs = spark.createDataFrame([("a", t(1)), ("a", t(1)), ("a", t(3)), ("b", t(1)), (None, t(1)), ("a", None)], "k string, ref timestamp")
+    versions = spark.createDataFrame([("a", t(1), 1), ("a", t(2), 3), ("a", t(2), 2), ("a", t(4), 9), (None, t(4), 5), ("b", None, 6)], "k string, at timestamp, id int")
+    out = history.first_after(refs, versions, "k", "ref", "at", "id")
+    assert collections.Counter((r.k, r.ref, r.version and r.version.id) for r in out.collect()) == {("a", t(1), 2): 2, ("a", t(3), 9): 1, ("b", t(1), None): 1, (None, t(1), None): 1, ("a", None, None): 1}
+
+
+def test_more_readers(spark, tmp_path):
+    index = '<sitemapindex><sitemap><loc>http://a/m1</loc></sitemap><sitemap><loc>http://a/none</loc></sitemap></sitemapindex>'
+    (tmp_path / "index.xml").write_text(index)
+    (tmp_path / "map.xml").write_text(MAP)
+    (tmp_path / "r.json").write_text('[{"id": "a", "kind": "rss", "url": "http://x", "frequency": "weekly"}]')
+    found = readers.sitemap_tree(spark, "http://a/i", {"http://a/i": f"{tmp_path}/index.xml", "http://a/m1": f"{tmp_path}/map.xml"}, "bandi", F.lit(DAY))
+    assert sorted(r.url for r in found.collect()) == ["http://a/bandi/nuovo-bando.html", "http://a/bandi/undated"]
+    deep = '{"x": {"y": [[{"Titolo": "Uno", "attributes": {"link": "http://u"}}, {"name": {"it": "Due"}, "UID": 5}]]}, "z": [{"a": 1}]}'
+    rows = readers.from_json(readers.longest_list(spark.createDataFrame([(deep,), (None,), ("{",)], "raw string")).select(F.col("item").alias("raw")), base="http://b").select("title", "url").collect()
+    assert [tuple(r) for r in rows] == [("Uno", "http://u"), ("Due", "http://b#5")]
+    assert [tuple(r)[:3] for r in readers.registry_files(spark, str(tmp_path)).collect()] == [("a", "rss", "http://x")]
+    (tmp_path / "map").mkdir()
+    (tmp_path / "map" / "m.xml").write_text(MAP)
+    assert readers.read_source(spark, "sitemap", f"{tmp_path}/map", "http://a", F.lit(DAY)).count() == 3
+    with pytest.raises(ValueError, match="no reader"):
+        readers.read_source(spark, "browser", "x", "y", F.lit(DAY))
