@@ -2,10 +2,15 @@
 
 A stage takes (spark, docs, sf_dir), works on every row that its predecessor kept and returns the columns of
 documents, the last one packed pieces.  Stages read their inputs from Parquet, so none recomputes another.
+
+In every stage null texts count as empty and stay null where texts are returned, repeated rows are judged each, very
+long texts are read whole, further columns of documents are carried whatever their names, and no rows give no rows.
 """
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -21,10 +26,22 @@ def same_columns(out: DataFrame, docs: DataFrame) -> DataFrame:
     return out.select(*docs.columns)
 
 
+def held(docs: DataFrame) -> tuple[DataFrame, str]:
+    """doc_id, text and, in one column of a name that no caller has, all columns but text: results of an operator cannot clash with them."""
+    name = f"_row_{uuid.uuid4().hex}"
+    return docs.select("doc_id", "text", F.struct(*[c for c in docs.columns if c != "text"]).alias(name)), name
+
+
+def released(out: DataFrame, name: str, docs: DataFrame) -> DataFrame:
+    """The columns of docs: those that were held, and the text of out."""
+    return out.select(*[F.col("text") if c == "text" else F.col(f"{name}.{c}").alias(c) for c in docs.columns])
+
+
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drops what the rule ensemble, learned from this corpus' labels, scores below its cut."""
     rules = quality.fit(docs, table(spark, sf_dir, "labels"))
-    return quality.scored(docs, rules).filter("predicted = 1").select(*docs.columns)
+    rows, name = held(docs)
+    return released(quality.scored(rows, rules).filter("predicted = 1"), name, docs)
 
 
 def near_dup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -34,9 +51,10 @@ def near_dup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 def passage_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Cuts bytes of 50-byte strings that an earlier document holds; a character cut in two goes, a null text stays null."""
-    cut = passages.remove_repeats(docs, whole_characters=True)
+    rows, name = held(docs)
+    cut = passages.remove_repeats(rows, whole_characters=True)
     kept = F.when(F.col("n_removed") == 0, F.col("text")).otherwise(F.col("kept").cast("string"))
-    return same_columns(cut.withColumn("text", kept), docs)
+    return same_columns(released(cut.withColumn("text", kept), name, docs), docs)
 
 
 def pii_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
