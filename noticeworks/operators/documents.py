@@ -59,13 +59,15 @@ def readable(text: Column) -> Column:
 
 def budget(docs: DataFrame, owner: str, order: list[Column], limit: int, reserve: int = 30_000, same_chars: int = 5_000, same_least: int = 2_000) -> DataFrame:
     """quota: the characters of each document that fit an owner's limit.  Repeated documents (same long beginning)
-    count once; each gets its beginning, the rest goes to documents in order: one running sum, no loop."""
+    count once; each gets its beginning, the rest goes to documents in order: one running sum, no loop.  The columns of
+    docs but text, with chars and quota."""
     by = Window.partitionBy(owner)
     seen = F.lower(squeeze(F.substring("text", 1, same_chars)))
-    rows = docs.withColumn("__same", F.when(F.length(seen) > same_least, F.md5(seen)))
+    # lengths and digests only: texts stay out of the windows, and so of the exchange
+    rows = docs.withColumn("__same", F.when(F.length(seen) > same_least, F.md5(seen))).withColumn("chars", F.length("text")).drop("text")
     again = Window.partitionBy(owner, "__same").orderBy(*order)
     rows = rows.withColumn("__n", F.row_number().over(again)).filter(F.col("__same").isNull() | (F.col("__n") == 1))
-    rows = rows.withColumn("chars", F.length("text")).withColumn("__docs", F.count("*").over(by))
+    rows = rows.withColumn("__docs", F.count("*").over(by))
     first = F.least(F.col("chars"), F.least(F.lit(reserve), F.floor(F.lit(limit) / (2 * F.col("__docs")))))
     rows = rows.withColumn("__first", first.cast("long"))
     rows = rows.withColumn("__left", F.lit(limit) - F.sum("__first").over(by))
@@ -88,6 +90,5 @@ def histogram(values: Column, thresholds: list[float]) -> Column:
 
 
 def upper_median(values: Column) -> Column:
-    """Element n // 2 of the sorted values of a group."""
-    a = F.sort_array(F.collect_list(values))
-    return F.get(a, F.floor(F.size(a) / 2).cast("int"))
+    """Element n // 2 of the sorted values of a group, from counts of its distinct values."""
+    return F.expr(f"percentile_disc(0.5) WITHIN GROUP (ORDER BY {values} DESC)")

@@ -8,6 +8,7 @@ candidates are independent: the groups are found by joins, and each runs the ord
 from __future__ import annotations
 
 from collections import defaultdict
+from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -17,6 +18,8 @@ from noticeworks.functions.text import editions_compatible, jaccard, similarity
 from noticeworks.operators.lineage import cut_lineage
 
 DOUBT, SAME, UNLIKE = 0.6, 0.9, 0.2
+#: Edges that one task joins into components (16 bytes each); more are joined by label passing.
+SMALL_EDGES = 500_000
 LINK_SCHEMA = "id long, call long, how string, doubt long"
 
 
@@ -47,11 +50,14 @@ def title_pairs(rows: DataFrame, least: float = DOUBT) -> DataFrame:
     return scored.select("a", "b", similarity(F.col("wa"), F.col("wb")).alias("score"), jaccard(F.col("wa"), F.col("wb")).alias("jaccard")).filter(F.col("score") >= least)
 
 
-def components(edges: DataFrame, turns: int = 50) -> DataFrame:
-    """node, component: minimum label over edges (a, b), with pointer jumping; lineage is cut by checkpoints."""
-    both = cut_lineage(edges.select("a", "b").union(edges.select("b", "a")).filter("a != b").distinct())
+def components(edges: DataFrame) -> DataFrame:
+    """node, component (its smallest node): by union-find in one task where edges are few, else by minimum labels with pointer jumping."""
+    edges = cut_lineage(edges.select("a", "b").filter("a != b").distinct())
+    if edges.count() <= SMALL_EDGES:
+        return edges.coalesce(1).mapInPandas(_united, "node long, component long")
+    both = cut_lineage(edges.union(edges.select("b", "a")))
     labels = both.groupBy(F.col("a").alias("node")).agg(F.least(F.col("node"), F.min("b")).alias("component"))
-    for _ in range(turns):
+    while True:
         near = both.join(labels, both.b == labels.node).groupBy("a").agg(F.min("component").alias("m"))
         step = labels.join(near, labels.node == near.a).select("node", F.least("component", "m").alias("c"), F.col("component").alias("old"))
         up = step.select(F.col("node").alias("c"), F.col("c").alias("component"))
@@ -59,14 +65,29 @@ def components(edges: DataFrame, turns: int = 50) -> DataFrame:
         labels = step.select("node", "component")
         if not step.filter("component != old").limit(1).count():
             return labels
-    raise RuntimeError("components did not settle")
+
+
+def _united(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    up: dict[int, int] = {}
+
+    def top(x: int) -> int:
+        while up.setdefault(x, x) != x:
+            up[x] = up[up[x]]
+            x = up[x]
+        return x
+
+    for batch in batches:
+        for a, b in zip(batch["a"].tolist(), batch["b"].tolist(), strict=True):
+            low, high = sorted((top(a), top(b)))
+            up[high] = low
+    yield pd.DataFrame([(x, top(x)) for x in up], columns=["node", "component"])
 
 
 def link_groups(rows: DataFrame) -> DataFrame:
     """id, call (smallest announcement id of the call), how (code, url, title, new), doubt (a call it may belong to).
 
     rows: id, source, issuer, territory, url_key, code, words, years, seen (order of arrival).  Equal titles are one
-    title, so copies cost nothing in the comparison; each title carries those that are alike into the ordered pass.
+    title, so copies cost nothing in the comparison; a group's alike titles come into its ordered pass once, beside its rows.
     """
     none = F.array().cast("array<string>")
     words, years, territory = F.coalesce("words", none).alias("words"), F.coalesce("years", none).alias("years"), F.coalesce("territory", F.lit("")).alias("territory")
@@ -80,17 +101,21 @@ def link_groups(rows: DataFrame) -> DataFrame:
     stars = [rows.join(first(k), k).select("a", F.col("id").alias("b")) for k in ("code", "url")]
     same = rows.filter(F.size("words") > 0).select(F.col("title").alias("a"), F.col("id").alias("b"))
     edges = stars[0].union(stars[1]).union(same).union(pairs.select("a", "b"))
-    both = pairs.select("a", "b", "score").union(pairs.select("b", "a", "score"))
-    alike = both.groupBy(F.col("a").alias("title")).agg(F.collect_list(F.struct(F.col("b").alias("title"), "score")).alias("alike"))
-    labels = components(edges)
-    columns = ["component", "id", "issuer", "url", "code", "words", "years", "seen", "title", "alike"]
-    grouped = rows.join(labels, rows.id == F.col("node")).join(alike, "title", "left").select(*columns)
-    linked = grouped.groupBy("component").applyInPandas(_ordered_pass, LINK_SCHEMA)
+    labels = cut_lineage(components(edges))
+    columns = ["component", "id", "issuer", "url", "code", "words", "years", "seen", "title"]
+    grouped = rows.join(labels, rows.id == F.col("node")).select(*columns)
+    of_pair = labels.toDF("start", "group_no")
+    alike = pairs.join(of_pair, F.col("a") == F.col("start")).select("group_no", "a", "b", "score")
+    linked = grouped.groupBy("component").cogroup(alike.groupBy("group_no")).applyInPandas(_ordered_pass, LINK_SCHEMA)
     alone = rows.join(labels, rows.id == F.col("node"), "left_anti")
     return linked.unionByName(alone.select("id", F.col("id").alias("call"), F.lit("new").alias("how"), F.lit(None).cast("long").alias("doubt")))
 
 
-def _ordered_pass(group: pd.DataFrame) -> pd.DataFrame:
+def _ordered_pass(group: pd.DataFrame, pairs: pd.DataFrame) -> pd.DataFrame:
+    alike: dict[int, list[tuple[float, int]]] = defaultdict(list)
+    for a, b, score in zip(pairs["a"].tolist(), pairs["b"].tolist(), pairs["score"].tolist(), strict=True):
+        alike[a].append((score, b))
+        alike[b].append((score, a))
     calls: list[dict] = []
     by_code: dict[str, int] = {}
     by_url: dict[str, int] = {}
@@ -108,7 +133,7 @@ def _ordered_pass(group: pd.DataFrame) -> pd.DataFrame:
             else:
                 found, how = at, "url"
         if found is None and doubt is None and words:
-            near = [(1.0, r.title), *((x["score"], x["title"]) for x in (r.alike if r.alike is not None else ()))]
+            near = [(1.0, r.title), *alike[r.title]]
             score, at = max(((s, -by_title[t][0]) for s, t in near if by_title[t]), default=(0.0, 0))
             if score >= SAME and r.issuer == calls[-at]["issuer"] and years == calls[-at]["years"]:
                 found, how = -at, "title"
