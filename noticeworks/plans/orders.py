@@ -20,8 +20,7 @@ def conjunction(df: DataFrame, predicates: list) -> DataFrame:
 def catalogue(orders: DataFrame, customer: DataFrame, nation: DataFrame, *, text: str | None = None, states: list[str | None] | None = None,
               since: str | None = None, until: str | None = None, nations: list[str] | None = None, number: int | None = None) -> DataFrame:
     """Orders with customer and nation under optional filters.  A number finds its row whatever the other filters say."""
-    c, n = F.broadcast(nation), customer
-    rows = orders.join(n, F.col("o_custkey") == F.col("c_custkey")).join(c, F.col("c_nationkey") == F.col("n_nationkey"))
+    rows = orders.join(customer, F.col("o_custkey") == F.col("c_custkey")).join(nation, F.col("c_nationkey") == F.col("n_nationkey"))
     if number is not None:
         return rows.filter(F.col("o_orderkey") == number)
     state = None

@@ -108,3 +108,28 @@ def test_found_elsewhere(spark):
         scores = [(difflib.SequenceMatcher(None, t or "", k[2]).ratio(), -k[0]) for k in known if set((t or "").split()) & set(k[2].split())]
         best = max(scores, default=(0, 0))
         assert got[i] == ((min(same), "address") if same else (-best[1], "title") if best[0] >= 0.6 else (None, None))
+
+
+def test_applied_once_for_good(spark, tmp_path):
+    from noticeworks.streaming import visits
+
+    write = visits.once_writer(f"{tmp_path}/ledger")
+    frame = lambda *ids: spark.createDataFrame([(i, "x") for i in ids], "event_id long, v string")
+    write(frame(1, 2, 2), 0)
+    write(frame(2, 3), 1)
+    write(frame(2, 3), 1)
+    write(frame(1, 2, 2), 0)
+    assert sorted((r.event_id, r.batch) for r in spark.read.parquet(f"{tmp_path}/ledger").collect()) == [(1, 0), (2, 0), (3, 1)]
+
+
+def test_queues_and_job_states(spark):
+    from noticeworks.operators import health
+
+    now = dt.datetime(2026, 1, 31)
+    ago = lambda **k: now - dt.timedelta(**k)
+    runs = spark.createDataFrame([("a", 1, ago(hours=1), ago(minutes=50), True), ("b", 1, ago(hours=5), None, None), ("c", 1, ago(hours=30), ago(hours=29), True), ("d", 1, ago(minutes=5), ago(minutes=4), False)], "job string, run_id int, started_at timestamp, ended_at timestamp, ok boolean")
+    jobs = spark.createDataFrame([(j, 3600 * 4) for j in "abcde"], "job string, every_seconds int")
+    assert {r.job: r.status for r in health.job_status(runs, jobs, F.lit(now)).collect()} == {"a": "done", "b": "interrupted", "c": "late", "d": "failed", "e": "never"}
+    sources = spark.createDataFrame([(s, "weekly") for s in "abcd"], "source_id string, frequency string")
+    checks = spark.createDataFrame([("a", ago(days=8), "ok"), ("b", ago(days=2), "ok"), ("c", ago(hours=5), "error"), ("c", ago(days=30), "ok")], "source_id string, started_at timestamp, outcome string")
+    assert sorted(r.source_id for r in health.due_backlog(sources, checks, F.lit(now)).collect()) == ["a", "d"]
