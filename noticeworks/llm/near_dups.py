@@ -30,7 +30,7 @@ SHINGLE, SIMILARITY = 5, 0.8
 #: A pair of similarity 0.8 shares no band with probability (1 - 0.8**5)**24 = 7e-5.
 BANDS, ROWS = 24, 5
 #: Words that are hashed at once; words that a worker remembers.
-BATCH_WORDS, CACHED_WORDS = 500_000, 1_000_000
+BATCH_WORDS, CACHED_WORDS = 500_000, 200_000
 #: Turns led by the nodes that share most; then so many times more leaders of a bucket in each turn.
 CENTRES, GROWTH = 2, 8
 #: Rows of one bucket or pairs of one node that one task takes; the other side is repeated for each such part.
