@@ -220,7 +220,7 @@ def mark_stale(t) -> DataFrame:
 def segment_rollup(t) -> DataFrame:
     rows = t("customer").join(t("orders"), F.col("o_custkey") == F.col("c_custkey"))
     spent = rows.groupBy("c_custkey", "c_mktsegment", (F.col("c_nationkey") % 5).alias("region")).agg(F.round(F.sum("o_totalprice")).cast("long").alias("spent"))
-    return spent.groupBy("c_mktsegment", "region").agg(F.count("*").alias("n"), F.round(F.avg("spent"), 1).alias("mean"), documents.upper_median("spent").alias("median"))
+    return spent.groupBy("c_mktsegment", "region").agg(F.count("*").alias("n"), F.round(F.avg("spent"), 1).alias("mean"), documents.upper_median("spent").cast("long").alias("median"))
 
 
 @query("""SELECT word, CAST(count(*) AS BIGINT) AS n FROM (SELECT unnest(string_split(p_name, ' ')) AS word FROM part) GROUP BY 1 ORDER BY n DESC, word LIMIT 15""")
