@@ -31,15 +31,16 @@ def fresh_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/noticeworks/{name}-{uuid.uuid4().hex}"
 
 
-def staged(df: DataFrame, name: str, narrow: bool = False) -> DataFrame:
+def staged(df: DataFrame, name: str, narrow: bool = False, compression: str | None = None) -> DataFrame:
     """Cuts the lineage: writes df as a table in the shared folder and reads that.
 
-    narrow: rows are a few numbers each, so an eighth of the usual partitions is enough.
+    narrow: rows are a few numbers each, so an eighth of the usual partitions is enough.  Not for rows that are dear to make:
+    the tasks that make them are as many less.  compression: of Parquet, where rows are large.
     """
     path = fresh_path(df.sparkSession, name)
     if narrow:
         df = df.coalesce(max(4, shuffle_partitions(df.sparkSession) // 8))
-    df.write.parquet(path)
+    df.write.parquet(path, compression=compression)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

@@ -12,10 +12,12 @@ sorted and written by one task.  The totals of the files, in order, give each it
 
 from __future__ import annotations
 
+import array
 import functools
 import math
 import re
 import struct
+import sys
 import uuid
 import zlib
 from collections.abc import Iterable, Iterator
@@ -36,8 +38,8 @@ END_ID = 2
 #: Ids of a frame and bytes of ids of a file, at which a new one is begun (a document may exceed a file, not a frame).
 FRAME_IDS, FILE_BYTES = 1 << 16, 64 << 20
 LEVEL = 3
-#: Words that a worker remembers (about 150 bytes each), and characters of the longest of them.
-CACHED_WORDS, LONGEST_WORD = 200_000, 64
+#: Words of a generation, of which a worker remembers two (about 150 bytes a word), and characters of the longest of them.
+CACHED_WORDS, LONGEST_WORD = 400_000, 64
 
 # --- words to ids ------------------------------------------------------------------------------------------------
 
@@ -51,13 +53,15 @@ class WordEncoder(dict):
     """A vocabulary of the tokenizers library; as a mapping, lower-case word -> its ids as little-endian unsigned 32-bit integers.
 
     Texts of Latin letters are split into words here and looked up, a word that is new is encoded by the library; all
-    other texts, and those that may hold the vocabulary's special strings, go to the library whole.
+    other texts, and those that may hold the vocabulary's special strings, go to the library whole.  When a generation of
+    words is full it becomes the old one, from which words that come again are taken over, so frequent words stay.
     """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         super().__init__()
+        self.old: dict[str, bytes] = {}
         self.library = Tokenizer.from_file(path)
         self.library.no_truncation()
         self.library.no_padding()
@@ -65,12 +69,18 @@ class WordEncoder(dict):
         self.width = 2 if self.library.get_vocab_size() <= 1 << 16 else 4
 
     def encode(self, text: str) -> bytes:
-        return np.array(self.library.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+        ids = array.array("I", self.library.encode(text, add_special_tokens=False).ids)
+        if sys.byteorder == "big":
+            ids.byteswap()
+        return ids.tobytes()
 
     def __missing__(self, word: str) -> bytes:
-        ids = self.encode(word)
+        ids = self.old.get(word)
+        if ids is None:
+            ids = self.encode(word)
         if len(word) <= LONGEST_WORD:
             if len(self) >= CACHED_WORDS:
+                self.old = dict(self)
                 self.clear()
             self[word] = ids
         return ids
@@ -250,7 +260,7 @@ def write_files(rows: DataFrame, folder: str) -> DataFrame:
     give no files.
     """
     rows = rows.withColumns({"hash": F.xxhash64("raw"), "tie": F.pmod(F.monotonically_increasing_id(), F.lit(TIES))})
-    rows = staged(rows, "tokens-encoded")
+    rows = staged(rows, "tokens-encoded", compression="zstd")
     size = rows.agg(F.sum(F.octet_length("raw"))).first()[0] or 0
     order = [F.col("doc_id").asc_nulls_first(), "hash", "tie"]
     ranges = max(shuffle_partitions(rows.sparkSession), math.ceil(size / FILE_BYTES))
@@ -284,7 +294,7 @@ def write_files(rows: DataFrame, folder: str) -> DataFrame:
             names = [f.split()[0] for f in FILES.split(", ")]
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.string() if n == "name" else pa.int64()) for n, c in zip(names, zip(*made), strict=True)], names=names)
 
-    files = staged(dealt.select("doc_id", "width", "hash", "tie", "raw").mapInArrow(write, FILES), "tokens-files", narrow=True)
+    files = staged(dealt.select("doc_id", "width", "hash", "tie", "raw").mapInArrow(write, FILES), "tokens-files")
     before = Window.orderBy(F.col("first").asc_nulls_first(), "hash", "tie", "number").rowsBetween(Window.unboundedPreceding, -1)  # a row a file
     return staged(files.withColumn("start", F.coalesce(F.sum("ids").over(before), F.lit(0))), "tokens-manifest", narrow=True)
 
