@@ -1,257 +1,24 @@
 """Operator 4: exact top-k by inner product, ball-tree branch and bound per shard.
 
-Vectors are dealt to cells, each to the nearest of a few centres that are fitted on a bounded sample; a cell of many
-rows is dealt on by id, so a shard is always a bounded group.  Each shard builds one ball tree, once; the trees are
-stored a row a shard.  A table of cells (centre, radius) gives each query an upper bound ``q.centre + |q| radius`` of
-what a cell can hold.  Queries (a stated set) visit cells in waves, the most promising first; after each wave a query's
-k-th score is its floor, and only cells whose bound reaches the floor are visited in the next.  Inside a shard nodes
-are visited in falling order of the same bound and left out once it is below the k-th score so far.
+Cells, shards, trees and waves are those of ``ball_trees``, over all rows as one group.  A query (one of a stated set) visits
+the cells whose bound ``q.centre + |q| radius`` reaches its k-th score so far, the most promising first; a cell of more rows
+than a shard holds has sub-cells with bounds of their own.  Inside a shard nodes are visited in falling order of the same
+bound, and the search ends once that is below the current k-th score, which waves share between shards.
 
-A query's k-th score, floors and candidates are exact whatever the sample was.  Equal vectors of a shard are kept once
-with their smallest ids, so a vector that a third of all rows hold costs no more than another, and a cell that very
-many queries visit is answered in parts of BLOCK_QUERIES of them.
+A query's k-th score and candidates are exact whatever the sample was that cells are fitted on.  Equal vectors of a shard are
+kept once with their smallest ids, so a vector that a third of all rows hold costs no more than another.
 """
 
 from __future__ import annotations
 
-import heapq
-import math
-import pickle
-import zlib
-from collections.abc import Iterator
-
-import numpy as np
-import pandas as pd
-import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from noticeworks.llm.common import shuffle_partitions, staged, table
+from noticeworks.llm import ball_trees as trees
+from noticeworks.llm.ball_trees import Shards, clean, highest
+from noticeworks.llm.common import staged, table
 
 K = 5
-#: Rows of a shard and queries that one task answers: what it holds (at 64 dimensions 8 MB and 0.5 MB).
-SHARD_ROWS = 16_384
-BLOCK_QUERIES = 1_024
-LEAF = 64
-#: Rows for which a cell of its own is worth while; most cells of one dimension; components of the sample that the
-#: centres are fitted on (32 MB on the driver), and rows of it for each cell.
-CELL_ROWS, MOST_CELLS, SAMPLE_COMPONENTS, SAMPLE_PER_CELL = 1_024, 1_024, 4_000_000, 32
-#: Cells that a query has visited after each wave; the last wave visits all that are left.
-WAVES = (1, 8, 64)
-#: Below this, sums of products are exact in double precision.
-EXACT = 2.0**53
-
-
-class BallTree:
-    """Integer vectors in a binary tree of balls; each leaf is a run of rows of ``sorted``."""
-
-    def __init__(self, points: np.ndarray, leaf: int = LEAF):
-        order = np.arange(len(points))
-        nodes: list[list] = []  # centre, radius, from, to, children
-        todo = [(0, len(points), -1, 0)]
-        while todo:
-            a, b, parent, side = todo.pop()
-            rows = points[order[a:b]]
-            centre = rows.mean(0)
-            far = ((rows - centre) ** 2).sum(1)
-            if parent >= 0:
-                nodes[parent][4 + side] = len(nodes)
-            nodes.append([centre, widened(math.sqrt(far.max())), a, b, -1, -1])
-            if b - a > leaf:
-                one = rows[far.argmax()]
-                other = rows[((rows - one) ** 2).sum(1).argmax()]
-                along = rows @ (other - one)
-                if along.min() < along.max():
-                    part, half, me = np.argsort(along, kind="stable"), (b - a) // 2, len(nodes) - 1
-                    order[a:b] = order[a:b][part]
-                    todo += [(a, a + half, me, 0), (a + half, b, me, 1)]
-        self.order, self.sorted = order, points[order]
-        self.centres, self.radii = np.stack([n[0] for n in nodes]), np.array([n[1] for n in nodes])
-        self.spans = np.array([n[2:] for n in nodes], np.int64)
-        self.norms = np.sqrt((self.centres**2).sum(1))
-        self.largest = float(np.abs(points).max()) if points.size else 0.0
-
-
-def widened(radius):
-    """A little more than a radius: floating-point sums must not hide a point."""
-    return radius * (1 + 1e-9) + 1e-6
-
-
-def upper_bounds(query: np.ndarray, centres: np.ndarray, radii: np.ndarray, norms: np.ndarray) -> np.ndarray:
-    """At least the inner product of query with any point of each ball."""
-    length = math.sqrt(float(query @ query))
-    return centres @ query + radii * length + 1e-11 * length * (norms + radii) + 1e-6
-
-
-class Best:
-    """The k highest (score, smaller id first) so far; ``floor`` is a known lower bound of the k-th score."""
-
-    def __init__(self, k: int, floor: float):
-        self.k, self.floor, self.heap = k, floor, []
-
-    def bound(self) -> float:
-        return max(self.floor, self.heap[0][0]) if len(self.heap) == self.k else self.floor
-
-    def offer(self, score: int, vec_id: int) -> None:
-        item = (score, -vec_id)
-        if len(self.heap) < self.k:
-            heapq.heappush(self.heap, item)
-        elif item > self.heap[0]:
-            heapq.heapreplace(self.heap, item)
-
-
-def search(tree: BallTree, members: list[list[int]], query: np.ndarray, own: int, best: Best) -> None:
-    upper = upper_bounds(query, tree.centres, tree.radii, tree.norms)
-    wide = float(np.abs(query).max(initial=0.0)) * tree.largest * len(query) >= EXACT
-    # what a score in double precision may be off by; 0 where it is exact
-    off = 1e-11 * math.sqrt(float(query @ query)) * float(tree.norms[0] + tree.radii[0]) if wide else 0.0
-    whole = [int(x) for x in query] if wide else None
-    todo = [(-upper[0], 0)]
-    while todo:
-        high, at = heapq.heappop(todo)
-        if -high < best.bound():
-            return
-        a, b, left, right = tree.spans[at]
-        if left >= 0:
-            for child in (left, right):
-                if upper[child] >= best.bound():
-                    heapq.heappush(todo, (-upper[child], child))
-            continue
-        scores = tree.sorted[a:b] @ query
-        for i in np.flatnonzero(scores >= best.bound() - off).tolist():
-            score = sum(x * int(y) for x, y in zip(whole, tree.sorted[a + i], strict=True)) if wide else int(scores[i])
-            if score < best.bound():
-                continue
-            for vec_id in members[tree.order[a + i]]:
-                if vec_id != own:
-                    best.offer(score, vec_id)
-
-
-def matrix(column: pd.Series) -> np.ndarray:
-    """Rows of whole numbers in double precision."""
-    return np.stack([np.asarray(x, np.float64) for x in column])
-
-
-def clean(vectors: DataFrame, id_col: str, vector_col: str, scale: int) -> DataFrame:
-    """vec_id, dim, v: floor(scale * x); without null vectors, ids, components and non-finite ones."""
-    x = F.col("x")
-    good = x.isNotNull() & F.forall(x, lambda e: e.isNotNull() & ~F.isnan(e) & (F.abs(e) != float("inf")))
-    floor = lambda y: F.when(F.abs(y) < 2.0**52, F.floor(y).cast("double")).otherwise(y)  # noqa: E731  a larger one is whole
-    return (
-        vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vector_col).cast("array<double>").alias("x"))
-        .filter(F.col("vec_id").isNotNull() & F.coalesce(good, F.lit(False)))
-        .select("vec_id", F.size("x").alias("dim"), F.transform("x", lambda e: floor(e * scale)).alias("v"))
-    )
-
-
-def fitted_centres(points: np.ndarray, cells: int, turns: int = 4) -> np.ndarray:
-    """At most so many centres of a sample, by a few turns of k-means."""
-    points = np.unique(points, axis=0)
-    rng = np.random.default_rng(7)
-    centres = points[rng.permutation(len(points))[:cells]]
-    for _ in range(turns):
-        near = nearest(points, centres)
-        count = np.bincount(near, minlength=len(centres))
-        sums = np.zeros_like(centres)
-        np.add.at(sums, near, points)
-        centres = np.where(count[:, None] > 0, sums / np.maximum(count, 1)[:, None], centres)
-    return centres
-
-
-def nearest(points: np.ndarray, centres: np.ndarray) -> np.ndarray:
-    half = 0.5 * (centres**2).sum(1)
-    return np.concatenate([np.argmax(points[i : i + 8192] @ centres.T - half, 1) for i in range(0, len(points), 8192)])
-
-
-def centres_of(rows: DataFrame) -> dict[int, np.ndarray]:
-    """Centres of the cells, for each dimension that has rows enough for more than one: a bounded sample is fitted."""
-    out: dict[int, np.ndarray] = {}
-    counts = rows.filter("dim > 0").groupBy("dim").count().filter(F.col("count") > CELL_ROWS)
-    for dim, n in sorted((r.dim, r["count"]) for r in counts.collect()):
-        cells = max(math.ceil(n / SHARD_ROWS), min(2 * shuffle_partitions(rows.sparkSession), math.ceil(n / CELL_ROWS)))
-        cells = min(cells, MOST_CELLS, max(1, SAMPLE_COMPONENTS // SAMPLE_PER_CELL // dim))
-        wanted = cells * SAMPLE_PER_CELL
-        sample = rows.filter((F.col("dim") == dim) & (F.pmod(F.xxhash64("vec_id", F.lit(5)), F.lit(max(1, n // wanted))) == 0))
-        sample = sample.select("v").limit(wanted).toPandas()
-        if cells > 1 and len(sample):
-            out[dim] = fitted_centres(matrix(sample["v"]), cells)
-    return out
-
-
-def with_cells(rows: DataFrame, centres: dict[int, np.ndarray]) -> DataFrame:
-    """Adds cell (the nearest centre, 0 where there are none) and far, the distance from it."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            dims = batch.column(1).to_numpy(zero_copy_only=False)
-            cell, far = np.zeros(len(dims), np.int32), np.zeros(len(dims))
-            for dim in np.unique(dims).tolist():
-                if dim in centres:
-                    at = np.flatnonzero(dims == dim)
-                    points = batch.column(2).take(pa.array(at)).flatten().to_numpy(zero_copy_only=False).reshape(len(at), dim)
-                    cell[at] = nearest(points, centres[dim])
-                    far[at] = np.sqrt(((points - centres[dim][cell[at]]) ** 2).sum(1))
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(cell), pa.array(far)], names=["vec_id", "dim", "v", "cell", "far"])
-
-    return rows.select("vec_id", "dim", "v").mapInArrow(run, "vec_id long, dim int, v array<double>, cell int, far double")
-
-
-def built(group: pd.DataFrame, k: int) -> bytes:
-    """A shard's tree and the smallest ids of each of its distinct vectors."""
-    rows = matrix(group["v"])
-    points, of = np.unique(rows, axis=0, return_inverse=True) if rows.shape[1] else (rows[:1], np.zeros(len(rows), np.int64))
-    members: list[list[int]] = [[] for _ in points]
-    for at, vec_id in sorted(zip(of.ravel().tolist(), group["vec_id"].tolist(), strict=True)):
-        own = members[at]
-        # k copies of an id are enough, and k ids besides the query's own
-        if len(own) < 2 * k and not (len(own) >= k and own[-k] == vec_id):
-            own.append(vec_id)
-    tree = BallTree(points)
-    for kind in (np.int16, np.int32):
-        if tree.largest < np.iinfo(kind).max:
-            tree.sorted = tree.sorted.astype(kind)
-            break
-    return zlib.compress(pickle.dumps((tree, members)), 1)
-
-
-def opened(raw: bytes) -> tuple[BallTree, list[list[int]]]:
-    tree, members = pickle.loads(zlib.decompress(raw))
-    tree.sorted = tree.sorted.astype(np.float64)
-    return tree, members
-
-
-def promising(asked: DataFrame, cells: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]], first: int, last: int | None) -> DataFrame:
-    """query_id, dim, v, floor and cell: each query's first to last cells in falling order of their bounds, which reach its floor.
-
-    A dimension without centres has one cell, 0.
-    """
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            pick, cell = [], []
-            dims, floors = batch.column(1).to_pylist(), batch.column(3).to_pylist()
-            for i, (dim, v, floor) in enumerate(zip(dims, batch.column(2), floors, strict=True)):
-                if dim in cells:
-                    ids, centres, radii = cells[dim]
-                    upper = upper_bounds(np.asarray(v.values, np.float64), centres, radii, np.sqrt((centres**2).sum(1)))
-                    order = np.argsort(-upper, kind="stable")[first:last]
-                    order = order[upper[order] >= (-math.inf if floor is None else floor)]
-                    pick += [i] * len(order)
-                    cell += ids[order].tolist()
-                elif first == 0:
-                    pick.append(i)
-                    cell.append(0)
-            out = batch.take(pa.array(pick, pa.int64()))
-            for at in range(0, len(cell), 10_000):
-                part = out.slice(at, 10_000)
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(cell[at : at + 10_000], pa.int32())], names=["query_id", "dim", "v", "floor", "cell"])
-
-    return asked.select("query_id", "dim", "v", "floor").mapInArrow(run, "query_id long, dim int, v array<double>, floor double, cell int")
-
-
-def best_of(found: DataFrame, k: int) -> DataFrame:
-    """query_id and best: its k best (low = -score, vec_id), in order."""
-    return found.groupBy("query_id").agg(F.slice(F.array_sort(F.collect_list(F.struct((-F.col("score")).alias("low"), "vec_id"))), 1, k).alias("best"))
 
 
 def top_k(
@@ -265,61 +32,13 @@ def top_k(
     candidates give fewer rows, an empty table none.  Components of any size give exact scores; a score among the best
     that does not fit 64 bits is an error.
     """
+    group = F.lit(0).cast("long")
     rows = clean(vectors, id_col, vector_col, scale)
     asked = clean(queries, id_col, vector_col, scale).groupBy("vec_id").agg(F.min_by(F.struct("dim", "v"), "v").alias("q"))
-    asked = staged(asked.select(F.col("vec_id").alias("query_id"), "q.*"), "topk-queries")
-    centres = centres_of(rows)
-    rows = staged(with_cells(rows, centres), "topk-rows")
-    sizes = staged(
-        rows.groupBy("dim", "cell").agg(F.ceil(F.count("*") / SHARD_ROWS).cast("int").alias("subs"), F.max("far").alias("far")), "topk-cells", narrow=True
-    )
-    dealt = rows.drop("far").join(sizes.drop("far"), ["dim", "cell"]).withColumn("sub", F.pmod(F.xxhash64("vec_id"), F.col("subs")).cast("int"))
-
-    def build(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame([(*key, built(group, k))], columns=["dim", "cell", "sub", "data"])
-
-    shards = staged(dealt.groupBy("dim", "cell", "sub").applyInPandas(build, "dim int, cell int, sub int, data binary"), "topk-shards")
-    cells = {}
-    known = sizes.filter(F.col("dim").isin(list(centres))).select("dim", "cell", "far").toPandas() if centres else None  # no more than there are centres
-    for dim, centre in centres.items():
-        mine = known[known["dim"] == dim]
-        ids = mine["cell"].to_numpy()
-        cells[dim] = ids, centre[ids], widened(mine["far"].to_numpy())
-
-    def answer(stored: pd.DataFrame, wanted: pd.DataFrame) -> pd.DataFrame:
-        out: list[tuple[int, int, int]] = []
-        if len(stored) and len(wanted):
-            tree, members = opened(stored["data"].iloc[0])
-            for query_id, query, floor in zip(wanted["query_id"].tolist(), matrix(wanted["v"]), wanted["floor"].tolist(), strict=True):
-                best = Best(k, -math.inf if floor is None or math.isnan(floor) else floor)
-                search(tree, members, query, query_id, best)
-                out += [(query_id, -minus, score) for score, minus in best.heap]
-        if any(abs(score) >= 1 << 63 for _, _, score in out):
-            raise OverflowError("a score is too large for 64 bits")
-        return pd.DataFrame(out, columns=["query_id", "vec_id", "score"])
-
-    best, first = None, 0
-    most = max([len(c[0]) for c in cells.values()], default=1)
-    for last in (*(w for w in WAVES if w < most), None):
-        if best is None:
-            open_queries = asked.withColumn("floor", F.lit(None).cast("double"))
-        else:
-            # a double just below a floor that it cannot hold exactly
-            floor = F.when(F.size("best") >= k, -F.element_at("best", -1)["low"]).cast("double")
-            floor = F.when(F.abs(floor) < EXACT, floor).otherwise(floor - F.abs(floor) * 1e-15)
-            open_queries = asked.join(best.select("query_id", floor.alias("floor")), "query_id", "left")
-        pairs = staged(promising(open_queries, cells, first, last), "topk-pairs")
-        parts = pairs.groupBy("dim", "cell").agg(F.ceil(F.count("*") / BLOCK_QUERIES).cast("int").alias("parts"))
-        parts = staged(parts.join(sizes.select("dim", "cell", "subs"), ["dim", "cell"]), "topk-parts", narrow=True)
-        left = shards.join(parts.drop("subs"), ["dim", "cell"]).withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-        right = pairs.join(parts, ["dim", "cell"]).withColumn("sub", F.explode(F.sequence(F.lit(0), F.col("subs") - 1)))
-        right = right.withColumn("part", F.pmod(F.xxhash64("query_id"), F.col("parts")).cast("int"))
-        key = ["dim", "cell", "sub", "part"]
-        found = left.select(*key, "data").groupBy(*key).cogroup(right.select(*key, "query_id", "v", "floor").groupBy(*key)).applyInPandas(answer, "query_id long, vec_id long, score long")
-        if best is not None:
-            so_far = best.select("query_id", F.explode("best").alias("hit")).select("query_id", "hit.vec_id", (-F.col("hit.low")).alias("score"))
-            found = found.unionByName(so_far)
-        best, first = staged(best_of(found, k), "topk-best"), last
+    asked = staged(asked.select(F.col("vec_id").alias("query_id"), "q.*", group.alias("grp"), F.lit(False).alias("one_cell")), "topk-queries")
+    centres = trees.centres_of(rows)
+    rows = staged(trees.with_cells(rows, centres), "topk-rows")
+    best = highest(Shards(rows.withColumn("grp", group), centres, k), asked, k)
     hits = best.select("query_id", F.posexplode("best").alias("rank", "hit"))
     return hits.select("query_id", (F.col("rank") + 1).cast("int").alias("rank"), "hit.vec_id", (-F.col("hit.low")).cast("long").alias("score"))
 

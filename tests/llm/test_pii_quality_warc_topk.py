@@ -6,7 +6,7 @@ from collections import Counter
 import pytest
 from pyspark.sql import functions as F
 
-from noticeworks.llm import pii, quality, vectors, warc
+from noticeworks.llm import ball_trees, pii, quality, vectors, warc
 from noticeworks.llm.common import fresh_path
 
 from .conftest import prose
@@ -148,8 +148,8 @@ def test_top_k(spark, monkeypatch):
     frame = spark.createDataFrame(rows, "vec_id long, embedding array<float>").withColumn("shard", F.lit("clash"))
     exact = [(i, None if v is None else [None if x is None else float(__import__("numpy").float32(x)) for x in v]) for i, v in rows]
     for shard_rows, block in ((16_384, 1024), (40, 4)):
-        monkeypatch.setattr(vectors, "SHARD_ROWS", shard_rows)
-        monkeypatch.setattr(vectors, "BLOCK_QUERIES", block)
+        monkeypatch.setattr(ball_trees, "SHARD_ROWS", shard_rows)
+        monkeypatch.setattr(ball_trees, "BLOCK_QUERIES", block)
         got = vectors.top_k(frame, frame.filter("vec_id % 50 = 0")).collect()
         assert Counter(tuple(r) for r in got) == brute_top(exact)
     assert vectors.top_k(frame.limit(0), frame.limit(0)).collect() == []

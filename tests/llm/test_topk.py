@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from noticeworks.llm import vectors
+from noticeworks.llm import ball_trees, vectors
 
 from .test_pii_quality_warc_topk import brute_top
 
@@ -37,7 +37,7 @@ def test_large_components_are_exact(spark):
 def test_waves_of_cells(spark, monkeypatch, spread):
     """Many small cells, hot equal vectors, few queries a part: the same as all pairs; tight clusters leave cells out."""
     for name, value in (("SHARD_ROWS", 60), ("CELL_ROWS", 20), ("BLOCK_QUERIES", 3), ("WAVES", (1, 3))):
-        monkeypatch.setattr(vectors, name, value)
+        monkeypatch.setattr(ball_trees, name, value)
     rng = np.random.default_rng(5)
     centre = rng.normal(size=(12, 8))
     points = centre[rng.integers(0, 12, 700)] + spread * rng.normal(size=(700, 8))
@@ -45,13 +45,13 @@ def test_waves_of_cells(spark, monkeypatch, spread):
     frame = spark.createDataFrame(rows, SCHEMA).repartition(3).withColumn("cell", F.lit("clash"))
     got = vectors.top_k(frame, frame.filter("vec_id % 50 = 0")).collect()
     assert Counter(tuple(x) for x in got) == brute_top(rows)
-    clean = vectors.clean(frame, "vec_id", "embedding", 256)
-    cells = vectors.centres_of(clean)
-    assert 8 in cells and len(cells[8]) > 8
+    clean = ball_trees.clean(frame, "vec_id", "embedding", 256)
+    centres = ball_trees.centres_of(clean)
+    assert 8 in centres and len(centres[8]) > 8
     if spread < 0.1:
-        ids = np.arange(len(cells[8]))
-        far = {r.cell: r.far for r in vectors.with_cells(clean, cells).groupBy("cell").agg(F.max("far").alias("far")).collect()}
-        table = {8: (ids, cells[8], vectors.widened(np.array([far.get(i, 0.0) for i in ids])))}
-        floors = spark.createDataFrame([(r.query_id, float(r.score)) for r in got if r.rank == 5], "query_id long, floor double")
+        group = F.lit(0).cast("long").alias("grp")
+        shards = ball_trees.Shards(ball_trees.with_cells(clean, centres).withColumn("grp", group), centres, 5)
+        floors = spark.createDataFrame([(r.query_id, float(r.score)) for r in got if r.rank == 5], "query_id long, low double")
         asked = clean.filter("vec_id % 50 = 0").withColumnRenamed("vec_id", "query_id").join(floors, "query_id")
-        assert vectors.promising(asked, table, 0, None).count() < 0.7 * asked.count() * len(ids)
+        asked = asked.select("query_id", "dim", group, "v", "low", F.lit(None).cast("double").alias("high"), F.lit(False).alias("one_cell"))
+        assert shards.promising(asked, 0, None).count() < 0.7 * asked.count() * len(shards.cells[8][0])
