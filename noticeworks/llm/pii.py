@@ -21,13 +21,23 @@ from pyspark.sql import functions as F
 from noticeworks.llm.common import table
 
 ROUNDS = 10
-#: What stands behind a word like "password" is a secret from so many characters on; there is no upper bound.
+#: What stands behind a word like "password" is a secret from so many characters on, to its closing quote or white space; there is no upper bound.
 LEAST_SECRET = 8
 #: For the query on test tables; a real run passes its own secret.
 DEMO_KEY = "demonstration-key"
 
 OCTET = r"(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)"
-SECRET_WORD = r"(?i:token|secret|passwd|password|api_key|apikey)\s*+[=:]\s*+[\"']?"
+SECRET_WORD = r"(?i:token|secret|passwd|password|api[_-]?key)[\"']?+\s*+(?::=|=>|[=:])\s*+[\"']?+"
+
+
+def secret_pattern() -> str:
+    """A secret word and what it stands for: up to the closing quote where there is one, else up to white space."""
+    run = lambda inside: rf"(?:(?!{SECRET_WORD}){inside}){{{LEAST_SECRET},}}+"
+    quoted = "|".join(rf"(?<={q})(?=[^{q}\n]*+{q}){run(rf'[^{q}\n]')}" for q in "\"'")
+    unclosed = r"(?<!\")(?<!')|(?<=\")(?![^\"\n]*+\")|(?<=')(?![^'\n]*+')"
+    return rf"{SECRET_WORD}(?:{quoted}|(?:{unclosed}){run(r'\S')})"
+
+
 #: Length of an IBAN by country (fixed values); a longer run of groups is an IBAN and something else.
 IBAN_LENGTHS = {
     15: "NO", 16: "BE", 18: "DK FI FK FO GL NL SD", 19: "MK SI", 20: "AT BA EE KZ LT LU MN XK", 21: "CH HR LI LV", 22: "BG BH CR DE GB GE IE ME RS VA",
@@ -45,9 +55,9 @@ def iban_pattern() -> str:
 
 
 PATTERNS = {
-    "mail": r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.(?=[A-Za-z0-9-])[A-Za-z0-9-]++)++(?<=[A-Za-z]{2})",
+    "mail": r"(?<![\p{L}\p{N}._%+-])[\p{L}\p{N}._%+-]++@[\p{L}\p{N}-]++(?:\.(?=[\p{L}\p{N}-])[\p{L}\p{N}-]++)++(?<=\p{L}{2})",
     "cloud_key": r"(?<![A-Za-z0-9])(?:AKIA|ASIA)[A-Z0-9]{16}(?![A-Za-z0-9])",
-    "secret": rf"{SECRET_WORD}(?:(?!{SECRET_WORD})[A-Za-z0-9+/_-]){{{LEAST_SECRET},}}+",
+    "secret": secret_pattern(),
     "iban": iban_pattern(),
     "ip": rf"(?<!\d)(?<!\d\.)(?:{OCTET}\.){{3}}{OCTET}(?!\.?\d)",
     "date": r"(?<![\d./-])(?:\d{4}-\d{2}-\d{2}|\d{2}[./]\d{2}[./]\d{4})(?![./-]?\d)",
@@ -169,8 +179,9 @@ def only_digits(text: Column) -> Column:
     return F.regexp_replace(text, r"[^0-9]", "")
 
 
-#: Days that are permuted, from 1900-01-01 to 2099-12-31.
-DAYS = 73_049
+#: Dates are permuted among those of 1900 to 2099, and all others from 0001 to 9999 among themselves: first day, days of the
+#: first range, place of the first range among all days, all days.
+FIRST_DAY, DAYS, DAYS_BEFORE, ALL_DAYS = "0001-01-01", 73_049, 693_595, 3_652_059
 
 # --- one function for each kind: what was found -> its pseudonym, or the same again if it fails its check ---------
 
@@ -184,8 +195,10 @@ def cloud_key(key: Key, m: Column) -> Column:
 
 
 def secret(key: Key, m: Column) -> Column:
+    """A digest of the value, spun out by a counter to its length."""
     blocks = F.sequence(F.lit(0), F.floor((F.length(m) - 1) / 64).cast("int"))
-    return F.substring(F.array_join(F.transform(blocks, lambda i: digest(key, F.concat(F.lit("secret"), i.cast("string")), m)), ""), F.lit(1), F.length(m))
+    spun = lambda h: F.array_join(F.transform(blocks, lambda i: digest(key, F.lit("secret"), h, i.cast("string"))), "")
+    return F.substring(named(digest(key, F.lit("secret"), m), spun), F.lit(1), F.length(m))
 
 
 def iban(key: Key, m: Column) -> Column:
@@ -218,12 +231,16 @@ def date(key: Key, m: Column) -> Column:
     year, a, b = F.when(iso, first).otherwise(third), second, F.when(iso, third).otherwise(first)
     day_first = F.try_to_date(F.concat_ws("-", F.lpad(year.cast("string"), 4, "0"), F.lpad(a.cast("string"), 2, "0"), F.lpad(b.cast("string"), 2, "0")), "yyyy-MM-dd")
     month_first = F.try_to_date(F.concat_ws("-", F.lpad(year.cast("string"), 4, "0"), F.lpad(b.cast("string"), 2, "0"), F.lpad(a.cast("string"), 2, "0")), "yyyy-MM-dd")
-    start, days = "1900-01-01", DAYS
+    start = F.lit(FIRST_DAY).cast("date")
 
     def moved(found: Column) -> Column:
-        index = F.datediff(found, F.lit(start).cast("date"))
-        new = F.date_add(F.lit(start).cast("date"), permuted_index(key, "date", index, days).cast("int"))
-        return F.when((index >= 0) & (index < days), new)
+        index = F.datediff(found, start)
+        recent = index - DAYS_BEFORE
+        other = F.when(recent < 0, index).otherwise(index - DAYS)
+        near = permuted_index(key, "date", recent, DAYS) + DAYS_BEFORE
+        far = named(permuted_index(key, "other date", other, ALL_DAYS - DAYS), lambda x: F.when(x < DAYS_BEFORE, x).otherwise(x + DAYS))
+        new = F.when((recent >= 0) & (recent < DAYS), near).otherwise(far)
+        return F.when((index >= 0) & (index < ALL_DAYS), F.date_add(start, new.cast("int")))
 
     def written(new: Column, pattern: str) -> Column:
         return F.replace(F.date_format(new, pattern), F.lit("."), F.substring(m, 3, 1))
@@ -308,7 +325,7 @@ def pseudonymised(docs: DataFrame, key: str | DataFrame, text_col: str = "text",
     keys = key_table(docs.sparkSession, key) if isinstance(key, str) else key
     held = f"_pii_{uuid.uuid4().hex}"  # one column that no caller has, for what is under way
     text = F.col(text_col)
-    possible = text.rlike("[0-9@]|(?i:token|secret|passw|api_?key)")
+    possible = text.rlike("[0-9@]|(?i:token|secret|passw|api[_-]?key)")
     work = docs.withColumn(held, F.struct(F.when(possible, F.regexp_extract_all(text, F.lit(ANY), F.lit(0))).alias("found")))
     found = F.col(f"{held}.found")
     some = F.size(found) > 0

@@ -3,6 +3,7 @@
 import datetime as dt
 import hashlib
 import random
+import time
 
 import pytest
 import regex
@@ -83,10 +84,15 @@ def date(m):
             day = dt.date(*ymd)
         except ValueError:
             continue
-        index = (day - dt.date(1900, 1, 1)).days
-        if not 0 <= index < 73_049:
-            return m
-        return (dt.date(1900, 1, 1) + dt.timedelta(permuted_index("date", index, 73_049))).strftime(form.format(m[2]))
+        first, last = dt.date(1900, 1, 1).toordinal(), dt.date(2100, 1, 1).toordinal()
+        n = day.toordinal()
+        if first <= n < last:
+            new = first + permuted_index("date", n - first, last - first)
+        else:
+            others = [*range(1, first), *range(last, dt.date(9999, 12, 31).toordinal() + 1)]
+            new = others[permuted_index("other date", others.index(n), len(others))]
+        d = dt.date.fromordinal(new)
+        return form.format(m[2]).replace("%Y", f"{d.year:04d}").replace("%m", f"{d.month:02d}").replace("%d", f"{d.day:02d}")
     return m
 
 
@@ -130,7 +136,8 @@ def cloud_key(m):
 
 
 def secret(v):
-    return "".join(digest(f"secret{i}", v) for i in range((len(v) + 63) // 64))[: len(v)]
+    whole = digest("secret", v)
+    return "".join(digest("secret", whole, str(i)) for i in range((len(v) + 63) // 64))[: len(v)]
 
 
 KINDS = {"mail": mail, "cloud_key": cloud_key, "iban": iban, "ip": ip, "date": date, "social": social, "phone": phone, "card": card}
@@ -208,6 +215,39 @@ def test_secrets_of_any_length_and_spacing(spark):
     assert "a1a1" not in out[0] and "hunter" not in out[1] and "abcdefgh" not in out[2] and "mmm" not in out[3] and out[4] == texts[4]
 
 
+#: Written by hand: a text, and what of it must go; the rest stays as it is.
+SECRETS = [
+    ("token=eyJhbGci.eyJzdWIi.SflKxwRJ end", "eyJhbGci.eyJzdWIi.SflKxwRJ"), ("password: Tr0ub4dor&3xyz9", "Tr0ub4dor&3xyz9"), ("password=p@ssw0rd!longer x", "p@ssw0rd!longer"),
+    ("password=abc!defgh12", "abc!defgh12"), ("API_KEY='abcd.efgh.ijkl'.", "abcd.efgh.ijkl"), ("api-key: k3y-k3y-k3y", "k3y-k3y-k3y"), ("passwd := hunter2!hunter", "hunter2!hunter"),
+    ('{"password": "two words and more", "x": 1}', "two words and more"), ("secret='no closing quote here", "") , ("password='unclosed!1 x", "unclosed!1"), ('password="short", "x": "yyyyyyyyy"', ""),
+    ("a\nTOKEN = \"x!y?z.w,v;u\"\nb", "x!y?z.w,v;u"), ("password=pässwörd€uro1 ok", "pässwörd€uro1"), ("mail jürgen.größe@müller-straße.de now", "jürgen.größe@müller-straße.de"),
+    ("born 1850-02-28.", "1850-02-28"), ("ends 31.12.2199", "31.12.2199"), ("year 0001-01-01", "0001-01-01"), ("no 2023-02-30 day", ""), ("0000-01-01", ""),
+]
+
+
+def test_hand_made_secrets(spark):
+    out = pii.pseudonymised(spark.createDataFrame([(i, t) for i, (t, _) in enumerate(SECRETS)], "doc_id long, text string"), KEY, count_col="n")
+    for r in out.collect():
+        text, gone = SECRETS[r.doc_id]
+        if not gone:
+            assert (r.text, r.n) == (text, 0)
+            continue
+        before, _, behind = text.partition(gone)
+        assert r.n == 1 and r.text.startswith(before) and r.text.endswith(behind), (text, r.text)
+        new = r.text[len(before) : len(r.text) - len(behind)]
+        assert new != gone and (len(new) == len(gone) or "@" in gone)
+        assert not any(part in r.text for part in regex.findall(r"\w{5,}", gone)), (text, r.text)
+
+
+def test_a_secret_of_ten_megabytes(spark):
+    text = "password=" + "aB3!x" * 2_000_000 + " end"
+    frame = spark.createDataFrame([(1, text)], "doc_id long, text string").cache()
+    frame.count()
+    began = time.monotonic()
+    out = pii.pseudonymised(frame, KEY).select(F.length("text"), F.substring("text", 1, 9), F.substring("text", -4, 4), F.instr("text", "aB3!x")).first()
+    assert tuple(out) == (len(text), "password=", " end", 0) and time.monotonic() - began < 60
+
+
 def test_rectangles_are_permutations(spark):
     for size in (150, 261 * 280, 17 * 43):
         got = spark.range(size).select(pii.permuted_index("k", "t", F.col("id"), size).alias("p"))
