@@ -1,18 +1,26 @@
 """Operator 9: token totals by source, language and tokenizer version, kept up by signed deltas.
 
-A batch of changes is reduced to one signed row a group; a commit row, written last, makes it count.  A batch whose id
-is committed already is left out, and of two attempts at one batch only one ever counts, so a batch can be sent again
-after any failure.  Totals are the last compaction's totals and the deltas committed since: an insert adds, a delete
-subtracts, a revision does both.  Changes that name their documents are also held against a ledger of signed counts a
-document: a delete or revision of a document, or of a count, that is not there is refused and reported, with all changes of that
-document in the batch.  Sums are combined before the shuffle, so a source with a third of all rows is one row a task.
+A batch of changes is reduced to one signed row a group; an entry in a log of numbered files, made last, makes it count.  An
+entry is only made under a number that nobody has taken, and only by a writer that has seen all entries before it: of
+two writers one has to look again, so a batch id counts once whoever sends it how often, and a batch is held against the
+ledger as it is at its own place in the log.  A compaction names the last entry it has folded in; what others
+commit meanwhile has higher numbers and stays live beside it.
+
+Totals are the last compaction's totals and the deltas committed since: an insert adds, a delete subtracts, a revision does
+both.  Changes that name their documents are also held against a ledger of signed counts a document: a delete or
+revision of a document, or of a count, that is not there is refused and reported, with all changes of that document in
+the batch.  Sums are combined before the shuffle, so a source with a third of all rows is one row a task.
 """
 
 from __future__ import annotations
 
+import json
+import os
 import uuid
 from collections.abc import Iterator
 from functools import reduce
+from typing import NamedTuple
+from urllib.parse import urlsplit
 
 import pyarrow as pa
 from pyspark.errors import AnalysisException
@@ -27,8 +35,8 @@ GROUP = ["source", "lang", "version"]
 ENTRY = ["doc_id", *GROUP, "n_tokens"]
 DELTAS = "source string, lang string, version string, n_docs long, n_tokens long, attempt string"
 LEDGER = "doc_id long, source string, lang string, version string, n_tokens long, sign long, attempt string"
-COMMITS = "batch string, attempt string, compaction long"
-FOLDED = "batch string, attempt string"
+#: An entry of the log: its number, a batch id or null for a compaction, the attempt whose rows count, the last entry folded in.
+LOG = "number long, batch string, attempt string, upto long"
 
 
 def same(left: DataFrame, right: DataFrame, names: list[str]) -> Column:
@@ -36,41 +44,72 @@ def same(left: DataFrame, right: DataFrame, names: list[str]) -> Column:
     return reduce(lambda a, b: a & b, (left[n].eqNullSafe(right[n]) for n in names))
 
 
+def put_if_absent(spark: SparkSession, path: str, text: str) -> bool:
+    """Makes a whole file at once, or gives False where there is one: a link on file systems, else a rename that does not replace (as HDFS has it)."""
+    temporary = f"{path.rsplit('/', 1)[0]}/.{uuid.uuid4().hex}"
+    scheme = urlsplit(path).scheme
+    if scheme in ("", "file"):
+        temporary, path = (urlsplit(x).path for x in (temporary, path))
+        os.makedirs(os.path.dirname(path), exist_ok=True)
+        with open(temporary, "w", encoding="utf-8") as f:
+            f.write(text)
+        try:
+            os.link(temporary, path)
+        except FileExistsError:
+            return False
+        finally:
+            os.unlink(temporary)
+        return True
+    hadoop = spark._jvm.org.apache.hadoop.fs.Path
+    source, target = hadoop(temporary), hadoop(path)
+    files = target.getFileSystem(spark._jsc.hadoopConfiguration())
+    out = files.create(source, False)
+    out.write(bytearray(text.encode()))
+    out.close()
+    if not files.exists(target) and files.rename(source, target):
+        return True
+    files.delete(source, False)
+    return False
+
+
+class Entry(NamedTuple):
+    number: int
+    batch: str | None
+    attempt: str
+    upto: int | None
+
+
 class Rollup:
     """Totals in a folder that all executors share."""
 
     def __init__(self, spark: SparkSession, folder: str):
         self.spark, self.folder = spark, folder
 
-    def read(self, name: str, schema: str) -> DataFrame:
+    def read(self, name: str, schema: str, form: str = "parquet") -> DataFrame:
         try:
-            return self.spark.read.schema(schema).parquet(f"{self.folder}/{name}")
+            return self.spark.read.schema(schema).format(form).load(f"{self.folder}/{name}")
         except AnalysisException as e:
             if e.getCondition() != "PATH_NOT_FOUND":
                 raise
             return self.spark.createDataFrame([], schema)
 
-    def commits(self) -> DataFrame:
-        """One attempt for each committed batch; compaction: the number of one, else null."""
-        return self.read("commits", COMMITS).groupBy("batch").agg(F.min("attempt").alias("attempt"), F.max("compaction").alias("compaction"))
+    def log(self) -> list[Entry]:
+        """All entries, in order: one for each batch and compaction ever committed."""
+        return sorted(Entry(*r) for r in self.read("log", LOG, "json").collect())
 
-    def live(self) -> DataFrame:
-        """The attempts that count: the last compaction, and batches that it did not fold in."""
-        done = self.commits()
-        last = done.agg(F.max_by("attempt", "compaction").alias("attempt"), F.max("compaction").alias("n")).first()
-        if last.n is None:
-            return done.select("attempt")
-        folded = self.read("folded", FOLDED).filter(F.col("attempt") == last.attempt).select("batch")
-        rest = done.filter("compaction IS NULL").join(folded, "batch", "left_anti").select("attempt")
-        return rest.union(self.spark.createDataFrame([(last.attempt,)], "attempt string"))
+    def live(self, log: list[Entry]) -> DataFrame:
+        """The attempts that count after these entries: the last compaction, and batches that it did not fold in."""
+        last = max((e for e in log if e.batch is None), default=None)
+        names = [e.attempt for e in log if e.batch is not None and (last is None or e.number > last.upto)]
+        return self.spark.createDataFrame([(n,) for n in names + ([last.attempt] if last else [])], "attempt string")
 
-    def counting(self, name: str, schema: str) -> DataFrame:
-        return self.read(name, schema).join(self.live(), "attempt").drop("attempt")
+    def counting(self, name: str, schema: str, log: list[Entry]) -> DataFrame:
+        return self.read(name, schema).join(self.live(log), "attempt").drop("attempt")
 
-    def commit(self, batch: str, attempt: str, compaction: int | None = None) -> bool:
-        """Whether it is this attempt that counts."""
-        self.spark.createDataFrame([(batch, attempt, compaction)], COMMITS).coalesce(1).write.mode("append").parquet(f"{self.folder}/commits")
-        return self.commits().filter(F.col("batch") == batch).first().attempt == attempt
+    def commit(self, log: list[Entry], batch: str | None, attempt: str, upto: int | None = None) -> bool:
+        """Whether the entry behind ``log`` was still free and is this one now."""
+        number = log[-1].number + 1 if log else 1
+        return put_if_absent(self.spark, f"{self.folder}/log/{number:012d}.json", json.dumps(Entry(number, batch, attempt, upto)._asdict()))
 
     def write(self, df: DataFrame, name: str, attempt: str) -> None:
         df.write.parquet(f"{self.folder}/{name}/attempt={attempt}")
@@ -81,26 +120,32 @@ class Rollup:
         sign is +1 or -1; rows with a null sign or count change nothing; null sources, languages and versions are groups
         of their own; repeated rows count each.  Rows with a doc_id are held against the ledger, rows without are not.
         """
-        if self.commits().filter(F.col("batch") == batch).limit(1).count():
-            return False
-        attempt = uuid.uuid4().hex
         known = "doc_id" in changes.columns
         rows = changes.filter("sign IS NOT NULL AND n_tokens IS NOT NULL")
         rows = rows.select((F.col("doc_id") if known else F.lit(None)).cast("long").alias("doc_id"), *GROUP, F.col("n_tokens").cast("long"), F.col("sign").cast("long").alias("sign"))
+        takes = False
         if known:
             rows = staged(rows.groupBy(*ENTRY).agg(F.sum("sign").alias("sign")).filter("sign <> 0"), "token-changes", narrow=True)
-            rows = self.accepted(rows, attempt)
-            self.write(rows.filter("doc_id IS NOT NULL").select(*ENTRY, "sign"), "ledger", attempt)
-        sums = rows.groupBy(*GROUP).agg(F.sum("sign").alias("n_docs"), F.sum(F.col("sign") * F.col("n_tokens")).alias("n_tokens"))
-        self.write(sums, "deltas", attempt)
-        return self.commit(batch, attempt)
-
-    def accepted(self, rows: DataFrame, attempt: str) -> DataFrame:
+            takes = rows.filter("doc_id IS NOT NULL AND sign < 0").limit(1).count() > 0
+        attempt = None
+        while True:
+            log = self.log()
+            if any(e.batch == batch for e in log):
+                return False
+            if attempt is None or takes:  # what takes nothing away is the same behind any entry
+                attempt = uuid.uuid4().hex
+                good = self.accepted(rows, attempt, log) if takes else rows
+                if known:
+                    self.write(good.filter("doc_id IS NOT NULL").select(*ENTRY, "sign"), "ledger", attempt)
+                sums = good.groupBy(*GROUP).agg(F.sum("sign").alias("n_docs"), F.sum(F.col("sign") * F.col("n_tokens")).alias("n_tokens"))
+                self.write(sums, "deltas", attempt)
+            if self.commit(log, batch, attempt):
+                return True
+
+    def accepted(self, rows: DataFrame, attempt: str, log: list[Entry]) -> DataFrame:
         """Net changes without those of documents of which more would go than is there; these are written as refused."""
         minus = rows.filter("doc_id IS NOT NULL AND sign < 0")
-        if not minus.limit(1).count():
-            return rows
-        ledger = self.counting("ledger", LEDGER)
+        ledger = self.counting("ledger", LEDGER, log)
         have = ledger.join(minus, same(ledger, minus, ENTRY), "left_semi").groupBy(*ENTRY).agg(F.sum("sign").alias("have"))
         short = minus.join(have, same(minus, have, ENTRY), "left").filter(F.coalesce("have", F.lit(0)) + F.col("sign") < 0)
         short = staged(short.select(minus["doc_id"], minus["version"]).distinct(), "token-refused", narrow=True)
@@ -110,31 +155,37 @@ class Rollup:
 
     def refused(self) -> DataFrame:
         """doc_id, source, lang, version, n_tokens, sign of the net changes that did not fit what was there."""
-        return self.read("refused", LEDGER).join(self.commits().select("attempt"), "attempt").drop("attempt")
+        committed = self.spark.createDataFrame([(e.attempt,) for e in self.log()], "attempt string")
+        return self.read("refused", LEDGER).join(committed, "attempt").drop("attempt")
 
-    def documents(self) -> DataFrame:
+    def documents(self, log: list[Entry] | None = None) -> DataFrame:
         """The ledger: how many documents of each id have which count."""
-        return self.counting("ledger", LEDGER).groupBy(*ENTRY).agg(F.sum("sign").alias("sign")).filter("sign <> 0")
+        return self.counting("ledger", LEDGER, self.log() if log is None else log).groupBy(*ENTRY).agg(F.sum("sign").alias("sign")).filter("sign <> 0")
 
-    def totals(self) -> DataFrame:
+    def totals(self, log: list[Entry] | None = None) -> DataFrame:
         """source, lang, version, n_docs, n_tokens; groups whose documents are all deleted are left out."""
-        sums = self.counting("deltas", DELTAS).groupBy(*GROUP).agg(F.sum("n_docs").alias("n_docs"), F.sum("n_tokens").alias("n_tokens"))
+        deltas = self.counting("deltas", DELTAS, self.log() if log is None else log)
+        sums = deltas.groupBy(*GROUP).agg(F.sum("n_docs").alias("n_docs"), F.sum("n_tokens").alias("n_tokens"))
         return sums.filter("n_docs <> 0 OR n_tokens <> 0")
 
     def compact(self) -> bool:
-        """Folds all committed deltas into one attempt, from which later totals go on; batches stay committed."""
-        done = self.commits()
-        number = (done.agg(F.max("compaction")).first()[0] or 0) + 1
-        attempt = uuid.uuid4().hex
-        folded = staged(done.filter("compaction IS NULL").select("batch"), "token-folded", narrow=True)
-        self.write(self.totals(), "deltas", attempt)
-        self.write(self.documents(), "ledger", attempt)
-        self.write(folded, "folded", attempt)
-        return self.commit(f"compaction-{number:08d}", attempt, number)
+        """Folds the deltas of all entries of one listing into an attempt, from which later totals go on; False with none.
+
+        Batches stay committed; what is committed while this runs lies behind the last entry folded in and stays live.
+        """
+        log, attempt = self.log(), uuid.uuid4().hex
+        if not log:
+            return False
+        self.write(self.totals(log), "deltas", attempt)
+        self.write(self.documents(log), "ledger", attempt)
+        upto = log[-1].number
+        while not self.commit(log, None, attempt, upto):
+            log = self.log()
+        return True
 
 
 def counted(docs: DataFrame, vocabulary: str, text_col: str = "text") -> DataFrame:
-    """doc_id, source, lang, and the number of ids of each whole text (null: 0), however long; repeated rows each."""
+    """doc_id, source, lang, and the number of ids of each whole text (null: 0), however long; repeated rows each, none of an empty table."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(vocabulary)

@@ -12,7 +12,7 @@ import pytest
 import zstandard
 from pyspark.sql import functions as F
 
-from noticeworks.llm import ball_trees, filter_audit, hard_negatives, token_files
+from noticeworks.llm import ball_trees, filter_audit, hard_negatives, token_counts, token_files
 from noticeworks.llm.common import fresh_path
 
 from .conftest import prose
@@ -227,3 +227,64 @@ def test_filter_audit_of_odd_rows(spark):
     assert {(x.part, x.mask, x.n) for x in filter_audit.cells(docs, marks.limit(0), {"X": F.col("doc_id") % 2 == 0}, F.lit(None)).collect()} == {
         ("", 0 + 2 * e + odd, n) for (odd, e), n in Counter((int(d is not None and d % 2 == 0), int("E" in f)) for _, d, f in fails(rows)).items()
     }
+
+
+# --- 9: several writers ------------------------------------------------------------------------------------------
+
+
+def meanwhile(roll, do):
+    """Before roll's next entry is made, do() runs to its end."""
+    own, todo = roll.commit, [do]
+
+    def commit(*args, **kwargs):
+        if todo:
+            todo.pop()()
+        return own(*args, **kwargs)
+
+    roll.commit = commit
+
+
+def changed(spark, *rows):
+    return spark.createDataFrame([(s, d, "src", "en", "1", n) for s, d, n in rows], "sign int, doc_id long, source string, lang string, version string, n_tokens long")
+
+
+def sums(roll):
+    return {(r.n_docs, r.n_tokens) for r in roll.totals().collect()}, {(r.doc_id, r.n_tokens, r.sign) for r in roll.documents().collect()}
+
+
+@pytest.mark.parametrize("first", ["batch", "compaction"])
+def test_a_batch_beside_a_compaction(spark, first):
+    folder = fresh_path(spark, "writers")
+    one, two = token_counts.Rollup(spark, folder), token_counts.Rollup(spark, folder)
+    assert one.apply("a", changed(spark, (1, 1, 10)))
+    batch = lambda roll: roll.apply("b", changed(spark, (1, 2, 5)))
+    if first == "batch":
+        meanwhile(one, lambda: batch(two))
+        assert one.compact()
+    else:
+        meanwhile(one, two.compact)
+        assert batch(one)
+    want = {(2, 15)}, {(1, 10, 1), (2, 5, 1)}
+    assert sums(one) == sums(two) == want
+    assert two.compact() and sums(one) == want
+    # a compaction that saw less than an earlier one
+    meanwhile(one, two.compact)
+    assert one.compact() and sums(two) == want and not one.apply("b", changed(spark, (1, 9, 9)))
+
+
+@pytest.mark.parametrize("same", [True, False])
+def test_two_batches_that_delete_one_document(spark, same):
+    folder = fresh_path(spark, "writers")
+    one, two = token_counts.Rollup(spark, folder), token_counts.Rollup(spark, folder)
+    one.apply("a", changed(spark, (1, 1, 10), (1, 2, 5)))
+    gone = changed(spark, (-1, 1, 10))
+    meanwhile(one, lambda: two.apply("x", gone))
+    assert one.apply("x" if same else "y", gone) == (not same)
+    assert sums(one) == ({(1, 5)}, {(2, 5, 1)})
+    assert [(r.doc_id, r.sign) for r in one.refused().collect()] == ([] if same else [(1, -1)])
+
+
+def test_entries_are_made_once(spark):
+    path = fresh_path(spark, "log") + "/000000000001.json"
+    assert token_counts.put_if_absent(spark, path, "one") and not token_counts.put_if_absent(spark, path, "two")
+    assert [r.value for r in spark.read.text(path).collect()] == ["one"]
