@@ -165,7 +165,7 @@ def described(row: Column) -> Column:
 def persisted(announcements: DataFrame, linked: DataFrame, calls: DataFrame) -> dict[str, DataFrame]:
     """What a plan of linking changes: new calls, links, open doubts, and calls that nothing refers to any more.
 
-    announcements: id, call_id, by_hand, title; linked: id, call (smallest announcement of the group), how, doubt;
+    announcements: id, call_id, by_hand, title; linked: id, call (null in doubt), how, doubt;
     calls: call_id, kept (never deleted).  A link made by hand stays; an announcement in doubt is not linked; a group
     with a linked announcement keeps that call, another gets a call named by its smallest announcement.
     """
@@ -175,7 +175,7 @@ def persisted(announcements: DataFrame, linked: DataFrame, calls: DataFrame) ->
     placed = sure.join(known, "call", "left").withColumn("target", F.coalesce("known_id", F.col("call")))
     links = placed.filter(~F.coalesce("by_hand", F.lit(False)) & ~F.col("call_id").eqNullSafe(F.col("target"))).select("id", F.col("target").alias("call_id"), "how")
     new = placed.filter("known_id IS NULL").groupBy(F.col("target").alias("call_id")).agg(F.min_by("title", "id").alias("title"), F.count("*").alias("n"))
-    doubts = rows.filter("doubt IS NOT NULL AND call_id IS NULL").select("id", F.col("doubt").alias("candidate"))
+    doubts = rows.filter("(doubt IS NOT NULL OR how = 'doubt') AND call_id IS NULL").select("id", F.col("doubt").alias("candidate"))
     after = rows.select("id", "call_id").join(links.select("id", F.col("call_id").alias("new_id")), "id", "left").select(F.coalesce("new_id", "call_id").alias("call_id"))
     orphans = calls.filter(~F.coalesce("kept", F.lit(False))).join(after.filter("call_id IS NOT NULL").distinct(), "call_id", "left_anti").select("call_id")
     return {"calls": new, "links": links, "doubts": doubts, "orphans": orphans}

@@ -1,8 +1,10 @@
 """Linking announcements that speak of the same call: by official code, by page address, by title.
 
-The order matters: announcements are taken oldest first and a call is known only from those before.  A decision
-depends only on announcements that share a code, an address or enough title words, so connected groups of such
-candidates are independent: the groups are found by joins, and each runs the ordered pass on its own.
+The order matters: announcements are taken oldest first, a call is known only from those before, and every linked
+announcement makes its call known by one title, code and address more.  What is alike but not surely the same stays in doubt,
+linked to nothing.  A decision depends only on announcements that share a code, an address, enough title words, or
+a title inside that of an update, so connected groups of such candidates are independent: the groups are found by
+joins, and each runs the ordered pass on its own.  Announcements linked before seed the pass, so later ones can be linked alone.
 """
 
 from __future__ import annotations
@@ -14,13 +16,18 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from noticeworks.functions.text import editions_compatible, jaccard, similarity
+from noticeworks.functions.notices import role
+from noticeworks.functions.text import editions_compatible, is_service_url, jaccard, similarity
+from noticeworks.functions.titles import describes_call, title_parts
 from noticeworks.operators.lineage import cut_lineage
 
-DOUBT, SAME, UNLIKE = 0.6, 0.9, 0.2
+# Scores from which titles may be, and surely are, of one call; below which one address is two calls'; of a call's
+# title inside an update's; share of words in titles of one source.  Territories that hold others, and roles that can open a call.
+DOUBT, SAME, UNLIKE, INSIDE, OWN_SOURCE = 0.6, 0.9, 0.2, 0.85, 0.8
+WIDE, ALPINE, LOCAL_KINDS, RENEWALS = {"ITA", "UE"}, {"TAA", "TN", "BZ"}, ("camera", "comune", "provincia"), ("extension", "amendment")
 #: Edges that one task joins into components (16 bytes each); more are joined by label passing.
 SMALL_EDGES = 500_000
-LINK_SCHEMA = "id long, call long, how string, doubt long"
+LINK_SCHEMA = "id long, call long, how string, doubt long, score double"
 
 
 def ambiguous_urls(rows: DataFrame, least: int = 2) -> DataFrame:
@@ -83,74 +90,194 @@ def _united(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     yield pd.DataFrame([(x, top(x)) for x in up], columns=["node", "component"])
 
 
-def link_groups(rows: DataFrame) -> DataFrame:
-    """id, call (smallest announcement id of the call), how (code, url, title, new), doubt (a call it may belong to).
+def prepared(rows: DataFrame, year: int) -> DataFrame:
+    """Announcements (id, source, issuer, territory, urls, code, title, seen) with all that decisions look at."""
+    issuer, title = F.coalesce("issuer", F.lit("")), F.coalesce("title", F.lit(""))
+    urls = F.array_sort(F.array_distinct(F.filter("urls", lambda u: u.isNotNull() & ~is_service_url(u))))
+    rows = rows.select(
+        "id", "source", issuer.alias("issuer"), F.coalesce("territory", F.lit("")).alias("territory"), F.coalesce(urls, F.array().cast("array<string>")).alias("urls"), "code", "seen",
+        title_parts(title, issuer).alias("parts"), role(title).alias("role"), title.alias("title_text"),
+    )
+    rows = rows.select("*", "parts.*", describes_call(F.col("title_text"), F.col("parts.words")).alias("whole")).drop("parts", "title_text")
+    old = F.coalesce(F.array_max(F.transform("years", lambda y: y.cast("int"))) <= year - 2, F.lit(False))
+    return rows.withColumn("archive", old)
 
-    rows: id, source, issuer, territory, url_key, code, words, years, seen (order of arrival).  Equal titles are one
-    title, so copies cost nothing in the comparison; a group's alike titles come into its ordered pass once, beside its rows.
+
+def without_ambiguous(rows: DataFrame) -> DataFrame:
+    """rows with only those urls that no source uses for several announcements."""
+    one = rows.select("id", "source", F.explode("urls").alias("url_key"))
+    bad = ambiguous_urls(one).select("url_key").distinct()
+    good = one.join(bad, "url_key", "left_anti").groupBy("id").agg(F.array_sort(F.collect_list("url_key")).alias("good"))
+    return rows.join(good, "id", "left").withColumn("urls", F.coalesce("good", F.array().cast("array<string>"))).drop("good")
+
+
+def candidate_titles(titles: DataFrame) -> DataFrame:
+    """(a, b), a < b: titles (id, words, years, editions, places, update) that are alike by DOUBT, or of which one lies inside an update's.
+
+    The first meet on the rarest words of the smaller set (see ``title_pairs``).  A contained title has all its words in
+    the other, so it is listed under its rarest word alone, and updates under all of theirs: nothing is lost.
+    """
+    words = titles.select("id", "update", F.explode("words").alias("word"))
+    counts = words.groupBy("word").agg(F.count("*").alias("df"))
+    ranked = words.join(counts, "word").groupBy("id").agg(F.sort_array(F.collect_list(F.struct("df", "word"))).alias("w"))
+    ranked = cut_lineage(ranked.select("id", F.transform("w", lambda x: x["word"]).alias("w")))
+    short = F.floor((1 - DOUBT / 0.9) * F.size("w") + 1e-9).cast("int") + 1
+    rare = ranked.select("id", F.explode(F.slice("w", 1, short)).alias("word"))
+    rarest = ranked.filter(F.size("w") >= 2).select("id", F.element_at("w", 1).alias("word"))
+
+    def meet(left: DataFrame, right: DataFrame) -> DataFrame:
+        pairs = left.alias("x").join(right.alias("y"), (F.col("x.word") == F.col("y.word")) & (F.col("x.id") != F.col("y.id")))
+        return pairs.select(F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b"))
+
+    pairs = meet(rare, words).union(meet(rarest, words.filter("update"))).distinct()
+    side = lambda k: titles.select(F.col("id").alias(k), F.struct("words", "years", "editions", "places", "update").alias(f"t{k}"))
+    a, b = F.col("ta"), F.col("tb")
+    same_edition = (F.size(a["editions"]) == 0) | (F.size(b["editions"]) == 0) | (a["editions"] == b["editions"])
+    apart = (F.size(a["places"]) > 0) & (F.size(b["places"]) > 0) & ~F.arrays_overlap(a["places"], b["places"])
+    inside = lambda x, y: y["update"] & (F.size(x["words"]) >= 2) & (F.size(F.array_except(x["words"], y["words"])) == 0)
+    near = (similarity(a["words"], b["words"]) >= DOUBT) | inside(a, b) | inside(b, a)
+    scored = pairs.join(side("a"), "a").join(side("b"), "b")
+    return scored.filter(editions_compatible(a["years"], b["years"]) & same_edition & ~apart & near).select("a", "b")
+
+
+PARTS = ["words", "years", "editions", "places"]
+COLUMNS = ["id", "source", "issuer", "territory", "urls", "code", "role", "archive", "whole", "seen", "known", *PARTS, "title"]
+
+
+def link_groups(rows: DataFrame, known: DataFrame | None = None, year: int = 2026) -> DataFrame:
+    """id, call, how (code, url, title, new, doubt, ignore), doubt (a call it may belong to), score of the best title.
+
+    rows: id (one each), source, issuer (``issuer_key``), territory, urls (``url_key`` of each address), code, title, seen
+    (order of arrival).  known: the same columns and call, linked before; they come first and are not decided again.  A
+    call is named by the announcement that opened it; call is null in doubt and for what is ignored: an update of a call
+    of two years ago or more that is not known.  Nulls of any column tell nothing.  Equal titles are compared once,
+    and a group knows a call by each different (title, source, issuer, territory, code) once.
     """
-    none = F.array().cast("array<string>")
-    words, years, territory = F.coalesce("words", none).alias("words"), F.coalesce("years", none).alias("years"), F.coalesce("territory", F.lit("")).alias("territory")
-    rows = rows.select("id", "source", "issuer", territory, "url_key", "code", words, years, "seen")
-    bad = ambiguous_urls(rows).select("source", "url_key", F.lit(True).alias("ambiguous"))
-    rows = rows.join(bad, ["source", "url_key"], "left").withColumn("url", F.when(F.col("ambiguous").isNull(), F.col("url_key"))).drop("ambiguous")
-    sets = rows.groupBy("words", "years", "territory").agg(F.min("id").alias("title"))
-    rows = cut_lineage(rows.join(sets, ["words", "years", "territory"]))
-    pairs = cut_lineage(title_pairs(sets.withColumnRenamed("title", "id")))
-    first = lambda key: rows.filter(F.col(key).isNotNull()).groupBy(key).agg(F.min("id").alias("a"))
-    stars = [rows.join(first(k), k).select("a", F.col("id").alias("b")) for k in ("code", "url")]
-    same = rows.filter(F.size("words") > 0).select(F.col("title").alias("a"), F.col("id").alias("b"))
-    edges = stars[0].union(stars[1]).union(same).union(pairs.select("a", "b"))
+    first = [c for c in rows.columns if c in ("id", "source", "issuer", "territory", "urls", "code", "title", "seen")]
+    every = rows.select(*first, F.lit(None).cast("long").alias("known"))
+    if known is not None:
+        every = every.unionByName(known.select(*first, F.col("call").cast("long").alias("known")))
+    names = every.select("id", F.col("known"))
+    every = cut_lineage(without_ambiguous(prepared(every.drop("known"), year)).join(names, "id"))
+    titles = every.groupBy(*PARTS).agg(F.min("id").alias("title"), F.max(F.col("role").isNotNull()).alias("update"))
+    every = cut_lineage(every.join(titles.drop("update"), PARTS))
+    pairs = cut_lineage(candidate_titles(titles.withColumnRenamed("title", "id")))
+    star = lambda key, of: of.join(of.groupBy(key).agg(F.min("id").alias("a")), key).select("a", F.col("id").alias("b"))
+    by_url = every.select("id", F.explode("urls").alias("url"))
+    same = every.filter(F.size("words") > 0).select(F.col("title").alias("a"), F.col("id").alias("b"))
+    of_call = star("known", every.filter("known IS NOT NULL"))  # what is linked already goes together
+    edges = star("code", every.filter("code IS NOT NULL")).union(star("url", by_url)).union(same).union(of_call).union(pairs)
     labels = cut_lineage(components(edges))
-    columns = ["component", "id", "issuer", "url", "code", "words", "years", "seen", "title"]
-    grouped = rows.join(labels, rows.id == F.col("node")).select(*columns)
-    of_pair = labels.toDF("start", "group_no")
-    alike = pairs.join(of_pair, F.col("a") == F.col("start")).select("group_no", "a", "b", "score")
+    grouped = every.join(labels, every.id == F.col("node")).select("component", *COLUMNS)
+    alike = pairs.join(labels.toDF("start", "group_no"), F.col("a") == F.col("start")).select("group_no", "a", "b")
     linked = grouped.groupBy("component").cogroup(alike.groupBy("group_no")).applyInPandas(_ordered_pass, LINK_SCHEMA)
-    alone = rows.join(labels, rows.id == F.col("node"), "left_anti")
-    return linked.unionByName(alone.select("id", F.col("id").alias("call"), F.lit("new").alias("how"), F.lit(None).cast("long").alias("doubt")))
+    alone = every.join(labels, every.id == F.col("node"), "left_anti").filter("known IS NULL")
+    how = F.when(F.col("role").isNull(), "new").when(F.col("archive"), "ignore").when(F.col("role").isin(*RENEWALS) & F.col("whole"), "new").otherwise("doubt")
+    alone = alone.select("id", F.when(how == "new", F.col("id")).alias("call"), how.alias("how"), F.lit(None).cast("long").alias("doubt"), F.lit(None).cast("double").alias("score"))
+    return linked.unionByName(alone)
 
 
-def _ordered_pass(group: pd.DataFrame, pairs: pd.DataFrame) -> pd.DataFrame:
-    alike: dict[int, list[tuple[float, int]]] = defaultdict(list)
-    for a, b, score in zip(pairs["a"].tolist(), pairs["b"].tolist(), pairs["score"].tolist(), strict=True):
-        alike[a].append((score, b))
-        alike[b].append((score, a))
-    calls: list[dict] = []
-    by_code: dict[str, int] = {}
-    by_url: dict[str, int] = {}
-    by_title: dict[int, list[int]] = defaultdict(list)
-    out = []
-    for r in group.sort_values(["seen", "id"]).itertuples(index=False):
-        words, years = frozenset(r.words), frozenset(r.years)
-        found, how, doubt = None, "new", None
-        if r.code is not None and r.code in by_code:
-            found, how = by_code[r.code], "code"
-        elif r.url is not None and r.url in by_url:
-            at = by_url[r.url]
-            if _alike(words, calls[at]["words"]) < UNLIKE:
-                doubt = at
-            else:
-                found, how = at, "url"
-        if found is None and doubt is None and words:
-            near = [(1.0, r.title), *alike[r.title]]
-            score, at = max(((s, -by_title[t][0]) for s, t in near if by_title[t]), default=(0.0, 0))
-            if score >= SAME and r.issuer == calls[-at]["issuer"] and years == calls[-at]["years"]:
-                found, how = -at, "title"
-            elif score >= DOUBT:
-                doubt = -at
-        if found is None:
-            found = len(calls)
-            calls.append({"words": words, "years": years, "issuer": r.issuer, "ids": []})
-            by_title[r.title].append(found)
-        calls[found]["ids"].append(r.id)
+class Known:
+    """The calls of a group as its announcements make them known, in their order."""
+
+    def __init__(self, pairs: pd.DataFrame):
+        self.codes: dict[str, int] = {}
+        self.urls: dict[str, int] = {}
+        self.order: dict[int, int] = {}
+        self.titles: dict[int, list[int]] = defaultdict(list)
+        #: Of each title: what it is known of (source, issuer, territory, code, call), in order of arrival.
+        self.of_title: dict[int, dict[tuple, int]] = defaultdict(dict)
+        self.added = 0
+        self.sets: dict[int, tuple[frozenset, ...]] = {}
+        self.alike: dict[int, list[int]] = defaultdict(list)
+        for a, b in zip(pairs["a"].tolist(), pairs["b"].tolist(), strict=True):
+            self.alike[a].append(b)
+            self.alike[b].append(a)
+
+    def add(self, r, call: int) -> None:
+        self.order.setdefault(call, len(self.order))
         if r.code is not None:
-            by_code.setdefault(r.code, found)
-        if r.url is not None and doubt is None:
-            by_url.setdefault(r.url, found)
-        out.append((r.id, found, how, doubt))
-    name = lambda at: None if at is None else min(calls[at]["ids"])
-    return pd.DataFrame([(i, name(c), how, name(d)) for i, c, how, d in out], columns=["id", "call", "how", "doubt"]).astype({"doubt": "Int64"})
+            self.codes.setdefault(r.code, call)
+        for url in r.urls:
+            self.urls.setdefault(url, call)
+        if r.title not in self.titles[call]:
+            self.titles[call].append(r.title)
+        self.of_title[r.title].setdefault((r.source, r.issuer, r.territory, r.code, call), self.added)
+        self.added += 1
+
+    def best(self, r):
+        """The best title for r: score, call, Jaccard, source and issuer, and its years and editions; of equals the oldest call's first."""
+        found = None
+        for title in (r.title, *self.alike[r.title]):
+            other = self.sets[title]
+            mine = self.sets[r.title]
+            score, share = _alike(mine[0], other[0]), _share(mine[0], other[0])
+            if r.role is not None and len(other[0]) >= 2 and other[0] <= mine[0]:
+                score = max(score, INSIDE)
+            for (source, issuer, territory, code, call), at in self.of_title[title].items():
+                if not _near(r.territory, territory) or (r.code is not None and code is not None and r.code != code):
+                    continue
+                if (_rivals(r.issuer, issuer) and share < SAME) or (source == r.source and share < OWN_SOURCE and r.role is None):
+                    continue
+                key = (-score, self.order[call], at)
+                if found is None or key < found[0]:
+                    found = key, score, call, share, source, issuer, other
+        return found
+
+    def decide(self, r) -> tuple[str, int | None, float | None]:
+        """how, the call or the one in doubt, and the score."""
+        if r.code in self.codes:
+            return "code", self.codes[r.code], None
+        for url in r.urls:
+            if url in self.urls:
+                call = self.urls[url]
+                score = max(_alike(self.sets[r.title][0], self.sets[t][0]) for t in self.titles[call])
+                return ("doubt" if score < UNLIKE else "url"), call, score
+        best = self.best(r)
+        if best is not None and best[1] >= DOUBT:
+            _, score, call, share, source, issuer, (_, years, editions, _) = best
+            _, my_years, my_editions, _ = self.sets[r.title]
+            dated = my_years or my_editions or source == r.source
+            if share >= SAME and issuer == r.issuer and (years, editions) == (my_years, my_editions) and dated:
+                return "title", call, score
+            return ("new", None, score) if r.archive else ("doubt", call, score)
+        if r.role is None or (not r.archive and r.role in RENEWALS and r.whole):
+            return "new", None, None
+        return ("ignore" if r.archive else "doubt"), None, None
+
+
+def _ordered_pass(group: pd.DataFrame, pairs: pd.DataFrame) -> pd.DataFrame:
+    calls, out = Known(pairs), []
+    rows = group.assign(first=group["known"].isna()).sort_values(["first", "seen", "id"])
+    for r in rows.astype(object).where(rows.notna(), None).itertuples(index=False):
+        r = r._replace(urls=list(r.urls))
+        calls.sets.setdefault(r.title, tuple(frozenset(x) for x in (r.words, r.years, r.editions, r.places)))
+        if r.known is not None:
+            calls.add(r, int(r.known))
+    for r in rows[rows["first"]].astype(object).where(rows.notna(), None).itertuples(index=False):
+        r = r._replace(urls=list(r.urls))
+        how, call, score = calls.decide(r)
+        if how == "new":
+            call = r.id
+        if how not in ("doubt", "ignore"):
+            calls.add(r, call)
+        out.append((r.id, None if how in ("doubt", "ignore") else call, how, call if how == "doubt" else None, score))
+    frame = pd.DataFrame(out, columns=["id", "call", "how", "doubt", "score"])
+    return frame.astype({"id": "int64", "call": "Int64", "doubt": "Int64", "score": "float64"})
+
+
+def _near(a: str, b: str) -> bool:
+    return a == b or not WIDE.isdisjoint((a, b)) or {a, b} <= ALPINE
+
+
+def _rivals(a: str, b: str) -> bool:
+    """Two authorities of one kind with other names."""
+    kind = a.split(" ")[0]
+    return kind in LOCAL_KINDS and kind == b.split(" ")[0] and a != b
+
+
+def _share(a: frozenset, b: frozenset) -> float:
+    return len(a & b) / len(a | b) if a and b else 0.0
 
 
 def _alike(a: frozenset, b: frozenset) -> float:

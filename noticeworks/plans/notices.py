@@ -155,12 +155,16 @@ def page_text(t) -> DataFrame:
     return page_source.readable_text(t("pages"))
 
 
+def no_text():
+    return F.lit(None).cast("string")
+
+
 def titles(documents_: DataFrame) -> DataFrame:
-    """The first words of each document as a title."""
+    """The first words of each document as a title; documents have no address."""
     title = F.array_join(F.slice(F.split(F.substring("text", 1, 400), r"\s+"), 1, 14), " ")
     return documents_.select(
-        F.col("doc_id").alias("id"), "source", F.col("source").alias("issuer"), F.upper("lang").alias("territory"), title.alias("title"), tx.words(title).alias("words"),
-        tx.years(title).alias("years"), nx.official_code(F.lit(None).cast("string"), F.lit(None).cast("string"), F.col("text")).alias("code"), F.lit(None).cast("string").alias("url_key"), F.col("doc_id").alias("seen"),
+        F.col("doc_id").alias("id"), "source", F.col("source").alias("issuer"), F.upper("lang").alias("territory"), F.array().cast("array<string>").alias("urls"),
+        nx.official_code(no_text(), no_text(), F.col("text")).alias("code"), title.alias("title"), F.col("doc_id").alias("seen"),
     )
 
 
@@ -187,8 +191,8 @@ def page_titles(pages: DataFrame) -> DataFrame:
     host = F.regexp_extract("url", r"^https?://([^/?#]*)", 1)
     lang = F.nullif(F.upper(F.regexp_extract(html, r"(?is)<html[^>]*\slang=[\"']?([a-z]+)", 1)), F.lit(""))
     return pages.select(
-        F.col("page_id").alias("id"), host.alias("source"), host.alias("issuer"), F.coalesce(lang, F.lit("ALL")).alias("territory"), title.alias("title"), tx.words(title).alias("words"),
-        tx.years(title).alias("years"), nx.official_code(F.lit(None).cast("string"), F.col("url"), html).alias("code"), tx.url_key(F.col("url")).alias("url_key"), F.col("page_id").alias("seen"),
+        F.col("page_id").alias("id"), host.alias("source"), host.alias("issuer"), F.coalesce(lang, F.lit("ITA")).alias("territory"), F.array(tx.url_key(F.col("url"))).alias("urls"),
+        nx.official_code(no_text(), F.col("url"), html).alias("code"), title.alias("title"), F.col("page_id").alias("seen"),
     )
 
 

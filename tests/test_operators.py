@@ -152,57 +152,6 @@ def test_partial_match_ignores_missing(spark):
     assert r.level == "compatible"
 
 
-def test_linking_equals_one_ordered_pass(spark):
-    r = random.Random(3)
-    words = [f"w{i}" for i in range(30)]
-    rows = []
-    for i in range(90):
-        base = words[(i % 9) * 3 : (i % 9) * 3 + 6]
-        w = sorted(set(base) - {r.choice(base)} | {r.choice(words)}) if r.random() < 0.5 else sorted(base)
-        years = r.choice([[], ["2025"], ["2026"]])
-        url = r.choice([None, f"u{r.randrange(25)}"])
-        rows.append((i, f"s{i % 4}", f"i{i % 3}", r.choice(["ALL", "LOM"]), url, r.choice([None] * 5 + [f"c{r.randrange(6)}"]), w, years, r.randrange(1000)))
-    schema = "id long, source string, issuer string, territory string, url_key string, code string, words array<string>, years array<string>, seen long"
-    got = {x.id: (x.call, x.how, x.doubt) for x in linking.link_groups(spark.createDataFrame(rows, schema)).collect()}
-    assert got == one_pass(rows)
-
-
-def one_pass(rows):
-    """The rules on one list, oldest first, every call compared."""
-    often = collections.Counter((r[1], r[4]) for r in rows if r[4])
-    calls, out = [], {}
-    for i, source, issuer, place, url, code, words, years, seen in sorted(rows, key=lambda r: (r[8], r[0])):
-        url = url if url and often[source, url] < 2 else None
-        w, y = frozenset(words), frozenset(years)
-        found, how, doubt = None, "new", None
-        by_code = [c for c in calls if code and code in c["codes"]]
-        by_url = [c for c in calls if url and url in c["urls"]]
-        if by_code:
-            found, how = by_code[0], "code"
-        elif by_url and linking._alike(w, by_url[0]["words"]) >= linking.UNLIKE:
-            found, how = by_url[0], "url"
-        elif by_url:
-            doubt = by_url[0]
-        else:
-            fits = [c for c in calls if (not y or not c["years"] or y <= c["years"] or c["years"] <= y) and (place == c["place"] or "ALL" in (place, c["place"]))]
-            best = max(fits, key=lambda c: linking._alike(w, c["words"]), default=None)
-            score = linking._alike(w, best["words"]) if best else 0
-            if score >= linking.SAME and issuer == best["issuer"] and y == best["years"]:
-                found, how = best, "title"
-            elif score >= linking.DOUBT:
-                doubt = best
-        if found is None:
-            found = {"words": w, "years": y, "place": place, "issuer": issuer, "codes": set(), "urls": set(), "ids": []}
-            calls.append(found)
-        found["ids"].append(i)
-        if code and not by_code:
-            found["codes"].add(code)
-        if url and doubt is None and not by_url:
-            found["urls"].add(url)
-        out[i] = (found, how, doubt)
-    return {i: (min(c["ids"]), how, min(d["ids"]) if d else None) for i, (c, how, d) in out.items()}
-
-
 def test_title_pairs_lose_nothing(spark):
     r = random.Random(8)
     sets = [(i, sorted(r.sample([f"w{k}" for k in range(12)], r.randint(1, 7))), [], "ALL") for i in range(60)]
