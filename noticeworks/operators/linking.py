@@ -9,7 +9,7 @@ joins, and each runs the ordered pass on its own.  Announcements linked before s
 
 from __future__ import annotations
 
-from collections import defaultdict
+from collections import defaultdict, namedtuple
 from collections.abc import Iterator
 
 import pandas as pd
@@ -208,13 +208,16 @@ class Known:
     def best(self, r):
         """The best title for r: score, call, Jaccard, source and issuer, and its years and editions; of equals the oldest call's first."""
         found = None
-        for title in (r.title, *self.alike[r.title]):
+        mine = self.sets[r.title]
+        for title in (r.title, *self.alike.get(r.title, ())):
+            linked = self.of_title.get(title)
+            if not linked:  # no announcement of this title is linked so far
+                continue
             other = self.sets[title]
-            mine = self.sets[r.title]
             score, share = _alike(mine[0], other[0]), _share(mine[0], other[0])
             if r.role is not None and len(other[0]) >= 2 and other[0] <= mine[0]:
                 score = max(score, INSIDE)
-            for (source, issuer, territory, code, call), at in self.of_title[title].items():
+            for (source, issuer, territory, code, call), at in linked.items():
                 if not _near(r.territory, territory) or (r.code is not None and code is not None and r.code != code):
                     continue
                 if (_rivals(r.issuer, issuer) and share < SAME) or (source == r.source and share < OWN_SOURCE and r.role is None):
@@ -246,24 +249,33 @@ class Known:
         return ("ignore" if r.archive else "doubt"), None, None
 
 
+Announcement = namedtuple("Announcement", COLUMNS)
+
+
+def _rows(group: pd.DataFrame) -> list[Announcement]:
+    """A group in order: what is known first, then by arrival.  Plain lists, as most groups are a few rows."""
+    plain = lambda column: [None if isinstance(x, float) and x != x else x for x in column.tolist()]
+    rows = [Announcement(*values) for values in zip(*(plain(group[c]) for c in COLUMNS), strict=True)]
+    return sorted(rows, key=lambda r: (r.known is None, r.seen is None, r.seen or 0, r.id))
+
+
 def _ordered_pass(group: pd.DataFrame, pairs: pd.DataFrame) -> pd.DataFrame:
     calls, out = Known(pairs), []
-    rows = group.assign(first=group["known"].isna()).sort_values(["first", "seen", "id"])
-    for r in rows.astype(object).where(rows.notna(), None).itertuples(index=False):
-        r = r._replace(urls=list(r.urls))
-        calls.sets.setdefault(r.title, tuple(frozenset(x) for x in (r.words, r.years, r.editions, r.places)))
+    rows = _rows(group)
+    for r in rows:
+        calls.sets.setdefault(r.title, tuple(frozenset(getattr(r, part)) for part in PARTS))
+    for r in rows:
         if r.known is not None:
             calls.add(r, int(r.known))
-    for r in rows[rows["first"]].astype(object).where(rows.notna(), None).itertuples(index=False):
-        r = r._replace(urls=list(r.urls))
+            continue
         how, call, score = calls.decide(r)
         if how == "new":
             call = r.id
         if how not in ("doubt", "ignore"):
             calls.add(r, call)
         out.append((r.id, None if how in ("doubt", "ignore") else call, how, call if how == "doubt" else None, score))
-    frame = pd.DataFrame(out, columns=["id", "call", "how", "doubt", "score"])
-    return frame.astype({"id": "int64", "call": "Int64", "doubt": "Int64", "score": "float64"})
+    columns = zip(["id", "call", "how", "doubt", "score"], zip(*out) if out else ((),) * 5, ["int64", "Int64", "object", "Int64", "float64"], strict=True)
+    return pd.DataFrame({name: pd.Series(list(values), dtype=kind) for name, values, kind in columns})
 
 
 def _near(a: str, b: str) -> bool:
