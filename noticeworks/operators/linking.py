@@ -13,7 +13,7 @@ from collections import defaultdict, namedtuple
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from noticeworks.functions.notices import role
@@ -114,22 +114,29 @@ def without_ambiguous(rows: DataFrame) -> DataFrame:
 def candidate_titles(titles: DataFrame) -> DataFrame:
     """(a, b), a < b: titles (id, words, years, editions, places, update) that are alike by DOUBT, or of which one lies inside an update's.
 
-    The first meet on the rarest words of the smaller set (see ``title_pairs``).  A contained title has all its words in
-    the other, so it is listed under its rarest word alone, and updates under all of theirs: nothing is lost.
+    The first meet on the rarest words of the smaller set (see ``title_pairs``), and have two thirds of its words in
+    common, so both must have as many behind the first common one.  A contained title has all its words in the other, so
+    it is listed under its rarest word alone, and updates under all of theirs: nothing is lost.
     """
     words = titles.select("id", "update", F.explode("words").alias("word"))
     counts = words.groupBy("word").agg(F.count("*").alias("df"))
-    ranked = words.join(counts, "word").groupBy("id").agg(F.sort_array(F.collect_list(F.struct("df", "word"))).alias("w"))
-    ranked = cut_lineage(ranked.select("id", F.transform("w", lambda x: x["word"]).alias("w")))
-    short = F.floor((1 - DOUBT / 0.9) * F.size("w") + 1e-9).cast("int") + 1
-    rare = ranked.select("id", F.explode(F.slice("w", 1, short)).alias("word"))
-    rarest = ranked.filter(F.size("w") >= 2).select("id", F.element_at("w", 1).alias("word"))
-
-    def meet(left: DataFrame, right: DataFrame) -> DataFrame:
-        pairs = left.alias("x").join(right.alias("y"), (F.col("x.word") == F.col("y.word")) & (F.col("x.id") != F.col("y.id")))
+    ranked = words.join(counts, "word").groupBy("id", "update").agg(F.sort_array(F.collect_list(F.struct("df", "word"))).alias("w"))
+    ranked = cut_lineage(ranked.select("id", "update", F.size("w").alias("n"), F.transform("w", lambda x: x["word"]).alias("w")))
+    short = F.floor((1 - DOUBT / 0.9) * F.col("n") + 1e-9).cast("int") + 1
+    listed = ranked.select("id", "update", "n", F.posexplode("w").alias("at", "word"))
+    rare = ranked.select("id", "n", F.posexplode(F.slice("w", 1, short)).alias("at", "word"))
+    rarest = ranked.filter("n >= 2").select("id", "n", F.lit(0).alias("at"), F.element_at("w", 1).alias("word"))
+
+    def meet(small: DataFrame, large: DataFrame, least: Column, larger: Column) -> DataFrame:
+        """Pairs by a word behind which, in the order of rarity, both still have ``least`` words: true of the first common word of each pair sought."""
+        x, y = small.alias("x"), large.alias("y")
+        behind = F.least(F.col("x.n") - F.col("x.at"), F.col("y.n") - F.col("y.at"))
+        pairs = x.join(y, (F.col("x.word") == F.col("y.word")) & larger & (behind >= least))
         return pairs.select(F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b"))
 
-    pairs = meet(rare, words).union(meet(rarest, words.filter("update"))).distinct()
+    more = F.col("x.n") < F.col("y.n")
+    by_words = meet(rare, listed, F.col("x.n") * (DOUBT / 0.9) - 1e-9, more | ((F.col("x.n") == F.col("y.n")) & (F.col("x.id") < F.col("y.id"))))
+    pairs = by_words.union(meet(rarest, listed.filter("update"), F.col("x.n"), more)).distinct()
     side = lambda k: titles.select(F.col("id").alias(k), F.struct("words", "years", "editions", "places", "update").alias(f"t{k}"))
     a, b = F.col("ta"), F.col("tb")
     same_edition = (F.size(a["editions"]) == 0) | (F.size(b["editions"]) == 0) | (a["editions"] == b["editions"])
