@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from noticeworks.functions import notices as nx
+from noticeworks.functions import phrases as px
 from noticeworks.functions import text as tx
 from noticeworks.operators import documents, history, linking, matching
 from noticeworks.plans.base import query
@@ -23,6 +24,47 @@ def triage(t) -> DataFrame:
     return t("documents").select("doc_id", documents.triage(F.col("text"), SECTIONS).alias("section"))
 
 
+#: Rules for invented prose in the form of a rule file: every section, groups with and without needs, unfinished words.
+RULES = px.read_rules({
+    "relevant": [
+        {"group": "english", "words": ["the by*", "whereof", "is the of*"]},
+        {"group": "french", "words": ["le la", "de la", "queel*"], "with": ["ment*", "eau le", "oi"]},
+        {"group": "german", "words": ["der die", "keit*", "heit und"]},
+        {"group": "spanish", "words": ["que el", "cion*", "los las"]},
+    ],
+    "business": [{"group": "firms", "words": ["tion", "auf*", "par", "que de", "threti*"]}],
+    "private": [{"group": "homes", "words": ["hest*", "ing the", "ouer", "un*", "password", "api_key"]}],
+    "other": [
+        {"group": "notices", "words": ["licensed under", "released under", "all rights*"]},
+        {"group": "fragments", "words": ["ernt", "retion*", "is and"], "with": ["and", "le", "und"]},
+    ],
+})
+
+
+def rule_sql(section: str) -> str:
+    """CASE of the first rule of a section that fires over the folded text f."""
+    border = r"[^\pL\pM\p{Nd}\p{Pc}]"
+
+    def occurs(phrase: str) -> str:
+        body = r"\s+".join(px.plain(phrase.rstrip("*")).split()) + (r"[\pL\pM\p{Nd}\p{Pc}]*" if phrase.endswith("*") else "")
+        return f"regexp_matches(f, '(^|{border}){body}($|{border})')"
+
+    text = lambda r, n: f"{r.section}/{r.group}: '{r.phrase}'" + (f" + '{n}'" if n else "")
+    quoted = lambda s: "'" + s.replace("'", "''") + "'"
+    whens = [f"WHEN {occurs(r.phrase)}{f' AND {occurs(n)}' if n else ''} THEN {quoted(text(r, n))}" for r in RULES if r.section == section for n in r.needs or ("",)]
+    return f"CASE {' '.join(whens)} END"
+
+
+@query(f"""WITH d AS (SELECT doc_id, replace(replace(replace(replace(translate(lower(coalesce(text, '')), '{tx.MARKED}', '{tx.PLAIN}'), '’', ''''), '‘', ''''), '`', ''''), '´', '''') AS f FROM documents),
+    h AS (SELECT doc_id, {", ".join(f"{rule_sql(s)} AS {s}" for s in ("relevant", "business", "private", "other"))} FROM d)
+    SELECT doc_id, CASE WHEN relevant IS NULL THEN CASE WHEN other IS NULL THEN 'to_review' ELSE 'not_relevant' END WHEN private IS NOT NULL AND business IS NULL THEN 'not_relevant' ELSE 'relevant' END AS outcome,
+        CASE WHEN relevant IS NULL THEN other WHEN private IS NOT NULL AND business IS NULL THEN private ELSE relevant END AS reason,
+        CASE WHEN private IS NOT NULL AND business IS NULL THEN relevant END AS overruled FROM h""")
+def triage_reasons(t) -> DataFrame:
+    """Every document's outcome by the rules, with the rule that decided and the one that it overruled."""
+    return t("documents").select("doc_id", px.triage_decision(F.col("text"), RULES).alias("d")).select("doc_id", "d.*")
+
+
 @query("SELECT doc_id, translate(lower(substr(text, 1, 200)), 'àáâãäåèéêëìíîïòóôõöùúûüýÿñçšžčćďěňřťůąęńśźżőű', 'aaaaaaeeeeiiiiooooouuuuyyncszccdenrtuaenszzou') AS folded FROM documents WHERE lang IN ('fr', 'es')")
 def accent_fold(t) -> DataFrame:
     return t("documents").filter("lang IN ('fr', 'es')").select("doc_id", tx.fold(F.substring("text", 1, 200)).alias("folded"))
