@@ -105,8 +105,8 @@ def phrases_found(text: Column, phrases: list[str]) -> Column:
 
     rows = F.array(*[F.struct(F.lit(i).alias("id"), F.lit(k).alias("key"), F.lit(n).alias("needle")) for i, k, n in table])
     hits = lambda e, words: F.filter(rows, lambda p: F.array_contains(words, p["key"]) & e.contains(p["needle"]))
-    ids = lambda e: _once(met(F.array_distinct(F.split(e, EDGE))), lambda words: F.transform(hits(e, words), lambda p: p["id"]))
-    return _once(edged, ids)
+    ids = lambda e, words: F.transform(hits(e, words), lambda p: p["id"])
+    return _once(edged, lambda e: _once(_once(F.array_distinct(F.split(e, EDGE)), met), lambda words: ids(e, words)))
 
 
 def first_rules(text: Column, rules: list[Rule]) -> Column:
