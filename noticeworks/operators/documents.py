@@ -84,6 +84,34 @@ def stratified_sample(rows: DataFrame, strata: list[str], key: str, salt: str, n
     return rows.withColumn("pick", F.row_number().over(w)).filter(F.col("pick") <= n)
 
 
+def covering_sample(rows: DataFrame, strata: list[str], platform: str, key: str, relevant: str, salt: str) -> DataFrame:
+    """rows picked so that every stratum and platform is seen, the same on every run; ``why`` tells the reason.
+
+    In the order of salted digests: the first row of each stratum with relevant > 0 (why = relevant), the first of those
+    left in it (why = any), then for each platform (null and empty: none) that these do not cover and that has two rows
+    at least, one of its rows, those with relevant > 0 first (why = platform).  Keys are unique.  Every step is an
+    aggregate that keeps one row a group, combined before the shuffle, so no stratum or platform is ever sorted whole.
+    """
+    if "__row" in rows.columns:
+        raise ValueError("a column is called __row")
+    digest = F.md5(F.concat(F.lit(salt), F.col(key).cast("string")))
+    has = F.coalesce(F.col(relevant) > 0, F.lit(False))
+    whole = F.struct(*rows.columns)
+    order = F.struct(digest, F.col(key))
+    # the first two of all rows and the first relevant one: the pick among those left is the first that is another row
+    firsts = rows.groupBy(*strata).agg(F.min_by(F.when(has, whole), F.when(has, order)).alias("relevant"), F.min_by(whole, order).alias("any"), F.min(order).alias("first"))
+    same = F.col("relevant").isNotNull() & F.col(f"relevant.{key}").eqNullSafe(F.col(f"any.{key}"))
+    again = firsts.filter(same).select(*[F.col(c).alias(f"__s{i}") for i, c in enumerate(strata)], F.col("first").alias("__first"))
+    on = [rows[c].eqNullSafe(F.col(f"__s{i}")) for i, c in enumerate(strata)]
+    seconds = rows.join(again, on).filter(order > F.col("__first")).groupBy(*strata).agg(F.min_by(whole, order).alias("__row"))
+    picked = firsts.filter("relevant IS NOT NULL").select(F.col("relevant").alias("__row"), F.lit("relevant").alias("why"))
+    picked = picked.union(firsts.filter(~same).select("any", F.lit("any"))).union(seconds.select("__row", F.lit("any")))
+    named = rows.filter(F.col(platform).isNotNull() & (F.col(platform).cast("string") != ""))
+    by_platform = named.groupBy(platform).agg(F.min_by(whole, F.struct((~has).alias("a"), digest.alias("b"), F.col(key).alias("c"))).alias("__row"), F.count("*").alias("__n")).filter("__n >= 2")
+    rest = by_platform.join(picked.select(F.col(f"__row.{platform}").alias(platform)).distinct(), platform, "left_anti")
+    return picked.union(rest.select("__row", F.lit("platform"))).select("__row.*", "why")
+
+
 def histogram(values: Column, thresholds: list[float]) -> Column:
     """The number of thresholds that a value has reached."""
     return F.size(F.filter(F.array(*[F.lit(float(t)) for t in thresholds]), lambda t: values >= t))

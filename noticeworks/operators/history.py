@@ -73,6 +73,49 @@ def archived_versions(old: DataFrame, new: DataFrame, key: str, tracked: list[st
     return old.join(n, key).filter(~F.struct(*tracked).eqNullSafe(F.col("__new"))).drop("__new")
 
 
+def version_log(state: DataFrame, key: str, at: Column) -> DataFrame:
+    """The first log of a table: every row as version 1, valid from ``at`` on.
+
+    A log holds, beside the table's columns, ``version`` (from 1 for each key), ``valid_from`` and ``valid_to`` (null:
+    still valid); a version holds from valid_from until before valid_to.  Rows with a null key have no versions.
+    """
+    return state.filter(F.col(key).isNotNull()).withColumns({"version": F.lit(1).cast("long"), "valid_from": at, "valid_to": F.lit(None).cast(state.select(at.alias("x")).schema["x"].dataType)})
+
+
+def next_versions(log: DataFrame, state: DataFrame, key: str, tracked: list[str], at: Column, complete: bool = False) -> DataFrame:
+    """The log after another state of the table (one row a key), read at ``at``, later than all before.
+
+    Where a tracked column differs (nulls being equal) the open version ends at ``at`` and the next number begins;
+    otherwise it stays as it is, columns that are not tracked (clocks) included.  New keys begin with version 1, and
+    keys that come back after an end take their next number.  Keys that state lacks stay open, or end with
+    complete=True.  Closed versions are never touched; numbers need each key's last version only, so one join on the
+    key, to which log and state bring a row a key each.
+    """
+    columns = [c for c in log.columns if c not in ("version", "valid_from", "valid_to")]
+    newest_first = log.groupBy(key).agg(F.max_by(F.struct(*log.columns), "version").alias("last"))
+    both = newest_first.join(state.filter(F.col(key).isNotNull()).select(key, F.struct(*columns).alias("new")), key, "full")
+    was_open = F.col("last").isNotNull() & F.col("last.valid_to").isNull()
+    same = F.struct(*[F.col(f"last.{c}") for c in tracked]).eqNullSafe(F.struct(*[F.col(f"new.{c}") for c in tracked]))
+    ends = was_open & F.lit(complete) & F.col("new").isNull() | was_open & F.col("new").isNotNull() & ~same
+    begins = F.col("new").isNotNull() & (~F.coalesce(was_open, F.lit(False)) | ~same)
+    row = lambda of, **more: F.struct(*[more[c].alias(c) if c in more else F.col(f"{of}.{c}").alias(c) for c in log.columns])
+    none = F.lit(None).cast(log.schema["valid_to"].dataType)
+    old = F.when(was_open, row("last", valid_to=F.when(ends, at).otherwise(none)))
+    new = F.when(begins, row("new", version=F.coalesce(F.col("last.version"), F.lit(0).cast("long")) + 1, valid_from=at, valid_to=none))
+    changed = both.select(F.explode(F.array_compact(F.array(old, new))).alias("row")).select("row.*")
+    return log.filter("valid_to IS NOT NULL").unionByName(changed)
+
+
+def as_of(log: DataFrame, time: Column) -> DataFrame:
+    """The table as it was at a time."""
+    return log.filter((F.col("valid_from") <= time) & (F.col("valid_to").isNull() | (F.col("valid_to") > time)))
+
+
+def at_version(log: DataFrame, number: int) -> DataFrame:
+    """Each key's version of that number, where it has one."""
+    return log.filter(F.col("version") == number)
+
+
 def only_new(rows: DataFrame, ledger: DataFrame, keys: list[str]) -> DataFrame:
     """Rows whose keys the ledger does not have, one each: an idempotent append."""
     return rows.dropDuplicates(keys).join(ledger.select(*keys).distinct(), keys, "left_anti")

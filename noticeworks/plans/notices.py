@@ -136,6 +136,20 @@ def stratified_sample(t) -> DataFrame:
     return documents.stratified_sample(t("documents").select("doc_id", "lang", "source"), ["lang", "source"], "doc_id", "sample", 2).select("doc_id", "lang", "source")
 
 
+@query("""WITH r AS (SELECT doc_id, lang, n_chars >= 2000 AS long, source, coalesce(quality, 0) AS quality, md5('cover-' || doc_id) AS h
+        FROM documents LEFT JOIN (SELECT doc_id, max(quality) AS quality FROM labels GROUP BY 1) USING (doc_id)),
+    a AS (SELECT * FROM r WHERE quality > 0 QUALIFY row_number() OVER (PARTITION BY lang, long ORDER BY h, doc_id) = 1),
+    b AS (SELECT * FROM r WHERE doc_id NOT IN (SELECT doc_id FROM a) QUALIFY row_number() OVER (PARTITION BY lang, long ORDER BY h, doc_id) = 1),
+    p AS (SELECT *, count(*) OVER (PARTITION BY source) AS n, row_number() OVER (PARTITION BY source ORDER BY quality > 0 DESC, h, doc_id) AS k FROM r WHERE source <> '')
+    SELECT doc_id, lang, source, 'relevant' AS why FROM a UNION ALL SELECT doc_id, lang, source, 'any' FROM b
+    UNION ALL SELECT doc_id, lang, source, 'platform' FROM p WHERE k = 1 AND n >= 2 AND NOT EXISTS (SELECT 1 FROM a WHERE a.source = p.source) AND NOT EXISTS (SELECT 1 FROM b WHERE b.source = p.source)""")
+def covering_sample(t) -> DataFrame:
+    """Documents picked so that each language, short and long, and each source is seen."""
+    quality = t("labels").groupBy("doc_id").agg(F.max("quality").alias("quality"))
+    rows = t("documents").select("doc_id", "lang", (F.col("n_chars") >= 2000).alias("long"), "source").join(quality, "doc_id", "left")
+    return documents.covering_sample(rows, ["lang", "long"], "source", "doc_id", "quality", "cover-").select("doc_id", "lang", "source", "why")
+
+
 @query("""SELECT template, CAST(count(*) AS BIGINT) AS n, min(event_id) AS example FROM (SELECT event_id, regexp_replace(event_type || ' ' || props, '[0-9/]+', 'N', 'g') AS template FROM events) GROUP BY 1""")
 def template_groups(t) -> DataFrame:
     rows = t("events").select("event_id", tx.masked(F.concat_ws(" ", "event_type", "props")).alias("template"))

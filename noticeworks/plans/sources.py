@@ -233,3 +233,41 @@ def paged_list(t) -> DataFrame:
     """The second page of ten of two lists."""
     rows = t("events").filter("event_type IN ('click', 'view')")
     return history.latest_per_key(rows, ["event_type"], [F.col("ts"), F.col("event_id")], 20).filter("rn > 10").select("user_id", "ts", "event_id")
+
+
+CUTS = ["2024-01-11", "2024-01-21", "2024-01-31"]
+
+VERSIONS_SQL = f"""
+    cuts AS (SELECT unnest([{", ".join(f"DATE '{c}'" for c in CUTS)}]) AS cut),
+    states AS (SELECT user_id, cut, arg_max(event_type, (ts, event_id)) AS kind, max(ts) AS seen FROM events JOIN cuts ON ts < cut GROUP BY ALL),
+    grid AS (SELECT u.user_id, c.cut, CASE WHEN s.kind <> 'signup' THEN s.kind END AS kind, s.seen FROM (SELECT DISTINCT user_id FROM events) u CROSS JOIN cuts c
+        LEFT JOIN states s ON s.user_id = u.user_id AND s.cut = c.cut),
+    steps AS (SELECT *, lag(kind) OVER (PARTITION BY user_id ORDER BY cut) AS before FROM grid),
+    changes AS (SELECT *, lead(cut) OVER (PARTITION BY user_id ORDER BY cut) AS until FROM steps WHERE kind IS DISTINCT FROM before),
+    log AS (SELECT user_id, kind, seen, row_number() OVER (PARTITION BY user_id ORDER BY cut) AS version, cut AS valid_from, until AS valid_to FROM changes WHERE kind IS NOT NULL)"""
+
+
+def source_versions(events: DataFrame) -> DataFrame:
+    """The log of each source's last event after three readings; a source whose last event is a signup is not listed."""
+
+    def state(cut: str) -> DataFrame:
+        read = events.filter(F.col("ts") < F.lit(cut).cast("timestamp_ntz")).groupBy("user_id")
+        return read.agg(F.max_by("event_type", F.struct("ts", "event_id")).alias("kind"), F.max("ts").alias("seen")).filter("kind <> 'signup'")
+
+    day = lambda cut: F.lit(cut).cast("date")
+    log = history.version_log(state(CUTS[0]), "user_id", day(CUTS[0]))
+    for cut in CUTS[1:]:
+        log = history.next_versions(log, state(cut), "user_id", ["kind"], day(cut), complete=True)
+    return log
+
+
+@query(f"WITH {VERSIONS_SQL} SELECT user_id, kind, version, valid_from FROM log WHERE valid_from <= DATE '2024-01-25' AND (valid_to IS NULL OR valid_to > DATE '2024-01-25')")
+def version_as_of(t) -> DataFrame:
+    """What was known of each source on a day."""
+    return history.as_of(source_versions(t("events")), F.lit("2024-01-25").cast("date")).select("user_id", "kind", "version", "valid_from")
+
+
+@query(f"WITH {VERSIONS_SQL} SELECT user_id, kind, version, valid_from, valid_to FROM log WHERE version = 2")
+def version_by_number(t) -> DataFrame:
+    """The second version of each source that has one."""
+    return history.at_version(source_versions(t("events")), 2).select("user_id", "kind", "version", "valid_from", "valid_to")
