@@ -61,6 +61,11 @@ FAMILIES = {
 STATE = "struct<open:array<struct<at:array<int>,kind:string,text:string,nodes:array<struct<name:string,text:string,kind:string>>>>,best:struct<n:int,at:array<int>,text:string>>"
 
 
+def bound(value: Column, use: Callable[[Column], Column]) -> Column:
+    """use(value), where value is computed once however often it is used."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def kind_of(text: Column, type_: Column) -> Column:
     """The kind of a value; a text that only looks like an object or a list is told by its variant type."""
     return F.when(type_ == "STRING", "s").when(text.startswith("{"), "{").when(text.startswith("["), "[").otherwise("s")
@@ -131,25 +136,32 @@ def text_of(text: Column, kind: Column) -> Column:
         texts = F.transform(picked(o), lambda n, i: F.struct(F.lit(1).alias("n"), F.concat(o["at"], F.array(-i)).alias("at"), F.when(n["kind"] == "s", stripped(n["text"])).alias("text")))
         return F.filter(texts, lambda x: x["text"].isNotNull())
 
-    return F.when(kind == "s", stripped(text)).otherwise(_folded(text, kind, picked, found))
+    return bound(F.struct(text.alias("text"), kind.alias("kind")), lambda v: F.when(v["kind"] == "s", stripped(v["text"])).otherwise(_folded(v["text"], v["kind"], picked, found)))
 
 
 def stripped(text: Column) -> Column:
     return F.nullif(F.regexp_replace(text, r"^\s+|\s+$", ""), F.lit(""))
 
 
-def at_path(raw: Column, path: str) -> Column:
-    """The text of the value that a dotted path names in a JSON text; null where there is none."""
+def at_path(parsed: Column, path: str) -> Column:
+    """The text of the value that a dotted path names in a variant; null where there is none."""
     steps = "".join(f"[{part}]" if part.isdigit() else f'["{part}"]' for part in re.findall(r"[\w@-]+", path))
-    value = F.try_variant_get(F.try_parse_json(raw), "$" + steps, "variant")
-    text = F.try_variant_get(value, "$", "string")
-    return text_of(text, kind_of(text, F.schema_of_variant(value)))
+
+    def text(v: Column) -> Column:
+        return bound(F.try_variant_get(v, "$", "string"), lambda t: text_of(t, kind_of(t, F.schema_of_variant(v))))
+
+    return bound(F.try_variant_get(parsed, "$" + steps, "variant"), text)
 
 
-def from_template(raw: Column, template: str) -> Column:
+def from_template(parsed: Column, template: str) -> Column:
     """An address by a template such as https://x/{slug} or https://x/{attributes.url}; null if one of its values is missing."""
     parts = re.split(r"\{([\w.\[\]]+)\}", template)
-    return F.concat(*[at_path(raw, p) if i % 2 else F.lit(p) for i, p in enumerate(parts)])
+    return F.concat(*[at_path(parsed, p) if i % 2 else F.lit(p) for i, p in enumerate(parts)])
+
+
+def settled(rows: DataFrame, value: Column, name: str) -> DataFrame:
+    """Adds a column which the optimizer does not compute anew in each filter and expression that uses it: a generated one."""
+    return rows.select("*", F.explode_outer(F.array(value)).alias(name))
 
 
 def resolved(address: Column, base: str) -> Column:
@@ -192,7 +204,7 @@ def known_fields(rows: DataFrame, raw: str, into: str) -> DataFrame:
 
     rows = rows.withColumns({f"{into}_{f}": chosen(names) for f, names in JSON_KEYS.items()})
     fields = [text_of(F.col(f"{into}_{f}.text"), F.col(f"{into}_{f}.kind")).alias(f) for f in JSON_KEYS]
-    return rows.withColumn(into, F.struct(*fields)).drop(own, every, first, *[f"{into}_{f}" for f in JSON_KEYS])
+    return settled(rows, F.struct(*fields), into).drop(own, every, first, *[f"{into}_{f}" for f in JSON_KEYS])
 
 
 def records(answers: DataFrame, family: Family, raw: str = "raw", into: str = "item") -> DataFrame:
@@ -201,19 +213,24 @@ def records(answers: DataFrame, family: Family, raw: str = "raw", into: str = "i
     for name in family.records:
         text = F.try_element_at(F.from_json(text, "map<string,string>"), F.lit(name))
     items = F.from_json(text if family.records else longest_list_text(F.col(raw)), "array<string>")
-    rows = answers.withColumn(into, F.explode(items))
+    rows = answers.select("*", F.explode_outer(items).alias(into)).filter(F.col(into).isNotNull())
     if family.skipped:
-        rows = rows.filter(~F.coalesce(at_path(F.col(into), "@type").isin(*family.skipped), F.lit(False)))
+        rows = rows.filter(~F.coalesce(at_path(F.try_parse_json(F.col(into)), "@type").isin(*family.skipped), F.lit(False)))
     return rows
 
 
 def family_fields(rows: DataFrame, family: Family, raw: str, into: str) -> DataFrame:
     """Adds a struct of a record's fields: by the family's paths, else by the known keys; an address template goes first."""
+    parsed, address = f"{into}_parsed", f"{into}_address"
+    if family.fields or family.address:
+        rows = rows.withColumn(parsed, F.try_parse_json(F.col(raw)))
+    if family.address:
+        rows = settled(rows, from_template(F.col(parsed), family.address), address)
     if family.fields:
-        paths = {f: F.coalesce(*[at_path(F.col(raw), p) for p in family.fields[f]]) if f in family.fields else F.lit(None).cast("string") for f in JSON_KEYS}
-        rows = rows.withColumn(into, F.struct(*[c.alias(f) for f, c in paths.items()]))
+        paths = {f: F.coalesce(*[at_path(F.col(parsed), p) for p in family.fields[f]]) if f in family.fields else F.lit(None).cast("string") for f in JSON_KEYS}
+        rows = settled(rows, F.struct(*[c.alias(f) for f, c in paths.items()]), into)
     else:
         rows = known_fields(rows, raw, into)
     if family.address:
-        rows = rows.withColumn(into, F.col(into).withField("url", F.coalesce(from_template(F.col(raw), family.address), F.col(f"{into}.url"))))
-    return rows
+        rows = rows.withColumn(into, F.col(into).withField("url", F.coalesce(address, f"{into}.url")))
+    return rows.drop(parsed, address)

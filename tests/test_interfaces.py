@@ -107,7 +107,7 @@ def test_families(spark, tmp_path, family):
 
 def test_templates(spark):
     rows = spark.createDataFrame([('{"slug": "s-1", "attributes": {"urls": [{"u": " x "}], "n": 5}}',), ('{"slug": null}',), ("{",), (None,)], "raw string")
-    got = rows.select(interfaces.from_template(F.col("raw"), "https://x/{slug}/{attributes.urls[0].u}?n={attributes.n}").alias("u")).collect()
+    got = rows.select(interfaces.from_template(F.try_parse_json("raw"), "https://x/{slug}/{attributes.urls[0].u}?n={attributes.n}").alias("u")).collect()
     assert [r.u for r in got] == ["https://x/s-1/x?n=5", None, None, None]
     out = readers.from_json(spark.createDataFrame([('{"title": "T", "url": "/own", "id": 4}',), ('{"title": "T", "url": "/own"}',)], "raw string"), base="https://h.it/a/", address="https://x/{id}")
     assert [r.url for r in out.collect()] == ["https://x/4", "https://h.it/own"]
