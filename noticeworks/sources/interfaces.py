@@ -143,20 +143,22 @@ def stripped(text: Column) -> Column:
     return F.nullif(F.regexp_replace(text, r"^\s+|\s+$", ""), F.lit(""))
 
 
-def at_path(parsed: Column, path: str) -> Column:
-    """The text of the value that a dotted path names in a variant; null where there is none."""
-    steps = "".join(f"[{part}]" if part.isdigit() else f'["{part}"]' for part in re.findall(r"[\w@-]+", path))
+def at_paths(parsed: Column, paths: list[str]) -> Column:
+    """The texts of the values that dotted paths name in a variant, as a list; null where there is none."""
+    steps = ["$" + "".join(f"[{part}]" if part.isdigit() else f'["{part}"]' for part in re.findall(r"[\w@-]+", p)) for p in paths]
 
     def text(v: Column) -> Column:
         return bound(F.try_variant_get(v, "$", "string"), lambda t: text_of(t, kind_of(t, F.schema_of_variant(v))))
 
-    return bound(F.try_variant_get(parsed, "$" + steps, "variant"), text)
+    return F.transform(F.array(*[F.try_variant_get(parsed, p, "variant") for p in steps]), text)
 
 
 def from_template(parsed: Column, template: str) -> Column:
     """An address by a template such as https://x/{slug} or https://x/{attributes.url}; null if one of its values is missing."""
     parts = re.split(r"\{([\w.\[\]]+)\}", template)
-    return F.concat(*[at_path(parsed, p) if i % 2 else F.lit(p) for i, p in enumerate(parts)])
+    if len(parts) == 1:
+        return F.lit(template)
+    return bound(at_paths(parsed, parts[1::2]), lambda v: F.concat(*[F.get(v, F.lit(i // 2)) if i % 2 else F.lit(p) for i, p in enumerate(parts)]))
 
 
 def settled(rows: DataFrame, value: Column, name: str) -> DataFrame:
@@ -188,12 +190,13 @@ def known_fields(rows: DataFrame, raw: str, into: str) -> DataFrame:
     keys = list(dict.fromkeys(k.lower() for names in JSON_KEYS.values() for k in names))
     rows = rows.withColumn(own, F.reverse(F.when(root_kind(F.col(raw)) == "{", nodes(F.col(raw), F.lit("{")))))
 
-    def block(name: str) -> Column:
-        inner = F.get(F.filter(own, lambda n: n["name"] == name), F.lit(0))
-        return F.coalesce(F.reverse(nodes(inner["text"], inner["kind"])), F.array().cast("array<struct<name:string,text:string,kind:string>>"))
+    none = F.array().cast("array<struct<name:string,text:string,kind:string>>")
+
+    def block(name: Column) -> Column:
+        return bound(F.get(F.filter(own, lambda n: n["name"] == name), F.lit(0)), lambda n: F.coalesce(F.reverse(nodes(n["text"], n["kind"])), none))
 
     named = lambda a: F.filter(F.transform(a, lambda n: F.struct(F.lower(n["name"]).alias("name"), n["text"].alias("text"), n["kind"].alias("kind"))), lambda n: n["name"].isin(*keys))
-    rows = rows.withColumn(every, named(F.concat(own, *map(block, NESTED))))
+    rows = rows.withColumn(every, named(F.concat(own, F.flatten(F.transform(F.array(*map(F.lit, NESTED)), block)))))
     empty = lambda n: n["text"].isNull() | (n["text"] == "") | ((n["kind"] != "s") & n["text"].rlike(r"^[\[{]\s*[\]}]$"))
     rows = rows.withColumn(first, F.filter(F.filter(every, lambda n, i: F.array_position(F.col(f"{every}.name"), n["name"]) == i + 1), lambda n: ~empty(n)))
 
@@ -202,9 +205,9 @@ def known_fields(rows: DataFrame, raw: str, into: str) -> DataFrame:
         ranked = F.transform(F.filter(first, lambda n: place(n) > 0), lambda n: F.struct(place(n).alias("place"), n["text"].alias("text"), n["kind"].alias("kind")))
         return F.array_min(ranked)
 
-    rows = rows.withColumns({f"{into}_{f}": chosen(names) for f, names in JSON_KEYS.items()})
-    fields = [text_of(F.col(f"{into}_{f}.text"), F.col(f"{into}_{f}.kind")).alias(f) for f in JSON_KEYS]
-    return settled(rows, F.struct(*fields), into).drop(own, every, first, *[f"{into}_{f}" for f in JSON_KEYS])
+    texts = F.transform(F.array(*map(chosen, JSON_KEYS.values())), lambda v: text_of(v["text"], v["kind"]))
+    fields = bound(texts, lambda x: F.struct(*[F.get(x, F.lit(i)).alias(f) for i, f in enumerate(JSON_KEYS)]))
+    return settled(rows, fields, into).drop(own, every, first)
 
 
 def records(answers: DataFrame, family: Family, raw: str = "raw", into: str = "item") -> DataFrame:
@@ -215,7 +218,7 @@ def records(answers: DataFrame, family: Family, raw: str = "raw", into: str = "i
     items = F.from_json(text if family.records else longest_list_text(F.col(raw)), "array<string>")
     rows = answers.select("*", F.explode_outer(items).alias(into)).filter(F.col(into).isNotNull())
     if family.skipped:
-        rows = rows.filter(~F.coalesce(at_path(F.try_parse_json(F.col(into)), "@type").isin(*family.skipped), F.lit(False)))
+        rows = rows.filter(~F.coalesce(F.get(at_paths(F.try_parse_json(F.col(into)), ["@type"]), F.lit(0)).isin(*family.skipped), F.lit(False)))
     return rows
 
 
@@ -227,8 +230,9 @@ def family_fields(rows: DataFrame, family: Family, raw: str, into: str) -> DataF
     if family.address:
         rows = settled(rows, from_template(F.col(parsed), family.address), address)
     if family.fields:
-        paths = {f: F.coalesce(*[at_path(F.col(parsed), p) for p in family.fields[f]]) if f in family.fields else F.lit(None).cast("string") for f in JSON_KEYS}
-        rows = settled(rows, F.struct(*[c.alias(f) for f, c in paths.items()]), into)
+        paths = [p for f in JSON_KEYS for p in family.fields.get(f, [])]
+        by_field = lambda x, f: F.coalesce(*[F.get(x, F.lit(paths.index(p))) for p in family.fields.get(f, [])], F.lit(None).cast("string")).alias(f)
+        rows = settled(rows, bound(at_paths(F.col(parsed), paths), lambda x: F.struct(*[by_field(x, f) for f in JSON_KEYS])), into)
     else:
         rows = known_fields(rows, raw, into)
     if family.address:
