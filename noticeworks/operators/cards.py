@@ -185,26 +185,39 @@ def persisted(announcements: DataFrame, linked: DataFrame, calls: DataFrame) ->
 TITLE_STOP = "di del della dei degli delle per a al alla e ed il lo la le i gli un una in con da su anno bando avviso contributi".split()
 
 
+def letter_counts(text: Column) -> Column:
+    """How often each of a-z, 0-9 and the blank stands in a text."""
+    letters = F.array(*map(F.lit, "abcdefghijklmnopqrstuvwxyz0123456789 "))
+    return F.transform(letters, lambda c: F.length(text) - F.length(F.replace(text, c, F.lit(""))))
+
+
 def found_elsewhere(lost: DataFrame, announcements: DataFrame, least: float = 0.72) -> DataFrame:
     """id, found, how (address, title or null), score: lost items looked up among announcements (id, url, title).
 
     By the address key, else by the title with the largest matching-blocks ratio among those that share a word, if that
-    reaches ``least``.  Ties go to the smaller id.  A word that very many titles share makes as many candidates.
+    reaches ``least``.  Ties go to the smaller id.  The ratio is at most twice the shared letters (with their counts) over
+    both lengths, and so at most twice the shorter length over both: pairs below ``least`` by lengths are not paired and
+    those below it by letters not scored, which loses no answer.  A word that very many titles of one length share still
+    makes as many pairs to look at.
     """
     words = lambda c: F.filter(F.regexp_extract_all(fold(F.coalesce(c, F.lit(""))), F.lit("[a-z0-9]+"), F.lit(0)), lambda w: ~w.isin(*TITLE_STOP))
     a = lost.select("id", url_key(F.col("url")).alias("key"), words(F.col("title")).alias("words"))
     b = announcements.select(F.col("id").alias("other"), url_key(F.col("url")).alias("key"), words(F.col("title")).alias("words"))
     by_key = b.filter("key IS NOT NULL").groupBy("key").agg(F.min("other").alias("by_address"))
     a = a.join(by_key, "key", "left").drop("key")
-    open_ = a.filter("by_address IS NULL").select("id", "words", F.explode(F.array_distinct("words")).alias("word"))
-    pairs = open_.join(b.select("other", F.explode(F.array_distinct("words")).alias("word")), "word").select("id", "other").distinct()
+    size = lambda name: F.length(F.array_join("words", " ")).alias(name)
+    open_ = a.filter("by_address IS NULL").select("id", size("n_id"), F.explode(F.array_distinct("words")).alias("word"))
+    near = 2 * F.least("n_id", "n_other") >= (least - 1e-9) * (F.col("n_id") + F.col("n_other"))
+    pairs = open_.join(b.select("other", size("n_other"), F.explode(F.array_distinct("words")).alias("word")), "word").filter(near).select("id", "other").distinct()
 
     @F.pandas_udf("double")
     def ratio(x: pd.Series, y: pd.Series) -> pd.Series:
         return pd.Series([difflib.SequenceMatcher(None, p, q).ratio() for p, q in zip(x, y, strict=True)], dtype=float)
 
-    text = lambda df, name: df.select(name, F.array_join("words", " ").alias(f"t_{name}"))
-    scored = pairs.join(text(a, "id"), "id").join(text(b, "other"), "other").withColumn("score", ratio("t_id", "t_other"))
+    text = lambda df, name: df.select(name, F.array_join("words", " ").alias(f"t_{name}")).withColumn(f"l_{name}", letter_counts(F.col(f"t_{name}")))
+    shared = F.aggregate(F.zip_with("l_id", "l_other", lambda x, y: F.least(x, y)), F.lit(0), lambda x, y: x + y)
+    alike = 2 * shared >= (least - 1e-9) * (F.length("t_id") + F.length("t_other"))
+    scored = pairs.join(text(a, "id"), "id").join(text(b, "other"), "other").filter(alike).withColumn("score", ratio("t_id", "t_other"))
     best = scored.groupBy("id").agg(F.max_by(F.struct("other", "score"), F.struct("score", -F.col("other"))).alias("best")).filter(F.col("best.score") >= least)
     rows = a.select("id", "by_address").join(best, "id", "left")
     how = F.when(F.col("by_address").isNotNull(), "address").when(F.col("best").isNotNull(), "title")
