@@ -45,7 +45,8 @@ def traffic_light(sources: DataFrame, checks: DataFrame, now: Column) -> DataFra
     last = F.get("outcomes", F.lit(0))
     df = df.withColumns({
         "errors": leading_run(F.col("outcomes"), "error"),
-        "silence_days": F.floor((F.unix_timestamp(now) - F.unix_timestamp("last_news")) / 86400).cast("int"),
+        # in microseconds: whole seconds count a day that lacks a part of a second
+        "silence_days": F.floor((F.unix_micros(now.cast("timestamp")) - F.unix_micros(F.col("last_news").cast("timestamp"))) / 1_000_000 / 86400).cast("int"),
         "threshold_days": F.greatest(F.lit(LEAST_SILENCE_DAYS), F.floor(3 * interval_days(F.col("frequency"))).cast("int")),
     })
     rules = [

@@ -41,8 +41,9 @@ def checks(events: DataFrame) -> DataFrame:
 
 
 def sources(log: DataFrame) -> DataFrame:
+    frequency = F.get(F.array(*map(F.lit, FREQUENCIES)), (F.col("source_id") % 5).cast("int"))
     return log.select("source_id").distinct().select(
-        "source_id", F.get(F.array(*map(F.lit, FREQUENCIES)), (F.col("source_id") % 5).cast("int")).alias("frequency"),
+        "source_id", F.coalesce(frequency, F.lit(FREQUENCIES[-1])).alias("frequency"),
         F.when(F.col("source_id") % 17 == 0, "excluded").otherwise("active").alias("status"), (F.col("source_id") % 13 == 0).alias("paused"),
     )
 
