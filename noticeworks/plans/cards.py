@@ -80,8 +80,8 @@ def today() -> Column:
 @query()
 def page_states(t) -> DataFrame:
     """What the head of each page's text and its struck-through dates say of a call's state."""
-    text = page_source.readable_text(t("pages")).join(t("pages").select("page_id", "html"), "page_id")
-    found = text.withColumn("s", signals.page_signals(F.col("text"), today(), F.lit(None).cast("date"))).withColumn("struck", signals.struck_dates(F.col("html"), today()))
+    text = page_source.readable_text(t("pages").withColumn("struck", signals.struck_dates(F.col("html"), today())), "struck")
+    found = text.withColumn("s", signals.page_signals(F.col("text"), today(), F.lit(None).cast("date")))
     closed = F.concat("s.closed", "struck")
     return found.select("page_id", F.size(closed).alias("closed"), F.size("s.opened").alias("opened"), signals.fused_state(closed, F.col("s.opened")).alias("state"))
 
@@ -90,7 +90,7 @@ def page_states(t) -> DataFrame:
 def official_pages(t) -> DataFrame:
     """Whether each page is one of a call."""
     links = page_source.links(t("pages"), least=1).filter(F.col("url").rlike(r"(?i)\.(pdf|docx?|xlsx?|zip)$")).groupBy("page_id").agg(F.count("*").alias("documents"))
-    rows = page_source.readable_text(t("pages")).join(t("pages").select("page_id", F.col("html").rlike(r"(?i)type=[\"']?password").alias("password")), "page_id").join(links, "page_id", "left")
+    rows = page_source.readable_text(t("pages").withColumn("password", F.col("html").rlike(r"(?i)type=[\"']?password")), "password").join(links, "page_id", "left")
     return rows.select("page_id", signals.official_page(F.col("text"), F.coalesce("documents", F.lit(0)), F.coalesce("password", F.lit(False))).alias("verdict"))
 
 
