@@ -37,6 +37,8 @@ CENTRES, GROWTH = 2, 8
 PART_ROWS = 256
 #: A list of at most so many ids is broadcast (16 MB); a longer one is shuffled.
 BROADCAST_IDS = 1_000_000
+#: Edges that one task joins into components (some 20 MB); more are joined by label passing.
+SMALL_EDGES = 100_000
 
 M1, M2 = np.uint64(0xFF51AFD7ED558CCD), np.uint64(0xC4CEB9FE1A85EC53)
 STEP = np.uint64(0x9E3779B97F4A7C15)
@@ -211,11 +213,31 @@ def numbered_shingles(docs: DataFrame) -> DataFrame:
     return docs.mapInArrow(run, "node long, shingles array<int>")
 
 
+def united(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """node, component of edges (a, b) by union-find."""
+    up: dict[int, int] = {}
+
+    def top(x: int) -> int:
+        while up.setdefault(x, x) != x:
+            up[x] = x = up[up[x]]
+        return x
+
+    for batch in batches:
+        for a, b in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            low, high = sorted((top(a), top(b)))
+            up[high] = low
+    nodes = list(up)
+    yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array([top(x) for x in nodes], pa.int64())], names=["node", "component"])
+
+
 def components(edges: DataFrame, known: DataFrame | None = None) -> DataFrame:
     """node, component (its smallest node) for the nodes of edges (a, b), by minimum labels and pointer jumping.
 
-    known: labels of a part of these edges, from which to go on.
+    known: labels of a part of these edges, from which to go on.  So few edges as SMALL_EDGES are joined by one task in one
+    job: each turn of label passing is a plan with three joins, whose code the driver keeps.
     """
+    if edges.count() <= SMALL_EDGES:
+        return staged(edges.select("a", "b").coalesce(1).mapInArrow(united, "node long, component long"), "near-labels", narrow=True)
     both = edges.select("a", "b").union(edges.select("b", "a"))
     labels = both.groupBy(F.col("a").alias("node")).agg(F.least(F.col("node"), F.min("b")).alias("component"))
     if known is not None:
