@@ -9,6 +9,7 @@ from noticeworks.functions import notices as nx
 from noticeworks.functions import phrases as px
 from noticeworks.functions import text as tx
 from noticeworks.operators import documents, history, linking, matching
+from noticeworks.operators.lineage import cut_lineage
 from noticeworks.plans.base import query
 from noticeworks.sources import pages as page_source
 
@@ -237,7 +238,7 @@ def title_similarity(t) -> DataFrame:
 
 @query()
 def link_groups(t) -> DataFrame:
-    return linking.link_groups(titles(t("documents")))
+    return linking.link_groups(cut_lineage(titles(t("documents"))))
 
 
 def page_titles(pages: DataFrame) -> DataFrame:
@@ -255,7 +256,7 @@ def page_titles(pages: DataFrame) -> DataFrame:
 @query()
 def link_pages(t) -> DataFrame:
     """Linking by all three rules: code, address, title."""
-    return linking.link_groups(page_titles(t("pages")))
+    return linking.link_groups(cut_lineage(page_titles(t("pages"))))
 
 
 # --- matching: customers as profiles, the parts of fifty sizes as calls ---------------------------------------------
