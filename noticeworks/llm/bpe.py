@@ -55,29 +55,19 @@ class Encoder(dict):
     """A vocabulary; as a mapping, word -> its ids as little-endian unsigned 32-bit integers."""
 
     def __init__(self, path: str):
-        import ahocorasick
         import regex
 
         super().__init__()
+        self.path = path
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
         vocab = spec["model"]["vocab"]
-        merges = [tuple(m) if isinstance(m, list) else tuple(m.split(" ")) for m in spec["model"]["merges"]]
         self.letters = byte_letters()
         self.as_letters = {b: letter for b, letter in enumerate(self.letters)}
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
         self.splits_special = re.compile("|".join(f"({re.escape(t)})" for t in self.special)) if self.special else None
         self.any_words = regex.compile(ANY_WORDS)
-        #: How late a merge makes the token; 0 for single bytes.
-        self.rank = {vocab[a + b]: n for n, (a, b) in reversed(list(enumerate(merges, 1)))}
-        self.halves = {vocab[a + b]: (vocab[a], vocab[b]) for a, b in reversed(merges)}
-        self.joined = {(vocab[a], vocab[b]): vocab[a + b] for a, b in reversed(merges)}
         self.compatible: dict[tuple[int, int], bool] = {}
-        self.automaton = ahocorasick.Automaton()
-        for token, i in vocab.items():
-            if len(token) == 1 or i in self.rank:
-                self.automaton.add_word(token, (i, len(token)))
-        self.automaton.make_automaton()
         self.longest = max(len(t) for t in vocab)
         # offset table: all tokens' bytes in one buffer
         of_letter = {letter: b for b, letter in self.as_letters.items()}
@@ -87,6 +77,25 @@ class Encoder(dict):
         self.offsets = np.cumsum([0, *map(len, parts)])
         self.buffer = np.frombuffer(b"".join(parts), np.uint8)
 
+    @functools.cached_property
+    def automaton(self):
+        """Finds the tokens that end at each place; made, with the tables of merges, when a word first asks for it."""
+        import ahocorasick
+
+        with open(self.path, encoding="utf-8") as f:
+            model = json.load(f)["model"]
+        vocab, merges = model["vocab"], [tuple(m) if isinstance(m, list) else tuple(m.split(" ")) for m in model["merges"]]
+        #: How late a merge makes the token; 0 for single bytes.
+        self.rank = {vocab[a + b]: n for n, (a, b) in reversed(list(enumerate(merges, 1)))}
+        self.halves = {vocab[a + b]: (vocab[a], vocab[b]) for a, b in reversed(merges)}
+        self.joined = {(vocab[a], vocab[b]): vocab[a + b] for a, b in reversed(merges)}
+        automaton = ahocorasick.Automaton()
+        for token, i in vocab.items():
+            if len(token) == 1 or i in self.rank:
+                automaton.add_word(token, (i, len(token)))
+        automaton.make_automaton()
+        return automaton
+
     def fits(self, left: int, right: int) -> bool:
         """Whether BPE, given the bytes of both tokens, ends in exactly (left, right).
 

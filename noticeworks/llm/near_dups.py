@@ -186,6 +186,7 @@ def signatures(docs: DataFrame, bands: int = BANDS, rows: int = ROWS) -> DataFra
                 ],
                 names=["doc_id", "content", "n", "bands"],
             )
+        WORDS.clear()  # workers outlive their tasks, and later stages need the memory
 
     return docs.mapInArrow(run, "doc_id long, content binary, n long, bands array<long>")
 
@@ -209,6 +210,7 @@ def numbered_shingles(docs: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays(
                 [pa.array(ids, pa.int64()), pa.ListArray.from_arrays(pa.array(ends), pa.array(short, pa.int32()))], names=["node", "shingles"]
             )
+        WORDS.clear()
 
     return docs.mapInArrow(run, "node long, shingles array<int>")
 

@@ -12,6 +12,7 @@ on the same split gives the same rows.
 from __future__ import annotations
 
 import functools
+import struct
 import zlib
 from collections.abc import Iterator
 
@@ -27,6 +28,10 @@ from noticeworks.llm.common import table
 WINDOW = 1024
 #: Ids that a task packs at once: the tail of a block is its only padding, memory is about 40 bytes an id.
 BLOCK_IDS = 4_000_000
+#: Words of a generation, of which a worker remembers two (about 250 bytes a word).
+CACHED_WORDS = 100_000
+#: Pieces of one batch of results.
+BATCH_PIECES = 20_000
 
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 FIELDS = [part.split()[0] for part in SCHEMA.split(", ")]
@@ -48,9 +53,23 @@ class LibraryEncoder(Encoder):
             tokens.pop(name.encode(), None)
         letters = r"'(?:[stmd]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
         self.library = tiktoken.Encoding("words", pat_str=letters, mergeable_ranks=tokens, special_tokens={})
+        self.older: dict[str, bytes] = {}
+
+    def __missing__(self, word: str) -> bytes:
+        """When a generation of words is full, those not met in the one behind it are forgotten."""
+        ids = self.older.get(word)
+        if ids is None:
+            found = self.encode_word(word)
+            ids = struct.pack(f"<{len(found)}I", *found)
+        if len(self) >= CACHED_WORDS:
+            self.older = dict(self)
+            self.clear()
+        if len(word) <= 64:
+            self[word] = ids
+        return ids
 
     def encode_word(self, word: str) -> list[int]:
-        easy = len(word) <= CHUNK and (word.isascii() or word.isalpha())
+        easy = len(word) <= CHUNK and (word.isascii() or word.removeprefix(" ").isalpha())
         return self.library.encode_ordinary(word) if easy else super().encode_word(word)
 
 
@@ -159,6 +178,7 @@ def pack_documents(
     end = b"" if end_id is None else np.array([end_id], "<u4").tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pa.default_memory_pool().release_unused()  # what earlier tasks of this worker left
         enc, base = encoder(vocabulary), (TaskContext.get().partitionId() if TaskContext.get() else 0) << 36
         ids: list[bytes] = []
         names: list[int | None] = []
@@ -167,6 +187,7 @@ def pack_documents(
         def flush() -> Iterator[pa.RecordBatch]:
             nonlocal held, made
             out = []
+            batch = lambda: pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out, strict=True)], names=FIELDS)
             for pieces in pack([len(x) // 4 for x in ids], window):
                 offset = 0
                 for d, start, n in pieces:
@@ -174,12 +195,13 @@ def pack_documents(
                     out.append((names[d], start, n, crc, len(ids[d]) // 4, base + made, offset))
                     offset += n
                 made += 1
+                if len(out) >= BATCH_PIECES:
+                    yield batch()
+                    out.clear()
+            if out:
+                yield batch()
             ids.clear(), names.clear()
             held = 0
-            for at in range(0, len(out), 50_000):
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(c, pa.int64()) for c in zip(*out[at : at + 50_000], strict=True)], names=FIELDS
-                )
 
         for batch in batches:
             for doc, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
