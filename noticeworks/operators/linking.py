@@ -9,11 +9,14 @@ joins, and each runs the ordered pass on its own.  Announcements linked before s
 
 from __future__ import annotations
 
-from collections import defaultdict, namedtuple
+from array import array
+from collections import Counter, defaultdict, namedtuple
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from noticeworks.functions.notices import role
@@ -27,6 +30,8 @@ DOUBT, SAME, UNLIKE, INSIDE, OWN_SOURCE = 0.6, 0.9, 0.2, 0.85, 0.8
 WIDE, ALPINE, LOCAL_KINDS, RENEWALS = {"ITA", "UE"}, {"TAA", "TN", "BZ"}, ("camera", "comune", "provincia"), ("extension", "amendment")
 #: Edges that one task joins into components (16 bytes each); more are joined by label passing.
 SMALL_EDGES = 500_000
+#: Titles that a task compares at once by the words they share; announcements of small groups that are decided together.
+LISTED, TOGETHER = 50_000, 2_000
 LINK_SCHEMA = "id long, call long, how string, doubt long, score double"
 
 
@@ -111,44 +116,87 @@ def without_ambiguous(rows: DataFrame) -> DataFrame:
     return rows.join(good, "id", "left").withColumn("urls", F.coalesce("good", F.array().cast("array<string>"))).drop("good")
 
 
-def candidate_titles(titles: DataFrame) -> DataFrame:
-    """(a, b), a < b: titles (id, words, years, editions, places, update) that are alike by DOUBT, or of which one lies inside an update's.
+def title_edges(titles: DataFrame) -> DataFrame:
+    """(a, b) that connect what may be alike: titles (id, words, update) of a score of DOUBT, or of which one lies inside an update's, end up in one component.
 
-    The first meet on the rarest words of the smaller set (see ``title_pairs``), and have two thirds of its words in
-    common, so both must have as many behind the first common one.  A contained title has all its words in the other, so
-    it is listed under its rarest word alone, and updates under all of theirs: nothing is lost.
+    They meet on the rarest words of the smaller set (see ``title_pairs``; a contained title has its rarest word in the other, too), every
+    title being listed under all of its words.  A list tests a title only against those that it is not yet connected with
+    there, and gives one edge for each two parts that it joins: no pairs are made, and a group of copies costs about its size.
+    Words are compared by 32 bits; two that agree by chance, and years, editions or places, can only make groups larger.
     """
-    words = titles.select("id", "update", F.explode("words").alias("word"))
+    words = titles.select("id", "update", F.explode(F.transform("words", lambda x: F.hash(x))).alias("word"))
     counts = words.groupBy("word").agg(F.count("*").alias("df"))
     ranked = words.join(counts, "word").groupBy("id", "update").agg(F.sort_array(F.collect_list(F.struct("df", "word"))).alias("w"))
-    ranked = cut_lineage(ranked.select("id", "update", F.size("w").alias("n"), F.transform("w", lambda x: x["word"]).alias("w")))
-    short = F.floor((1 - DOUBT / 0.9) * F.col("n") + 1e-9).cast("int") + 1
-    listed = ranked.select("id", "update", "n", F.posexplode("w").alias("at", "word"))
-    rare = ranked.select("id", "n", F.posexplode(F.slice("w", 1, short)).alias("at", "word"))
-    rarest = ranked.filter("n >= 2").select("id", "n", F.lit(0).alias("at"), F.element_at("w", 1).alias("word"))
-
-    def meet(small: DataFrame, large: DataFrame, least: Column, larger: Column) -> DataFrame:
-        """Pairs by a word behind which, in the order of rarity, both still have ``least`` words: true of the first common word of each pair sought."""
-        x, y = small.alias("x"), large.alias("y")
-        behind = F.least(F.col("x.n") - F.col("x.at"), F.col("y.n") - F.col("y.at"))
-        pairs = x.join(y, (F.col("x.word") == F.col("y.word")) & larger & (behind >= least))
-        return pairs.select(F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b"))
-
-    more = F.col("x.n") < F.col("y.n")
-    by_words = meet(rare, listed, F.col("x.n") * (DOUBT / 0.9) - 1e-9, more | ((F.col("x.n") == F.col("y.n")) & (F.col("x.id") < F.col("y.id"))))
-    pairs = by_words.union(meet(rarest, listed.filter("update"), F.col("x.n"), more)).distinct()
-    side = lambda k: titles.select(F.col("id").alias(k), F.struct("words", "years", "editions", "places", "update").alias(f"t{k}"))
-    a, b = F.col("ta"), F.col("tb")
-    same_edition = (F.size(a["editions"]) == 0) | (F.size(b["editions"]) == 0) | (a["editions"] == b["editions"])
-    apart = (F.size(a["places"]) > 0) & (F.size(b["places"]) > 0) & ~F.arrays_overlap(a["places"], b["places"])
-    inside = lambda x, y: y["update"] & (F.size(x["words"]) >= 2) & (F.size(F.array_except(x["words"], y["words"])) == 0)
-    near = (similarity(a["words"], b["words"]) >= DOUBT) | inside(a, b) | inside(b, a)
-    scored = pairs.join(side("a"), "a").join(side("b"), "b")
-    return scored.filter(editions_compatible(a["years"], b["years"]) & same_edition & ~apart & near).select("a", "b")
+    ranked = ranked.select("id", "update", F.transform("w", lambda x: x["word"]).alias("words"), F.posexplode("w").alias("at", "w"))
+    listed = ranked.select("id", "update", "words", "w.*", (F.col("at") < F.floor((1 - DOUBT / 0.9) * F.size("words") + 1e-9) + 1).alias("small")).filter("df > 1")
+    parts = F.ceil(F.col("df") / LISTED).cast("int")  # of a long list; its smaller titles meet each
+    own = F.pmod(F.xxhash64("id"), parts).cast("int")
+    listed = listed.withColumn("part", F.explode(F.when(F.col("small"), F.sequence(F.lit(0), parts - 1)).otherwise(F.array(own)))).withColumn("large", F.col("part") == own)
+    listed = cut_lineage(listed.select("id", "update", "words", "word", "part", "small", "large"))
+    lists = max(1, -(-listed.count() // LISTED))
+    listed = listed.withColumn("list", F.pmod(F.xxhash64("word", "part"), F.lit(lists)))
+    return listed.groupBy("list").applyInArrow(_connected, "a long, b long")
+
+
+def _connected(group: pa.Table) -> pa.Table:
+    """Edges that connect the alike titles of each word's list."""
+    flat = group.column("words").combine_chunks()
+    flat = pa.concat_arrays(flat.chunks) if isinstance(flat, pa.ChunkedArray) else flat
+    ends = flat.offsets.to_numpy().astype(np.int64)
+    numbers = np.unique(flat.values.to_numpy(zero_copy_only=False)[ends[0] : ends[-1]], return_inverse=True)[1]
+    sizes = np.diff(ends)
+    words = np.full((len(sizes), sizes.max(initial=1)), numbers.max(initial=0) + 1, np.int32)  # behind the last word stands one of no title
+    words[np.arange(words.shape[1]) < sizes[:, None]] = numbers
+    ids, word, part, small, large, update = (group.column(c).to_numpy() for c in ("id", "word", "part", "small", "large", "update"))
+    mark = np.zeros(numbers.max(initial=0) + 2, np.int8)
+    order = np.lexsort((part, word))
+    new = np.flatnonzero((np.diff(word[order]) != 0) | (np.diff(part[order]) != 0)) + 1
+    up: dict[int, int] = {}
+    edges: list[tuple[int, int]] = []
+    for rows in np.split(order, new):
+        left = rows[large[rows]]
+        if not len(left) or len(rows) < 2:
+            continue
+        node = {int(r): k for k, r in enumerate(left)}
+        of = np.arange(len(left))  # the part that each is connected with in this list
+        for x in rows[small[rows]].tolist():
+            mine = node.get(x)
+            own = of[mine] if mine is not None else -1
+            apart = np.flatnonzero((of != own) & (sizes[left] >= sizes[x]))
+            if not len(apart):
+                continue
+            mark[words[x, : sizes[x]]] = 1
+            near = left[apart]
+            common = mark[words[near]].sum(1)
+            mark[words[x, : sizes[x]]] = 0
+            n, m = sizes[x], sizes[near]
+            hit = common >= (DOUBT - 1e-9) * (n + m - common)
+            if n >= 4:
+                hit |= 0.9 * common >= (DOUBT - 1e-9) * n
+            if n >= 2:
+                hit |= update[near] & (common >= n)
+            joined, first = np.unique(of[apart[hit]], return_index=True)
+            if not len(joined):
+                continue
+            for y in near[hit][first].tolist():
+                a, b = _top(up, int(ids[x])), _top(up, int(ids[y]))
+                if a != b:
+                    up[max(a, b)] = min(a, b)
+                    edges.append((int(ids[x]), int(ids[y])))
+            of[np.isin(of, joined)] = own if mine is not None else joined[0]
+    return pa.table({"a": pa.array([a for a, _ in edges], pa.int64()), "b": pa.array([b for _, b in edges], pa.int64())})
+
+
+def _top(up: dict[int, int], x: int) -> int:
+    """The root of x, whose way is halved."""
+    while up.setdefault(x, x) != x:
+        up[x] = x = up[up[x]]
+    return x
 
 
 PARTS = ["words", "years", "editions", "places"]
 COLUMNS = ["id", "source", "issuer", "territory", "urls", "code", "role", "archive", "whole", "seen", "known", *PARTS, "title"]
+Announcement = namedtuple("Announcement", COLUMNS)
 
 
 def link_groups(rows: DataFrame, known: DataFrame | None = None, year: int = 2026) -> DataFrame:
@@ -168,26 +216,71 @@ def link_groups(rows: DataFrame, known: DataFrame | None = None, year: int = 202
     every = cut_lineage(without_ambiguous(prepared(every.drop("known"), year)).join(names, "id"))
     titles = every.groupBy(*PARTS).agg(F.min("id").alias("title"), F.max(F.col("role").isNotNull()).alias("update"))
     every = cut_lineage(every.join(titles.drop("update"), PARTS))
-    pairs = cut_lineage(candidate_titles(titles.withColumnRenamed("title", "id")))
+    alike = title_edges(titles.withColumnRenamed("title", "id"))
     star = lambda key, of: of.join(of.groupBy(key).agg(F.min("id").alias("a")), key).select("a", F.col("id").alias("b"))
     by_url = every.select("id", F.explode("urls").alias("url"))
     same = every.filter(F.size("words") > 0).select(F.col("title").alias("a"), F.col("id").alias("b"))
     of_call = star("known", every.filter("known IS NOT NULL"))  # what is linked already goes together
-    edges = star("code", every.filter("code IS NOT NULL")).union(star("url", by_url)).union(same).union(of_call).union(pairs)
+    edges = star("code", every.filter("code IS NOT NULL")).union(star("url", by_url)).union(same).union(of_call).union(alike)
     labels = cut_lineage(components(edges))
-    grouped = every.join(labels, every.id == F.col("node")).select("component", *COLUMNS)
-    alike = pairs.join(labels.toDF("start", "group_no"), F.col("a") == F.col("start")).select("group_no", "a", "b")
-    linked = grouped.groupBy("component").cogroup(alike.groupBy("group_no")).applyInPandas(_ordered_pass, LINK_SCHEMA)
+    sizes = labels.groupBy("component").agg(F.count("*").alias("n"))
+    several = max(1, -(-(sizes.filter(F.col("n") < TOGETHER).agg(F.sum("n")).first()[0] or 0) // TOGETHER))
+    group_no = F.when(F.col("n") < TOGETHER, -1 - F.pmod(F.xxhash64("component"), F.lit(several))).otherwise(F.col("component"))  # ids of rows may be negative, too: two groups in one are no fault
+    grouped = every.join(labels.join(sizes, "component"), every.id == F.col("node")).select(group_no.alias("group_no"), *COLUMNS)
+    linked = grouped.groupBy("group_no").applyInArrow(_ordered_pass, LINK_SCHEMA)
     alone = every.join(labels, every.id == F.col("node"), "left_anti").filter("known IS NULL")
     how = F.when(F.col("role").isNull(), "new").when(F.col("archive"), "ignore").when(F.col("role").isin(*RENEWALS) & F.col("whole"), "new").otherwise("doubt")
     alone = alone.select("id", F.when(how == "new", F.col("id")).alias("call"), how.alias("how"), F.lit(None).cast("long").alias("doubt"), F.lit(None).cast("double").alias("score"))
     return linked.unionByName(alone)
 
 
+class Titles:
+    """The different titles of a group: their words as numbers, rarest first, and their other parts."""
+
+    def __init__(self, rows: list[Announcement]):
+        first = {r.title: r for r in rows}
+        df = Counter(w for r in first.values() for w in r.words)
+        number = {w: k for k, w in enumerate(sorted(df, key=lambda w: (df[w], w)))}
+        self.number = {title: k for k, title in enumerate(first)}
+        self.sizes = np.array([len(r.words) for r in first.values()], np.int64)
+        self.words = np.full((len(first), max(1, self.sizes.max(initial=1))), len(number), np.int32)
+        for k, r in enumerate(first.values()):
+            self.words[k, : len(r.words)] = sorted(number[w] for w in r.words)
+        self.parts = [tuple(frozenset(x) for x in (r.years, r.editions, r.places)) for r in first.values()]
+        self.mark = np.zeros(len(number) + 1, np.int8)
+
+    def rare(self, k: int) -> list[int]:
+        """So many of the rarest words that one is common with each larger title that is alike by DOUBT."""
+        return self.words[k, : int((1 - DOUBT / 0.9) * self.sizes[k] + 1e-9) + 1].tolist() if self.sizes[k] else []
+
+    def common(self, k: int, others: np.ndarray) -> np.ndarray:
+        mine = self.words[k, : self.sizes[k]]
+        self.mark[mine] = 1
+        out = self.mark[self.words[others]].sum(1, dtype=np.int64)
+        self.mark[mine] = 0
+        return out
+
+    def alike(self, k: int, others: np.ndarray, update: bool) -> tuple[np.ndarray, np.ndarray]:
+        """Scores, and shares of common words; an update's title scores INSIDE at least for those that lie in it."""
+        common, n, m = self.common(k, others), self.sizes[k], self.sizes[others]
+        small = np.minimum(n, m)
+        share = common / np.maximum(n + m - common, 1)
+        score = np.maximum(share, np.where(small >= 4, 0.9 * common / np.maximum(small, 1), 0.0))
+        return np.where((m >= 2) & (common == m), np.maximum(score, INSIDE), score) if update else score, share
+
+    def fit(self, k: int, other: int) -> bool:
+        """Years of one within the other's, the same editions, a common place, where both have some."""
+        (years, editions, places), (years_2, editions_2, places_2) = self.parts[k], self.parts[other]
+        if years and years_2 and not (years <= years_2 or years_2 <= years):
+            return False
+        return (not editions or not editions_2 or editions == editions_2) and (not places or not places_2 or not places.isdisjoint(places_2))
+
+
 class Known:
-    """The calls of a group as its announcements make them known, in their order."""
+    """The calls of a group as its announcements make them known, in their order; titles that are known are found by their words."""
 
-    def __init__(self, pairs: pd.DataFrame):
+    def __init__(self, titles: Titles):
+        self.all = titles
         self.codes: dict[str, int] = {}
         self.urls: dict[str, int] = {}
         self.order: dict[int, int] = {}
@@ -195,11 +288,10 @@ class Known:
         #: Of each title: what it is known of (source, issuer, territory, code, call), in order of arrival.
         self.of_title: dict[int, dict[tuple, int]] = defaultdict(dict)
         self.added = 0
-        self.sets: dict[int, tuple[frozenset, ...]] = {}
-        self.alike: dict[int, list[int]] = defaultdict(list)
-        for a, b in zip(pairs["a"].tolist(), pairs["b"].tolist(), strict=True):
-            self.alike[a].append(b)
-            self.alike[b].append(a)
+        #: Known titles by each of their words, and by their rare ones.
+        self.by_word: dict[int, array] = defaultdict(lambda: array("q"))
+        self.by_rare: dict[int, array] = defaultdict(lambda: array("q"))
+        self.found = np.zeros(len(titles.sizes), bool)
 
     def add(self, r, call: int) -> None:
         self.order.setdefault(call, len(self.order))
@@ -207,31 +299,51 @@ class Known:
             self.codes.setdefault(r.code, call)
         for url in r.urls:
             self.urls.setdefault(url, call)
-        if r.title not in self.titles[call]:
-            self.titles[call].append(r.title)
-        self.of_title[r.title].setdefault((r.source, r.issuer, r.territory, r.code, call), self.added)
+        k = self.all.number[r.title]
+        if k not in self.of_title:
+            for word in self.all.words[k, : self.all.sizes[k]].tolist():
+                self.by_word[word].append(k)
+            for word in self.all.rare(k):
+                self.by_rare[word].append(k)
+            self.titles[call].append(k)
+        elif k not in self.titles[call]:
+            self.titles[call].append(k)
+        self.of_title[k].setdefault((r.source, r.issuer, r.territory, r.code, call), self.added)
         self.added += 1
 
+    def candidates(self, k: int) -> np.ndarray:
+        """Known titles that may be alike: larger ones by the rare words of this one, smaller ones by theirs."""
+        lists = [self.by_word[w] for w in self.all.rare(k) if w in self.by_word]
+        lists += [self.by_rare[w] for w in self.all.words[k, : self.all.sizes[k]].tolist() if w in self.by_rare]
+        for x in lists:
+            self.found[np.frombuffer(x, np.int64)] = True
+        out = np.flatnonzero(self.found) if lists else np.zeros(0, np.int64)
+        self.found[out] = False
+        return out
+
     def best(self, r):
-        """The best title for r: score, call, Jaccard, source and issuer, and its years and editions; of equals the oldest call's first."""
+        """The best title for r: score, call, Jaccard, source and issuer, and its number; of equals the oldest call's first."""
+        mine = self.all.number[r.title]
+        others = self.candidates(mine)
+        if not len(others):
+            return None
+        scores, shares = self.all.alike(mine, others, r.role is not None)
+        order = np.flatnonzero(scores >= DOUBT)
+        order = order[np.argsort(-scores[order])]
         found = None
-        mine = self.sets[r.title]
-        for title in (r.title, *self.alike.get(r.title, ())):
-            linked = self.of_title.get(title)
-            if not linked:  # no announcement of this title is linked so far
+        for title, score, share in zip(others[order].tolist(), scores[order].tolist(), shares[order].tolist(), strict=True):
+            if found is not None and score < found[1]:
+                break
+            if not self.all.fit(mine, title):
                 continue
-            other = self.sets[title]
-            score, share = _alike(mine[0], other[0]), _share(mine[0], other[0])
-            if r.role is not None and len(other[0]) >= 2 and other[0] <= mine[0]:
-                score = max(score, INSIDE)
-            for (source, issuer, territory, code, call), at in linked.items():
+            for (source, issuer, territory, code, call), at in self.of_title[title].items():
                 if not _near(r.territory, territory) or (r.code is not None and code is not None and r.code != code):
                     continue
                 if (_rivals(r.issuer, issuer) and share < SAME) or (source == r.source and share < OWN_SOURCE and r.role is None):
                     continue
                 key = (-score, self.order[call], at)
                 if found is None or key < found[0]:
-                    found = key, score, call, share, source, issuer, other
+                    found = key, score, call, share, source, issuer, title
         return found
 
     def decide(self, r) -> tuple[str, int | None, float | None]:
@@ -241,12 +353,12 @@ class Known:
         for url in r.urls:
             if url in self.urls:
                 call = self.urls[url]
-                score = max(_alike(self.sets[r.title][0], self.sets[t][0]) for t in self.titles[call])
+                score = float(self.all.alike(self.all.number[r.title], np.array(self.titles[call]), False)[0].max())
                 return ("doubt" if score < UNLIKE else "url"), call, score
         best = self.best(r)
         if best is not None and best[1] >= DOUBT:
-            _, score, call, share, source, issuer, (_, years, editions, _) = best
-            _, my_years, my_editions, _ = self.sets[r.title]
+            _, score, call, share, source, issuer, title = best
+            (years, editions, _), (my_years, my_editions, _) = self.all.parts[title], self.all.parts[self.all.number[r.title]]
             dated = my_years or my_editions or source == r.source
             if share >= SAME and issuer == r.issuer and (years, editions) == (my_years, my_editions) and dated:
                 return "title", call, score
@@ -256,21 +368,15 @@ class Known:
         return ("ignore" if r.archive else "doubt"), None, None
 
 
-Announcement = namedtuple("Announcement", COLUMNS)
-
-
-def _rows(group: pd.DataFrame) -> list[Announcement]:
-    """A group in order: what is known first, then by arrival.  Plain lists, as most groups are a few rows."""
-    plain = lambda column: [None if isinstance(x, float) and x != x else x for x in column.tolist()]
-    rows = [Announcement(*values) for values in zip(*(plain(group[c]) for c in COLUMNS), strict=True)]
+def _rows(group: pa.Table) -> list[Announcement]:
+    """A group in order: what is known first, then by arrival."""
+    rows = [Announcement(*values) for values in zip(*(group.column(c).to_pylist() for c in COLUMNS), strict=True)]
     return sorted(rows, key=lambda r: (r.known is None, r.seen is None, r.seen or 0, r.id))
 
 
-def _ordered_pass(group: pd.DataFrame, pairs: pd.DataFrame) -> pd.DataFrame:
-    calls, out = Known(pairs), []
-    rows = _rows(group)
-    for r in rows:
-        calls.sets.setdefault(r.title, tuple(frozenset(getattr(r, part)) for part in PARTS))
+def _ordered_pass(group: pa.Table) -> pa.Table:
+    rows, out = _rows(group), []
+    calls = Known(Titles(rows))
     for r in rows:
         if r.known is not None:
             calls.add(r, int(r.known))
@@ -281,8 +387,8 @@ def _ordered_pass(group: pd.DataFrame, pairs: pd.DataFrame) -> pd.DataFrame:
         if how not in ("doubt", "ignore"):
             calls.add(r, call)
         out.append((r.id, None if how in ("doubt", "ignore") else call, how, call if how == "doubt" else None, score))
-    columns = zip(["id", "call", "how", "doubt", "score"], zip(*out) if out else ((),) * 5, ["int64", "Int64", "object", "Int64", "float64"], strict=True)
-    return pd.DataFrame({name: pd.Series(list(values), dtype=kind) for name, values, kind in columns})
+    columns = zip(["id", "call", "how", "doubt", "score"], zip(*out) if out else ((),) * 5, [pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.float64()], strict=True)
+    return pa.table({name: pa.array(values, kind) for name, values, kind in columns})
 
 
 def _near(a: str, b: str) -> bool:
@@ -295,10 +401,6 @@ def _rivals(a: str, b: str) -> bool:
     return kind in LOCAL_KINDS and kind == b.split(" ")[0] and a != b
 
 
-def _share(a: frozenset, b: frozenset) -> float:
-    return len(a & b) / len(a | b) if a and b else 0.0
-
-
 def _alike(a: frozenset, b: frozenset) -> float:
     if not a or not b:
         return 0.0
