@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import re
 import tempfile
 import uuid
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 
@@ -44,6 +47,13 @@ def staged(df: DataFrame, name: str, narrow: bool = False, compression: str | No
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def release() -> None:
+    """Gives back what a Python worker has freed: workers outlive their tasks, and C's allocator keeps freed texts and arrays for itself."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # another C library
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 class Growing:
     """A table in the shared folder that rows are added to: one scan, however often it has grown."""
 

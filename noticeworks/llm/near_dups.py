@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from noticeworks.llm.common import Growing, staged, table
+from noticeworks.llm.common import Growing, release, staged, table
 
 SHINGLE, SIMILARITY = 5, 0.8
 #: A pair of similarity 0.8 shares no band with probability (1 - 0.8**5)**24 = 7e-5.
@@ -187,6 +187,7 @@ def signatures(docs: DataFrame, bands: int = BANDS, rows: int = ROWS) -> DataFra
                 names=["doc_id", "content", "n", "bands"],
             )
         WORDS.clear()  # workers outlive their tasks, and later stages need the memory
+        release()
 
     return docs.mapInArrow(run, "doc_id long, content binary, n long, bands array<long>")
 
@@ -211,6 +212,7 @@ def numbered_shingles(docs: DataFrame) -> DataFrame:
                 [pa.array(ids, pa.int64()), pa.ListArray.from_arrays(pa.array(ends), pa.array(short, pa.int32()))], names=["node", "shingles"]
             )
         WORDS.clear()
+        release()
 
     return docs.mapInArrow(run, "node long, shingles array<int>")
 

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from noticeworks.llm.bpe import CHUNK, Encoder, default_vocabulary
-from noticeworks.llm.common import table
+from noticeworks.llm.common import release, table
 
 WINDOW = 1024
 #: Ids that a task packs at once: the tail of a block is its only padding, memory is about 40 bytes an id.
@@ -178,7 +178,6 @@ def pack_documents(
     end = b"" if end_id is None else np.array([end_id], "<u4").tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pa.default_memory_pool().release_unused()  # what earlier tasks of this worker left
         enc, base = encoder(vocabulary), (TaskContext.get().partitionId() if TaskContext.get() else 0) << 36
         ids: list[bytes] = []
         names: list[int | None] = []
@@ -213,6 +212,7 @@ def pack_documents(
                 if held >= BLOCK_IDS:
                     yield from flush()
         yield from flush()
+        release()
 
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, SCHEMA)
 

@@ -37,7 +37,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from noticeworks.llm.common import shuffle_partitions, staged, table
+from noticeworks.llm.common import release, shuffle_partitions, staged, table
 
 LENGTH = 50
 #: Bytes of text in a block, in a stretch that is looked at at once, and behind a bucket.
@@ -91,6 +91,8 @@ def to_blocks(batches: Iterator[pa.RecordBatch], block_bytes: int = BLOCK_BYTES)
                 number, held, size = number + 1, [], 0
     if held:
         yield block()
+    held = []
+    release()
 
 
 class Block:
@@ -328,8 +330,10 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id"
                     [pa.array(full, pa.int32()), pa.array([number] * len(full), pa.int64()), pa.array([six[edges[b] : edges[b + 1]].tobytes() for b in full], pa.binary()), pa.array(many, pa.binary())],
                     names=["bucket", "block", "hashes", "many"],
                 )
+        release()
 
     def find_repeated(group: pa.Table) -> pa.Table:
+        release()  # what the worker's group before has left, here and below
         raw = group.column("hashes").to_pylist()
         sizes = [len(x) // 6 for x in raw]
         wide = np.zeros((sum(sizes), 8), np.uint8)
@@ -350,6 +354,7 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id"
         )
 
     def send_contexts(left: pa.Table, right: pa.Table) -> pa.Table:
+        release()
         out: dict[str, list] = {"bucket": [], "block": [], "n": [], "windows": [], "contexts": []}
 
         def send(number: int, hashes: np.ndarray, windows: bool, *columns: np.ndarray) -> None:
@@ -386,6 +391,7 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id"
         return pa.table(out, schema=pa.schema([("bucket", pa.int32()), ("block", pa.int64()), ("n", pa.int64()), ("windows", pa.bool_()), ("contexts", pa.binary())]))
 
     def judge(group: pa.Table) -> pa.Table:
+        release()
         done = [judged_kind(group.filter(pc.equal(group.column("windows"), kind)), kind) for kind in (False, True)]
         return pa.concat_tables(done)
 
@@ -410,6 +416,7 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id"
     arrow_types = {"n_bytes": pa.int64(), "n_removed": pa.int64(), "n_spans": pa.int64(), "kept": pa.binary()}
 
     def cut(left: pa.Table, right: pa.Table) -> pa.Table:
+        release()
         parts = []
         for raw in left.column("data"):
             block = Block(raw.as_py())
